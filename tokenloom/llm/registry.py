@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup",)
+MODULES = ("quality_rules", "lm_scoring", "exact_dedup", "bpe")
 
 
 def queries() -> dict:
