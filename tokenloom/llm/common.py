@@ -47,6 +47,26 @@ def release() -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def most_frequent(counts: DataFrame, key: str, n: str, limit: int) -> list[tuple]:
+    """(key, n) of the most frequent keys, most frequent first, then by key: at most limit.
+
+    Only whole classes of counts (sixteenths of a doubling) are taken, so that what reaches the driver is bounded by
+    limit and not, as with a sort and limit, by limit times the partitions. A class that alone exceeds limit gives none.
+    """
+    kind = F.floor(F.log2(F.col(n)) * 16)
+    sizes = sorted(map(tuple, counts.groupBy(kind.alias("k")).agg(F.count("*")).collect()), reverse=True)  # some 1,000 at most
+    least, total = None, 0
+    for k, size in sizes:
+        total += size
+        if total > limit:
+            break
+        least = k
+    if least is None:
+        return []
+    rows = [(r[0], r[1]) for r in counts.where(kind >= least).select(key, n).collect()]
+    return sorted(rows, key=lambda r: (-r[1], r[0]))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

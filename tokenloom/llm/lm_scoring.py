@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import materialize, table
+from tokenloom.llm.common import materialize, most_frequent, table
 
 OWN, SHARED, FREQUENT = 4096, 1024, 65_536
 STATES, ROUNDS, SEED = 6, 4, 7
@@ -48,38 +49,39 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
 
-class _Symbols(dict):
-    """Word to (symbol, log10 of count + 0.1, rare?) with a bounded memory for words that are not frequent."""
+class _Shared(dict):
+    """Words that are not frequent to their shared symbol; forgets all when full."""
 
-    def __init__(self, frequent: list[tuple[bytes, int]], own: int, shared: int):
-        super().__init__({w: (i if i < own else own + crc32(w) % shared, math.log10(c + ALPHA)) for i, (w, c) in enumerate(frequent)})
-        self.fixed, self.own, self.shared = len(self), own, shared
-        self.rare: dict[bytes, int] = {}
+    def __init__(self, own: int, shared: int):
+        self.own, self.shared = own, shared
 
     def __missing__(self, word):
-        if len(self.rare) > 500_000:
-            self.rare.clear()
-        s = self.rare.get(word)
-        if s is None:
-            s = self.rare[word] = self.own + crc32(word) % self.shared
-        return s, None
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = s = self.own + crc32(word) % self.shared
+        return s
 
 
 def _encode(frequent, own, shared, totals, end_log):
     """totals: for each shared symbol log10 of its whole mass."""
 
     def run(batches):
-        symbols = _Symbols(frequent, own, shared)
+        rank = {w: i for i, (w, _) in enumerate(frequent)}
+        symbol = np.array([i if i < own else own + crc32(w) % shared for i, (w, _) in enumerate(frequent)] + [0], np.int32)
+        logs = np.log10(np.array([c for _, c in frequent] + [1.0 - ALPHA]) + ALPHA)  # 0 for rank -1, which adds nothing
+        tail = _Shared(own, shared)
+        mass = np.concatenate((np.zeros(own), totals))
         for b in batches:
             out = []
             for t in b.column("text"):
                 ws = words(t.as_py())
-                pairs = [symbols[w] for w in ws]
-                ids = np.fromiter((p[0] for p in pairs), np.int32, len(pairs))
-                rare = [w for w, p in zip(ws, pairs) if p[1] is None]
-                base = math.fsum([p[1] for p in pairs if p[1] is not None]) + end_log
-                within = math.fsum([p[1] for p in pairs if p[1] is not None and p[0] >= own]) - float(totals[ids[ids >= own] - own].sum())
-                out.append((np.append(ids, own + shared).astype("<u2").tobytes(), len(ws) + 1, len(ws) - len(rare), base, within, rare))
+                ranks = np.fromiter(map(rank.get, ws, repeat(-1)), np.int32, len(ws))
+                ids, at = symbol[ranks], np.flatnonzero(ranks < 0)
+                rare = [ws[i] for i in at.tolist()]
+                ids[at] = [tail[w] for w in rare]
+                log = logs[ranks]
+                within = float(log[ids >= own].sum() - mass[ids].sum())
+                out.append((np.append(ids, own + shared).astype("<u2").tobytes(), len(ws) + 1, len(ws) - len(rare), float(log.sum()) + end_log, within, rare))
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
             cols = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("held_out"), *cols], ENCODED)
@@ -239,7 +241,7 @@ def lm_scores(docs: DataFrame, own: int = OWN, shared: int = SHARED, frequent: i
     training = rows.where("NOT held_out")
     counts = materialize(training.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
     ends = training.count()
-    top = [(bytes(w), c) for w, c in counts.orderBy(F.desc("c"), "word").limit(frequent).collect()]
+    top = [(bytes(w), c) for w, c in most_frequent(counts, "word", "c", frequent)]
     shares = counts.groupBy((F.crc32("word") % shared).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     mass, kinds = np.zeros(shared), np.zeros(shared)
     for k, n, v in shares:
