@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "lm_scoring", "exact_dedup", "bpe")
+MODULES = ("language_id", "line_dedup", "mixing", "quality_rules", "lm_scoring", "jaccard_join", "exact_dedup", "html_extract", "license_scan", "bpe")
 
 
 def queries() -> dict:
