@@ -6,8 +6,9 @@ order), so a tile holds the classes of one prefix shingle and one band of sizes,
 tile, the bits that differ between two bitmaps bound the overlap from above; pairs beyond the bound meet their sorted
 arrays. Nothing is capped, and three things keep tiles small without losing a link:
 
-* The global order puts the most frequent shingles last: up to HOT_SHINGLES of them, a bounded list; any list gives a
-  valid order.
+* The global order puts shingles of one class only first, and those of the most frequent, up to HOT_SHINGLES, last.
+  Which shingles several classes have is counted for the lower KNOWN of all hash values, and kept in a filter of fixed
+  size; where the filter errs, the order is another but as valid. Shingles of one class need no tile.
 * Before the tiles, each class is tried against one head, the least class key among those with most of its prefix. The
   verified stars collapse groups of near copies, and pairs within a known component need no further test.
 * Prefix shingles of only one component are left out.
@@ -31,44 +32,88 @@ from tokenloom.llm.common import materialize, most_frequent, table
 
 SHINGLE, PERCENT = 5, 75
 HOT_SHINGLES, HOT_FROM = 65_536, 32
-#: Bits of the filter that decides which texts are read again; a full filter lets all through, the join is exact.
-FILTER_BITS = 1 << 23
+#: Hashes below this share of all values are counted; prefixes are the least quarter of a set, and some more for the order.
+KNOWN = 3 / 8
+_LIMIT = np.uint64(int(KNOWN * 2**64))
+#: Bits of the filter of repeated shingles, and of the one that decides which texts are read again. A full filter lets
+#: all through: what follows is exact without it.
+REPEAT_BITS, FILTER_BITS = 1 << 26, 1 << 23
 #: Just over 4/3, so that sizes that can link are at most one band apart in spite of rounding.
 BAND = math.log(100 / PERCENT) * (1 + 1e-9)
 BLOCK = 256
-#: Hashes held by a worker while it counts, and class keys that it remembers to skip copies.
-COUNTED, REMEMBERED = 2_000_000, 200_000
+#: Class keys that a worker remembers to skip copies, and bytes of text that it hashes at once.
+REMEMBERED, AT_ONCE = 200_000, 1 << 18
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHash(dict):
-    def __missing__(self, word):
-        import xxhash
+class _Powers:
+    """Powers of an odd number modulo 2 ** 64 and of its inverse."""
 
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
+    def grow(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, 2 * AT_ONCE)
+            for name, x in (("up", 0x9E3779B97F4A7C13), ("down", pow(0x9E3779B97F4A7C13, -1, 1 << 64))):
+                steps = np.full(n, x, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
 
-_hashes = _WordHash()
 
+_powers = _Powers()
+#: A random 64-bit number for each byte, and which bytes are white space.
+_BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 5-word shingles; of the whole sequence where it has fewer words."""
-    words = (text or "").encode().lower().split()  # for bytes: ASCII letters, and the six ASCII spaces
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    k = min(SHINGLE, len(w))
-    n = len(w) - k + 1
-    h = np.full(n, k, np.uint64)
-    for i in range(k):
-        h = (h ^ (h >> np.uint64(29))) * _P + w[i : i + n]
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(h ^ (h >> np.uint64(31)))
+    return h ^ (h >> np.uint64(31))
+
+
+def _combined(words: np.ndarray, k: int) -> np.ndarray:
+    n = len(words) - k + 1
+    h = np.full(n, k, np.uint64)
+    for i in range(k):
+        h = (h ^ (h >> np.uint64(29))) * _P + words[i : i + n]
+    return _mixed(h)
+
+
+def _hashed(texts: list[bytes]) -> list[np.ndarray]:
+    """Shingle sets of a few texts: words are hashed as differences of running sums, all at once."""
+    data = b"\n".join(texts).lower() + b"\n"
+    a = np.frombuffer(data, np.uint8)
+    _powers.grow(len(a) + 1)
+    space = _SPACE[a]
+    inside = ~space
+    starts = np.flatnonzero(inside & np.concatenate(([True], space[:-1])))
+    ends = np.flatnonzero(space & np.concatenate(([False], inside[:-1])))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[a] * _powers.up[: len(a)], dtype=np.uint64)))
+    words = _mixed((sums[ends] - sums[starts]) * _powers.down[starts] + (ends - starts).astype(np.uint64))
+    five = _combined(words, SHINGLE) if len(words) >= SHINGLE else words[:0]
+    at = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    out = []
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+        h = np.sort(five[i : j - SHINGLE + 1]) if j - i >= SHINGLE else _combined(words[i:j], j - i) if j > i else words[:0]
+        out.append(h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) > 1 else h)
+    return out
+
+
+def shingle_sets(texts) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its 5-word shingles; of the whole sequence where it has fewer
+    words. Lower case is that of A-Z, words end at the six ASCII spaces (for bytes, what lower() and the table do)."""
+    few, size = [], 0
+    for t in texts:
+        few.append((t or "").encode())
+        size += len(few[-1])
+        if size >= AT_ONCE:
+            yield from _hashed(few)
+            few, size = [], 0
+    if few:
+        yield from _hashed(few)
 
 
 def set_key(s: np.ndarray) -> bytes:
@@ -88,14 +133,20 @@ def folded(bits: bytes, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
 
 
-def prefix(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
+def prefix(s: np.ndarray, repeats: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The shingles of the prefix that may be found in another class. Order: not known to be repeated, repeated, hot."""
     n = len(s) - (PERCENT * len(s) + 99) // 100 + 1
+    low = s[: np.searchsorted(s, _LIMIT)]
+    again = repeats[(low >> np.uint64(6)) % np.uint64(len(repeats))] >> (low & np.uint64(63)) & np.uint64(1) == 1
+    first = len(low) - int(again.sum())
+    if first >= n:
+        return s[:0]
+    rest = np.concatenate((s[len(low) :], low[again]))
     if len(hot):
-        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-        is_hot = hot[at] == s
+        is_hot = hot[np.minimum(np.searchsorted(hot, rest), len(hot) - 1)] == rest
         if is_hot.any():
-            s = np.concatenate((s[~is_hot], s[is_hot]))
-    return s[:n]
+            rest = np.concatenate((rest[~is_hot], rest[is_hot]))
+    return rest[: n - first]
 
 
 def overlap_bound(na, nb, differing):
@@ -111,67 +162,49 @@ def _signed(a: np.ndarray):
     return pa.array(a.view(np.int64))
 
 
-_FIRST = [("doc_id", None), ("seen", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("bits", pa.binary()), ("hash", pa.int64()), ("cnt", pa.int64())]
-
-
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and rows of prefix shingles that this task has met twice or more in different sets."""
-    known: set[bytes] = set()
-    held: list[np.ndarray] = []
+    for b in batches:
+        sets = list(shingle_sets(b.column("text").to_pylist()))
+        keys = [set_key(s) if len(s) else None for s in sets]
+        maps = [bitmap(s) if len(s) else None for s in sets]
+        cols = [pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), pa.array(maps, pa.binary())]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("seen"), *cols], ["doc_id", "seen", "n", "node", "bits"])
 
-    def counted(kind):
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        values, counts = values[counts > 1], counts[counts > 1]
-        empty = [pa.nulls(len(values), t) for t in (kind, pa.int64(), pa.int64(), pa.binary(), pa.binary())]
-        return pa.RecordBatch.from_arrays([*empty, _signed(values), pa.array(counts.astype(np.int64))], [c for c, _ in _FIRST])
 
-    kind = None
+def _new_sets(batches):
+    """(key, set) of each batch, without sets that this task has lately met."""
+    known: set[bytes] = set()
     for b in batches:
-        kind = b.column("doc_id").type
-        ns, keys, maps = [], [], []
-        for t in b.column("text"):
-            s = shingles(t.as_py())
-            ns.append(len(s))
-            keys.append(set_key(s) if len(s) else None)
-            maps.append(bitmap(s) if len(s) else None)
-            if len(s) and keys[-1] not in known:
+        out = []
+        for s in shingle_sets(b.column("text").to_pylist()):
+            if len(s) and (key := set_key(s)) not in known:
                 if len(known) >= REMEMBERED:
                     known.clear()
-                known.add(keys[-1])
-                held.append(prefix(s, s[:0]))
-        none = pa.nulls(len(ns), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("seen"), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(maps, pa.binary()), none, none], [c for c, _ in _FIRST]
-        )
-        if sum(map(len, held)) >= COUNTED:
-            yield counted(kind)
-    if held:
-        yield counted(kind)
+                known.add(key)
+                out.append((key, s))
+        if out:
+            yield out
 
 
-def _prefix_rows(hot, batches):
-    known: set[bytes] = set()
-    for b in batches:
-        hashes, nodes, ns = [], [], []
-        for t in b.column("text"):
-            s = shingles(t.as_py())
-            if not len(s) or (key := set_key(s)) in known:
-                continue
-            if len(known) >= REMEMBERED:
-                known.clear()
-            known.add(key)
-            p = prefix(s, hot)
-            hashes.append(p)
-            nodes += [key] * len(p)
-            ns.append(np.full(len(p), len(s), np.int32))
-        if nodes:
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(hashes)), pa.array(nodes, pa.binary()), pa.array(np.concatenate(ns))], ["hash", "node", "n"])
+def _low_hashes(batches):
+    """(hash, class): the counted hashes; half of the key tells classes apart."""
+    for sets in _new_sets(batches):
+        low = [s[: np.searchsorted(s, _LIMIT)] for _, s in sets]
+        of = np.repeat(np.array([int.from_bytes(k[:8], "little", signed=True) for k, _ in sets], np.int64), list(map(len, low)))
+        yield pa.RecordBatch.from_arrays([_signed(np.concatenate(low)), pa.array(of)], ["hash", "of"])
+
+
+def _prefix_rows(repeats, hot, batches):
+    for sets in _new_sets(batches):
+        found = [prefix(s, repeats.value, hot) for _, s in sets]
+        nodes = [k for (k, _), p in zip(sets, found) for _ in range(len(p))]
+        ns = np.repeat(np.array([len(s) for _, s in sets], np.int32), list(map(len, found)))
+        yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), pa.array(nodes, pa.binary()), pa.array(ns)], ["hash", "node", "n"])
 
 
 def _arrays(batches):
     for b in batches:
-        sets = [s for t in b.column("text") if len(s := shingles(t.as_py()))]
+        sets = [s for s in shingle_sets(b.column("text").to_pylist()) if len(s)]
         yield pa.RecordBatch.from_arrays([pa.array(map(set_key, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
 
 
@@ -305,19 +338,25 @@ def jaccard_components(docs: DataFrame, hot_shingles: int = HOT_SHINGLES, hot_fr
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
     first = materialize(
-        docs.select("doc_id", F.xxhash64("text").alias("seen"), "text").mapInArrow(
-            _first_pass, f"doc_id {kind}, seen long, n long, node binary, bits binary, hash long, cnt long"
-        )
+        docs.select("doc_id", F.xxhash64("text").alias("seen"), "text").mapInArrow(_first_pass, f"doc_id {kind}, seen long, n long, node binary, bits binary")
     )
     sets = first.where("n > 0")
     classes = materialize(
         sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.min(F.struct("seen", "bits")).alias("x"), F.count("*").alias("class_size"))
         .select("node", "doc_id", "n", "class_size", "x.seen", "x.bits")
     )
-    hot = first.where("hash IS NOT NULL").groupBy("hash").agg(F.sum("cnt").alias("c")).where(F.col("c") >= hot_from)
-    hot = np.sort(np.array([h for h, _ in most_frequent(hot, "hash", "c", hot_shingles)], np.int64).view(np.uint64))
-
-    rows = docs.select("text").mapInArrow(partial(_prefix_rows, hot), "hash long, node binary, n int")
+    low = docs.select("text").mapInArrow(_low_hashes, "hash long, of long")
+    low = low.groupBy("hash").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.count("*").alias("c")).where("x <> y").select("hash", "c")
+    repeated = materialize(low)
+    words = repeated.groupBy(F.pmod(F.shiftright("hash", 6), F.lit(REPEAT_BITS // 64)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 AS int))")).alias("m"))
+    words = words.toArrow()  # REPEAT_BITS / 64 rows at most
+    repeats = np.zeros(REPEAT_BITS // 64, np.uint64)
+    repeats[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
+    hot = most_frequent(repeated.where(F.col("c") >= hot_from), "hash", "c", hot_shingles)
+    hot = np.sort(np.array([h for h, _ in hot], np.int64).view(np.uint64))
+
+    shared = docs.sparkSession.sparkContext.broadcast(repeats)
+    rows = docs.select("text").mapInArrow(partial(_prefix_rows, shared, hot), "hash long, node binary, n int")
     rows = rows.repartition("hash").dropDuplicates(["hash", "node"])
     same = Window.partitionBy("hash")
     posts = materialize(
