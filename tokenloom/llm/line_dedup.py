@@ -13,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import materialize, table
+from tokenloom.llm.common import SPACES, materialize, table
 
 #: Leading tokens that lead to a leaf; lines without a further token have no template and stay.
 LEAD = 3
 #: Lines of so many tokens have templates with a variable half.
 SPLIT_FROM = 12
-#: Documents that keep less than this share of their tokens are dropped by drop_documents.
+#: Documents that keep less than this share of their bytes are dropped by drop_documents.
 LEAST_KEPT = 0.2
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,10 +33,12 @@ def _same():
 
 def templates(docs: DataFrame) -> DataFrame:
     """doc_id, same, at (line from 0), tokens, keys: array of template keys, for each line that has templates."""
-    lines = docs.where("text IS NOT NULL").select(
-        "doc_id", _same().alias("same"), F.posexplode(F.split(F.regexp_replace("text", VARIABLE, "$1<*>"), "\n")).alias("at", "line")
-    )
-    lines = lines.withColumn("t", F.array_remove(F.split("line", SPACE + "+"), "")).withColumn("tokens", F.size("t"))
+    texts = docs.where("text IS NOT NULL").select("doc_id", _same().alias("same"), F.split("text", "\n").alias("lines"))
+    lines = texts.select("doc_id", "same", F.posexplode("lines").alias("at", "line"))
+    line = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", VARIABLE, "$1<*>")).otherwise(F.col("line"))
+    for c in SPACES[1:]:
+        line = F.replace(line, F.lit(c), F.lit(" "))
+    lines = lines.withColumn("t", F.array_remove(F.split(line, " "), "")).withColumn("tokens", F.size("t"))
     n, t, half = F.col("tokens"), F.col("t"), F.ceil(F.col("tokens") / 2).cast("int")
 
     def key(kind: int, kept):
@@ -52,8 +54,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     A line is dropped when one of its templates occurs in a document with a smaller doc_id. Lines repeated within one
     document, rows with the same doc_id, and rows without doc_id among themselves do not count as recurring; a row
-    without doc_id loses what any document with one has. kept_share is the share of tokens that stay (1 without
-    tokens). Null texts stay null and empty ones empty, with 0 or 1 lines. An empty table gives no rows; all other
+    without doc_id loses what any document with one has. kept_share is the share of bytes that stay. Null texts stay null and empty ones empty, with 0 or 1 lines. An empty table gives no rows; all other
     columns are kept as they are, and columns named like an added one are replaced.
     """
     added = ["n_lines", "n_dropped", "kept_share"]
@@ -66,15 +67,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     drops = drops.withColumnsRenamed({"same": "__same", "drops": "__drops"})
     out = docs.withColumn("__same", _same()).join(drops, "__same", "left")
     none = F.array().cast("array<int>")
-    parts = F.split("text", "\n")
-    stay = F.filter(parts, lambda _, i: ~F.array_contains("__drops", i))
-    tokens = lambda c: F.regexp_count(c, F.lit(r"[^\x20\x09-\x0D]+"))
-    out = out.withColumn("__drops", F.coalesce("__drops", none)).withColumn("__n", tokens(F.col("text")))
-    out = out.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    out = out.withColumn("n_dropped", F.size("__drops").cast("long"))
-    out = out.withColumn("text", F.when(F.size("__drops") == 0, F.col("text")).otherwise(F.array_join(stay, "\n")))
-    share = F.when((F.col("n_dropped") == 0) | (F.col("__n") == 0), 1.0).otherwise(tokens(F.col("text")) / F.col("__n"))
-    return out.withColumn("kept_share", F.coalesce(share, F.lit(1.0))).select(*docs.columns, *added)
+    out = out.withColumn("__drops", F.coalesce("__drops", none)).withColumn("n_dropped", F.size("__drops").cast("long"))
+    breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    stay = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__drops", i)), "\n")
+    out = out.withColumn("__text", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(stay))
+    share = F.when(F.col("n_dropped") == 0, 1.0).otherwise(F.octet_length("__text") / F.octet_length("text"))
+    out = out.withColumn("n_lines", F.coalesce(breaks + 1, F.lit(0)).cast("long")).withColumn("kept_share", share)
+    return out.withColumn("text", F.col("__text")).select(*docs.columns, *added)
 
 
 def drop_documents(deduped: DataFrame, least: float = LEAST_KEPT) -> DataFrame:
@@ -104,14 +103,12 @@ WITH lines AS (
 ), first AS (SELECT key, min(doc_id) AS first FROM keyed GROUP BY key),
 drops AS (SELECT DISTINCT doc_id, ln FROM keyed JOIN first USING (key) WHERE first.first < keyed.doc_id),
 parts AS (
-  SELECT doc_id, count(*) AS n_lines, count(drops.ln) AS n_dropped, sum(len(regexp_extract_all(line, '{WORD}'))) AS n,
-         coalesce(sum(len(regexp_extract_all(line, '{WORD}'))) FILTER (drops.ln IS NULL), 0) AS stay,
-         coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (drops.ln IS NULL), '') AS text
+  SELECT doc_id, count(*) AS n_lines, count(drops.ln) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (drops.ln IS NULL), '') AS text
   FROM lines LEFT JOIN drops USING (doc_id, ln) GROUP BY doc_id
 )"""
 
 ORACLE = {
     "op2_line_dedup": DEDUPED_SQL
     + f"""
-SELECT doc_id, text, n_lines, n_dropped, n_dropped = 0 OR n = 0 OR stay / n >= {LEAST_KEPT} AS kept FROM parts"""
+SELECT doc_id, parts.text, n_lines, n_dropped, n_dropped = 0 OR strlen(parts.text) / strlen(documents.text) >= {LEAST_KEPT} AS kept FROM parts JOIN documents USING (doc_id)"""
 }
