@@ -26,14 +26,23 @@ SAMPLE = 2_000
 BUCKETS = 4096
 #: Trigrams that count in full; the evidence of a longer text is scaled down to so many, a third each.
 EVIDENCE = 600
+#: What the uniform model loses a trigram, so that only clear noise is taken for no language.
+HANDICAP = 0.5
 #: Rows that a domain's or the corpus's shares weigh in a host's prior.
 STRENGTH = 20.0
 LEAST_PROBABILITY = 0.5
 
 
+#: ASCII letters in lower case, other bytes of UTF-8 as they are, and a space for everything else.
+_LETTERS = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
+
+
 def trigram_buckets(text: str | None) -> np.ndarray:
-    a = np.frombuffer(b" " + (text or "").encode().lower() + b" ", np.uint8).astype(np.uint32)
-    return ((a[:-2] * 9973 + a[1:-1] * 263 + a[2:]) % BUCKETS).astype(np.int64)
+    """Buckets of the byte trigrams with at most one space: digits, signs and addresses are no evidence."""
+    a = np.frombuffer((" " + (text or "") + " ").encode().translate(_LETTERS), np.uint8).astype(np.uint32)
+    space = (a == 32).astype(np.int8)
+    h = (a[:-2] * 9973 + a[1:-1] * 263 + a[2:]) % BUCKETS
+    return h[space[:-2] + space[1:-1] + space[2:] < 2].astype(np.int64)
 
 
 def _count(batches):
@@ -58,7 +67,7 @@ def text_models(rows: DataFrame, languages=LANGUAGES, sample: int = SAMPLE) -> n
         for lang, bucket, n in got.groupBy("declared", "bucket").agg(F.sum("n")).collect():  # BUCKETS rows a language at most
             counts[bucket, languages.index(lang)] = n
     p = (counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS)
-    return np.hstack((np.log(p), np.full((BUCKETS, 1), -math.log(BUCKETS))))
+    return np.hstack((np.log(p), np.full((BUCKETS, 1), -math.log(BUCKETS) - HANDICAP)))
 
 
 def _likelihoods(model: np.ndarray):
