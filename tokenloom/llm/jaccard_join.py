@@ -9,9 +9,10 @@ arrays. Nothing is capped, and three things keep tiles small without losing a li
 * The global order puts shingles of one class only first, and those of the most frequent, up to HOT_SHINGLES, last.
   Which shingles several classes have is counted for the lower KNOWN of all hash values, and kept in a filter of fixed
   size; where the filter errs, the order is another but as valid. Shingles of one class need no tile.
-* Before the tiles, each class is tried against one head, the least class key among those with most of its prefix. The
-  verified stars collapse groups of near copies, and pairs within a known component need no further test.
-* Prefix shingles of only one component are left out.
+* Before the tiles, rounds of stars: each class is tried against one head, of all heads of its prefix shingles the one
+  that most of them have; heads are drawn anew each round. The verified stars collapse groups of near copies, and pairs
+  within a known component need no further test. A round looks at a slice of the shingles.
+* Prefix shingles of only one component are left out, and a pair is made in the first tile only that both are in.
 
 Components are contracted by alternating large and small stars over written tables.
 """
@@ -32,6 +33,8 @@ from tokenloom.llm.common import materialize, most_frequent, table
 
 SHINGLE, PERCENT = 5, 75
 HOT_SHINGLES, HOT_FROM = 65_536, 32
+#: Rounds of stars use one of SLICES parts of the shingles each, and end when less than GAIN of their pairs link.
+SLICES, GAIN = 8, 0.15
 #: Hashes below this share of all values are counted; prefixes are the least quarter of a set, and some more for the order.
 KNOWN = 3 / 8
 _LIMIT = np.uint64(int(KNOWN * 2**64))
@@ -121,8 +124,8 @@ def set_key(s: np.ndarray) -> bytes:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A bit for each hash modulo the width, a power of two from 256 to 65,536 that is twice the size or more."""
-    width = min(65_536, max(256, 1 << (2 * len(s) - 1).bit_length()))
+    """A bit for each hash modulo the width, a power of two from 256 to 65,536 that is four times the size or more."""
+    width = min(65_536, max(256, 1 << (4 * len(s) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -230,8 +233,9 @@ def _exact(batches):
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _tile_pairs(rows: list[tuple]):
-    """Pairs (smaller key first) of a tile that may link: rows of (node, n, component, bits, home)."""
+def _tile_pairs(tile: int, rows: list[tuple]):
+    """Pairs (smaller key first) of a tile that may link and whose first common tile it is: rows of (node, n, component,
+    bits, home, sorted hashes of its tiles)."""
     size = min(len(r[3]) for r in rows)
     bits = np.stack([folded(r[3], size) for r in rows])
     n = np.array([r[1] for r in rows], np.int64)
@@ -250,31 +254,35 @@ def _tile_pairs(rows: list[tuple]):
                 x, y = i[s : s + 16_384] + begin, j[s : s + 16_384] + other
                 differing = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
                 good = linked(n[x], n[y], overlap_bound(n[x], n[y], differing))
-                for a, b in zip(x[good], y[good]):
+                for a, b in zip(x[good].tolist(), y[good].tolist()):
+                    if rows[a][5][0] != tile != rows[b][5][0] and np.intersect1d(rows[a][5], rows[b][5], assume_unique=True)[0] != tile:
+                        continue
                     yield (rows[a][0], rows[b][0]) if rows[a][0] < rows[b][0] else (rows[b][0], rows[a][0])
 
 
 def _tiles(batches):
-    """Reads rows ordered by (hash, band); yields each task's distinct pairs."""
-    tile, rows, pairs = None, [], set()
+    """Reads rows ordered by (hash, band); yields the pairs of each tile."""
+    tile, rows, pairs = None, [], []
 
     def out():
-        done = list(pairs)
+        done = pairs[:]
         pairs.clear()
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in done], pa.binary()) for i in (0, 1)], ["a", "b"])
 
     for b in batches:
         cols = [b.column(c).to_pylist() for c in ("hash", "band", "node", "n", "component", "bits", "home")]
-        for h, k, *row in zip(*cols):
-            if (h, k) != tile:
+        lists = b.column("hashes")
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *lists.value_lengths().to_pylist()])
+        for k, (h, size, *row) in enumerate(zip(*cols)):
+            if (h, size) != tile:
                 if len(rows) > 1:
-                    pairs.update(_tile_pairs(rows))
+                    pairs.extend(_tile_pairs(tile[0], rows))
                     if len(pairs) > 100_000:
                         yield out()
-                tile, rows = (h, k), []
-            rows.append(tuple(row))
+                tile, rows = (h, size), []
+            rows.append((*row, flat[ends[k] : ends[k + 1]]))
     if len(rows) > 1:
-        pairs.update(_tile_pairs(rows))
+        pairs.extend(_tile_pairs(tile[0], rows))
     yield out()
 
 
@@ -299,18 +307,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class _Verifier:
-    """Exact tests of pairs (a, b) of class keys, reading again only the texts that may be needed."""
+    """Exact tests of pairs (a, b) of class keys, reading again only the texts that may be needed, once each."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame):
         self.docs, self.classes = docs, classes
+        self.items: DataFrame | None = None
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"{x}bits"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a binary, b binary")
+        return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a binary, b binary"))
 
-    def exact(self, pairs: DataFrame) -> DataFrame:
+    def _read(self, pairs: DataFrame) -> None:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if self.items is not None:
+            nodes = nodes.join(self.items.select("node"), "node", "left_anti")
         needed = materialize(nodes.join(self.classes, "node").select("node", "seen"))
+        if needed.isEmpty():
+            return
         word = lambda h: F.pmod(F.shiftright(h, 6), F.lit(FILTER_BITS // 64))
         bit = lambda h: F.expr(f"shiftleft(1L, cast({h} & 63 AS int))")
         filter_ = needed.groupBy(word(F.col("seen")).alias("w")).agg(F.bit_or(bit("seen")).alias("m"))  # FILTER_BITS / 64 rows at most
@@ -323,10 +336,31 @@ class _Verifier:
         )
         items = again.mapInArrow(_arrays, "node binary, items binary").join(needed.select("node"), "node", "left_semi")
         items = materialize(items.groupBy("node").agg(F.any_value("items").alias("items")))
-        side = lambda x: items.select(F.col("node").alias(x), F.col("items").alias(f"{x}items"))
+        self.items = items if self.items is None else self.items.unionByName(items)
+
+    def exact(self, pairs: DataFrame) -> DataFrame:
+        """Those of the (written) pairs that link."""
+        self._read(pairs)
+        if self.items is None:
+            return pairs
+        side = lambda x: self.items.select(F.col("node").alias(x), F.col("items").alias(f"{x}items"))
         return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_exact, "a binary, b binary"))
 
 
+def _labelled(posts: DataFrame, known: DataFrame | None) -> DataFrame:
+    if known is None:
+        return posts.withColumn("component", F.col("node"))
+    return posts.drop("component").join(known.withColumnRenamed("u", "node"), "node", "left").select("hash", "node", "n", F.coalesce("root", "node").alias("component"))
+
+
+def _star_pairs(posts: DataFrame, turn: int) -> DataFrame:
+    """For each class one head (a, b) of another component: of each shingle the class that a hash of this turn draws."""
+    draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "component")
+    heads = posts.groupBy("hash").agg(F.min(draw).alias("head")).select("hash", "head.node", "head.component").toDF("hash", "head", "of")
+    stars = posts.join(heads, "hash").where("component <> of").groupBy("node", "head").agg(F.count("*").alias("shared"))
+    return stars.groupBy("node").agg(F.max_by("head", F.struct("shared", F.xxhash64("head", F.lit(turn)))).alias("b")).withColumnRenamed("node", "a")
+
+
 def jaccard_components(docs: DataFrame, hot_shingles: int = HOT_SHINGLES, hot_from: int = HOT_FROM) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, class_size.
 
@@ -346,7 +380,7 @@ def jaccard_components(docs: DataFrame, hot_shingles: int = HOT_SHINGLES, hot_fr
         .select("node", "doc_id", "n", "class_size", "x.seen", "x.bits")
     )
     low = docs.select("text").mapInArrow(_low_hashes, "hash long, of long")
-    low = low.groupBy("hash").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.count("*").alias("c")).where("x <> y").select("hash", "c")
+    low = low.repartition("hash").groupBy("hash").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.count("*").alias("c")).where("x <> y").select("hash", "c")
     repeated = materialize(low)
     words = repeated.groupBy(F.pmod(F.shiftright("hash", 6), F.lit(REPEAT_BITS // 64)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 AS int))")).alias("m"))
     words = words.toArrow()  # REPEAT_BITS / 64 rows at most
@@ -358,31 +392,39 @@ def jaccard_components(docs: DataFrame, hot_shingles: int = HOT_SHINGLES, hot_fr
     shared = docs.sparkSession.sparkContext.broadcast(repeats)
     rows = docs.select("text").mapInArrow(partial(_prefix_rows, shared, hot), "hash long, node binary, n int")
     rows = rows.repartition("hash").dropDuplicates(["hash", "node"])
-    same = Window.partitionBy("hash")
-    posts = materialize(
-        rows.withColumn("cnt", F.count("*").over(same)).withColumn("head", F.min("node").over(same)).where("cnt > 1").select("hash", "node", "n", "head")
-    )
+    posts = materialize(rows.withColumn("cnt", F.count("*").over(Window.partitionBy("hash"))).where("cnt > 1").select("hash", "node", "n"))
     verifier = _Verifier(docs, classes)
-    stars = posts.where("node <> head").groupBy("node", "head").agg(F.count("*").alias("shared"))
-    stars = stars.groupBy("node").agg(F.max_by("head", F.struct("shared", "head")).alias("head"))
-    stars = verifier.exact(materialize(verifier.bounded(stars.select(F.col("node").alias("a"), F.col("head").alias("b")))))
-    known = components(stars)
+    links, known, turn, going = None, None, 0, True
+    while going:
+        pairs = verifier.bounded(_star_pairs(_labelled(posts.where(F.pmod("hash", F.lit(SLICES)) == turn % SLICES), known), turn))
+        found = verifier.exact(pairs)
+        tried, linked_now = pairs.count(), found.count()
+        if linked_now:
+            links = found if links is None else links.unionByName(found)
+            known = components(links)
+        turn += 1
+        going = tried > 0 and linked_now >= GAIN * tried
+    posts = _labelled(posts, known)
+    mixed = posts.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("hash")
+    posts = materialize(posts.join(mixed, "hash", "left_semi"))
 
-    labelled = posts.drop("head").join(known.withColumnRenamed("u", "node"), "node", "left").select("hash", "node", "n", F.coalesce("root", "node").alias("component"))
-    mixed = labelled.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("hash")
     size = F.floor(F.log(F.col("n").cast("double")) / F.lit(BAND)).cast("int")
+    lists = posts.groupBy("node").agg(F.array_sort(F.collect_list("hash")).alias("hashes"))  # at most a document's prefix
     tiles = (
-        labelled.join(mixed, "hash", "left_semi")
-        .join(classes.select("node", "bits"), "node")
+        posts.join(lists.join(classes.select("node", "bits"), "node"), "node")
         .withColumn("band", F.explode(F.array(size, size + 1)))
         .withColumn("home", F.col("band") == size)
         .repartition("hash", "band")
         .sortWithinPartitions("hash", "band", "n", "node")
-        .select("hash", "band", "node", "n", "component", "bits", "home")
+        .select("hash", "band", "node", "n", "component", "bits", "home", "hashes")
     )
-    pairs = materialize(tiles.mapInArrow(_tiles, "a binary, b binary").distinct())
-    links = stars if pairs.isEmpty() else stars.union(verifier.exact(pairs))
-    roots = known if links is stars else components(links)
+    pairs = materialize(tiles.mapInArrow(_tiles, "a binary, b binary"))
+    if not pairs.isEmpty():
+        found = verifier.exact(pairs)
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            known = components(links)
+    roots = known if known is not None else classes.select(F.col("node").alias("u"), F.col("node").alias("root")).limit(0)
 
     named = classes.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
