@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tokenloom.plans import lexicon_queries, text_queries
+from tokenloom.plans.registry import ORACLE, QUERIES
+
+__all__ = ["flagship", "lexicon_queries", "oracle_sql", "queries", "text_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n_docs"))
+    """Types of all tokens by language."""
+    return text_queries.token_typing(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
