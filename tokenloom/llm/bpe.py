@@ -26,7 +26,7 @@ CHUNK, OVERLAP = 65_536, 2_048
 #: No alternative of the pattern but the unbounded runs looks further ahead than this many characters.
 LOOKAHEAD = 4
 #: Pieces remembered by a worker; the memory is emptied when full.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 @lru_cache(maxsize=4)

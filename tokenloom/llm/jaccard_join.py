@@ -44,8 +44,8 @@ REPEAT_BITS, FILTER_BITS = 1 << 26, 1 << 23
 #: Just over 4/3, so that sizes that can link are at most one band apart in spite of rounding.
 BAND = math.log(100 / PERCENT) * (1 + 1e-9)
 BLOCK = 256
-#: Class keys that a worker remembers to skip copies, and bytes of text that it hashes at once.
-REMEMBERED, AT_ONCE = 200_000, 1 << 18
+#: Class keys that a worker remembers to skip copies, bytes of text that it hashes at once, and rows that it holds.
+REMEMBERED, AT_ONCE, ROWS = 200_000, 1 << 18, 1000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -165,8 +165,15 @@ def _signed(a: np.ndarray):
     return pa.array(a.view(np.int64))
 
 
-def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ROWS rows, so that a worker holds the sets of few texts at a time."""
     for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
+def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _small(batches):
         sets = list(shingle_sets(b.column("text").to_pylist()))
         keys = [set_key(s) if len(s) else None for s in sets]
         maps = [bitmap(s) if len(s) else None for s in sets]
@@ -177,7 +184,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _new_sets(batches):
     """(key, set) of each batch, without sets that this task has lately met."""
     known: set[bytes] = set()
-    for b in batches:
+    for b in _small(batches):
         out = []
         for s in shingle_sets(b.column("text").to_pylist()):
             if len(s) and (key := set_key(s)) not in known:
@@ -206,7 +213,7 @@ def _prefix_rows(repeats, hot, batches):
 
 
 def _arrays(batches):
-    for b in batches:
+    for b in _small(batches):
         sets = [s for s in shingle_sets(b.column("text").to_pylist()) if len(s)]
         yield pa.RecordBatch.from_arrays([pa.array(map(set_key, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
 
