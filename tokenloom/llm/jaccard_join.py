@@ -2,9 +2,10 @@
 
 Documents with equal shingle sets form a class, whose key is a 128-bit digest of the sorted set; all further work is on
 classes. Two sets that link share a shingle of their prefixes (the first n - ceil(0.75 n) + 1 shingles in one global
-order), so a tile holds the classes of one prefix shingle and one band of sizes, with the band below as visitors. In a
-tile, the bits that differ between two bitmaps bound the overlap from above; pairs beyond the bound meet their sorted
-arrays. Nothing is capped, and three things keep tiles small without losing a link:
+order). Each prefix shingle has a head, the least class key that has it; a tile holds the classes of all shingles of one
+head and of one band of sizes, with the band below as visitors. In a tile, the bits that differ between two bitmaps
+bound the overlap from above; pairs within the bound meet their sorted arrays. Nothing is capped, and three things keep
+tiles small without losing a link:
 
 * The global order puts shingles of one class only first, and those of the most frequent, up to HOT_SHINGLES, last.
   Which shingles several classes have is counted for the lower KNOWN of all hash values, and kept in a filter of fixed
@@ -124,8 +125,8 @@ def set_key(s: np.ndarray) -> bytes:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A bit for each hash modulo the width, a power of two from 256 to 65,536 that is four times the size or more."""
-    width = min(65_536, max(256, 1 << (4 * len(s) - 1).bit_length()))
+    """A bit for each hash modulo the width, a power of two from 256 to 65,536 that is eight times the size or more."""
+    width = min(65_536, max(256, 1 << (8 * len(s) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -240,15 +241,16 @@ def _exact(batches):
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _tile_pairs(tile: int, rows: list[tuple]):
-    """Pairs (smaller key first) of a tile that may link and whose first common tile it is: rows of (node, n, component,
-    bits, home, sorted hashes of its tiles)."""
+def _tile_pairs(head: bytes, rows: list[tuple]):
+    """Pairs (smaller key first) of a tile that may link and whose first common head it is: rows of (node, n, component,
+    bits, home, sorted heads)."""
     size = min(len(r[3]) for r in rows)
     bits = np.stack([folded(r[3], size) for r in rows])
     n = np.array([r[1] for r in rows], np.int64)
     codes: dict = {}
     component = np.array([codes.setdefault(r[2], len(codes)) for r in rows])
     home = np.array([r[4] for r in rows])
+    earlier = [{h for h in r[5] if h < head} for r in rows]
     at = np.arange(len(rows))
     for begin in range(0, len(rows), BLOCK):
         here = slice(begin, begin + BLOCK)
@@ -262,13 +264,12 @@ def _tile_pairs(tile: int, rows: list[tuple]):
                 differing = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
                 good = linked(n[x], n[y], overlap_bound(n[x], n[y], differing))
                 for a, b in zip(x[good].tolist(), y[good].tolist()):
-                    if rows[a][5][0] != tile != rows[b][5][0] and np.intersect1d(rows[a][5], rows[b][5], assume_unique=True)[0] != tile:
-                        continue
-                    yield (rows[a][0], rows[b][0]) if rows[a][0] < rows[b][0] else (rows[b][0], rows[a][0])
+                    if earlier[a].isdisjoint(earlier[b]):
+                        yield (rows[a][0], rows[b][0]) if rows[a][0] < rows[b][0] else (rows[b][0], rows[a][0])
 
 
 def _tiles(batches):
-    """Reads rows ordered by (hash, band); yields the pairs of each tile."""
+    """Reads rows ordered by (head, band); yields the pairs of each tile."""
     tile, rows, pairs = None, [], []
 
     def out():
@@ -277,17 +278,15 @@ def _tiles(batches):
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in done], pa.binary()) for i in (0, 1)], ["a", "b"])
 
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("hash", "band", "node", "n", "component", "bits", "home")]
-        lists = b.column("hashes")
-        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *lists.value_lengths().to_pylist()])
-        for k, (h, size, *row) in enumerate(zip(*cols)):
-            if (h, size) != tile:
+        cols = [b.column(c).to_pylist() for c in ("head", "band", "node", "n", "component", "bits", "home", "heads")]
+        for head, size, *row in zip(*cols):
+            if (head, size) != tile:
                 if len(rows) > 1:
                     pairs.extend(_tile_pairs(tile[0], rows))
                     if len(pairs) > 100_000:
                         yield out()
-                tile, rows = (h, size), []
-            rows.append((*row, flat[ends[k] : ends[k + 1]]))
+                tile, rows = (head, size), []
+            rows.append(tuple(row))
     if len(rows) > 1:
         pairs.extend(_tile_pairs(tile[0], rows))
     yield out()
@@ -412,18 +411,17 @@ def jaccard_components(docs: DataFrame, hot_shingles: int = HOT_SHINGLES, hot_fr
         turn += 1
         going = tried > 0 and linked_now >= GAIN * tried
     posts = _labelled(posts, known)
-    mixed = posts.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("hash")
-    posts = materialize(posts.join(mixed, "hash", "left_semi"))
-
+    mixed = posts.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("node").alias("head")).where("x <> y").select("hash", "head")
+    heads = posts.join(mixed, "hash").groupBy("node", "n", "component").agg(F.array_sort(F.collect_set("head")).alias("heads"))  # at most a document's prefix
     size = F.floor(F.log(F.col("n").cast("double")) / F.lit(BAND)).cast("int")
-    lists = posts.groupBy("node").agg(F.array_sort(F.collect_list("hash")).alias("hashes"))  # at most a document's prefix
     tiles = (
-        posts.join(lists.join(classes.select("node", "bits"), "node"), "node")
+        heads.join(classes.select("node", "bits"), "node")
+        .withColumn("head", F.explode("heads"))
         .withColumn("band", F.explode(F.array(size, size + 1)))
         .withColumn("home", F.col("band") == size)
-        .repartition("hash", "band")
-        .sortWithinPartitions("hash", "band", "n", "node")
-        .select("hash", "band", "node", "n", "component", "bits", "home", "hashes")
+        .repartition("head", "band")
+        .sortWithinPartitions("head", "band", "n", "node")
+        .select("head", "band", "node", "n", "component", "bits", "home", "heads")
     )
     pairs = materialize(tiles.mapInArrow(_tiles, "a binary, b binary"))
     if not pairs.isEmpty():
