@@ -32,8 +32,8 @@ def _same():
 
 
 def templates(docs: DataFrame) -> DataFrame:
-    """doc_id, same, at (line from 0), tokens, keys: array of template keys, for each line that has templates."""
-    texts = docs.where("text IS NOT NULL").select("doc_id", _same().alias("same"), F.split("text", "\n").alias("lines"))
+    """For rows (doc_id, text, same): doc_id, same, at (line from 0), tokens, keys: array of template keys, for each line that has templates."""
+    texts = docs.where("text IS NOT NULL").select("doc_id", "same", F.split("text", "\n").alias("lines"))
     lines = texts.select("doc_id", "same", F.posexplode("lines").alias("at", "line"))
     line = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", VARIABLE, "$1<*>")).otherwise(F.col("line"))
     for c in SPACES[1:]:
@@ -59,21 +59,23 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     added = ["n_lines", "n_dropped", "kept_share"]
     docs = docs.drop(*added)
-    lines = materialize(templates(docs))
+    columns = docs.columns
+    # the row as one value, so that no name of its columns can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "doc_id", "text", _same().alias("same"))
+    lines = materialize(templates(rows))
     each = lines.select("doc_id", "same", "at", F.explode("keys").alias("key"))
     first = each.groupBy("key").agg(F.min("doc_id").alias("first"))
     again = each.join(first.where("first IS NOT NULL"), "key").where("first < doc_id OR doc_id IS NULL")
     drops = again.groupBy("same").agg(F.array_sort(F.collect_set("at")).alias("drops"))  # at most the lines of a document
-    drops = drops.withColumnsRenamed({"same": "__same", "drops": "__drops"})
-    out = docs.withColumn("__same", _same()).join(drops, "__same", "left")
-    none = F.array().cast("array<int>")
-    out = out.withColumn("__drops", F.coalesce("__drops", none)).withColumn("n_dropped", F.size("__drops").cast("long"))
+    out = rows.join(drops, "same", "left").withColumn("drops", F.coalesce("drops", F.array().cast("array<int>")))
     breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
-    stay = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__drops", i)), "\n")
-    out = out.withColumn("__text", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(stay))
-    share = F.when(F.col("n_dropped") == 0, 1.0).otherwise(F.octet_length("__text") / F.octet_length("text"))
-    out = out.withColumn("n_lines", F.coalesce(breaks + 1, F.lit(0)).cast("long")).withColumn("kept_share", share)
-    return out.withColumn("text", F.col("__text")).select(*docs.columns, *added)
+    stay = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("drops", i)), "\n")
+    out = out.select(
+        "row", "text", F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"), F.size("drops").cast("long").alias("n_dropped"),
+        F.when(F.size("drops") == 0, F.col("text")).otherwise(stay).alias("stay"),
+    )
+    share = F.when(F.col("n_dropped") == 0, 1.0).otherwise(F.octet_length("stay") / F.octet_length("text"))
+    return out.select(*(F.col("stay").alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in columns), "n_lines", "n_dropped", share.alias("kept_share"))
 
 
 def drop_documents(deduped: DataFrame, least: float = LEAST_KEPT) -> DataFrame:

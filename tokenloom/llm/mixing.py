@@ -25,10 +25,11 @@ REPETITION = 2.0
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """docs with __tokens, its white-space words, and __source, its source ('' for null)."""
-    return docs.withColumn("__tokens", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")).withColumn(
-        "__source", F.coalesce(F.col("source").cast("string"), F.lit(""))
-    )
+    """row (all of docs as one value, so that no name can clash), doc_id, text, __tokens (white-space words) and __source
+    ('' for null)."""
+    tokens = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(row, "doc_id", "text", tokens.alias("__tokens"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source"))
 
 
 def bisect(low: float, high: float, rises, target: float) -> float:
@@ -102,7 +103,7 @@ def mixed(docs: DataFrame, entropy: float | None = None, repetition: float | Non
     part = used.where("left < n").withColumn("__before", F.sum("__tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__tokens"))
     part = part.where("__before < left AND __tokens > 0").drop("__before")
     out = whole.where("pass_no = 0 OR __tokens > 0").unionByName(part)
-    return out.select(*docs.columns, "pass_no", F.coalesce("block", F.lit(0)).alias("block"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("exponent", F.lit(1.0)).alias("exponent"))
+    return out.select(*(F.col(f"row.`{c}`") for c in docs.columns), "pass_no", F.coalesce("block", F.lit(0)).alias("block"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("exponent", F.lit(1.0)).alias("exponent"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
