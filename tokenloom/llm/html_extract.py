@@ -84,15 +84,15 @@ def _tags(html: str):
             yield m.start(), at, False, "", ""
 
 
-def _end_of(tags: list, i: int) -> int:
-    """Index of the tag that closes the container opened at i; of where an unclosed one ends."""
+def _end_of(tags: list, i: int, end: int) -> tuple[int, int]:
+    """Index of the last tag of the container opened at i, and where what follows it begins."""
     name, depth = tags[i][3], 0
     for k in range(i, len(tags)):
         if tags[k][3] == name:
             depth += -1 if tags[k][2] else 1
             if not depth:
-                return k
-    return next((k - 1 for k in range(i + 1, len(tags)) if tags[k][3] in _STOPS), len(tags) - 1)
+                return k, tags[k][1]
+    return next(((k - 1, tags[k][0]) for k in range(i + 1, len(tags)) if tags[k][3] in _STOPS), (len(tags) - 1, end))
 
 
 def blocks(html: str) -> list[tuple[str, float, bool]]:
@@ -130,8 +130,7 @@ def blocks(html: str) -> list[tuple[str, float, bool]]:
         elif not closing and name not in _VOID and _is_bad(name, attributes, inside > 0):
             if name in _BLOCK:
                 close()
-            i = _end_of(tags, i)
-            at = tags[i][1]
+            i, at = _end_of(tags, i, len(html))
         elif name in _BLOCK:
             close()
             link = False
