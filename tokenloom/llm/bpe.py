@@ -146,8 +146,8 @@ def _chunk_starts(vocabulary: str):
         for b in batches:
             starts = [boundaries(w.as_py(), pattern) for w in b.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("doc_id"), b.column("at"), b.column("core"), pa.array(starts, pa.list_(pa.int32()))],
-                ["row", "doc_id", "at", "core", "starts"],
+                [b.column("same"), b.column("doc_id"), b.column("at"), b.column("core"), pa.array(starts, pa.list_(pa.int32()))],
+                ["same", "doc_id", "at", "core", "starts"],
             )
 
     return run
@@ -156,12 +156,15 @@ def _chunk_starts(vocabulary: str):
 def _stitched(kind: str, vocabulary: str, overlap: int):
     def run(group: pa.Table) -> pa.Table:
         pattern = _codec(vocabulary)[0]
-        group = group.sort_by("at")
-        cores, starts = group["core"].to_pylist(), group["starts"].to_pylist()
+        # equal rows come together: each chunk is there once for each of them
+        parts = {at: x for at, *x in zip(*(group[c].to_pylist() for c in ("at", "core", "starts")))}
+        equal = group["at"].to_pylist().count(0)
+        cores, starts = zip(*(parts[i] for i in sorted(parts)))
         text, at = "".join(cores), stitch(cores, starts, pattern, overlap)
         pieces = [text[a:b] for a, b in zip(at, [*at[1:], len(text)])]
         (row,) = _rows(kind, vocabulary, [text], lambda _: pieces)
-        return pa.table([group["doc_id"].slice(0, 1).combine_chunks(), *(pa.array([v], t) for v, (_, t) in zip(row, _columns(kind)))], ["doc_id", *(n for n, _ in _columns(kind))])
+        doc_ids = pa.array(group["doc_id"].slice(0, 1).to_pylist() * equal, group["doc_id"].type)
+        return pa.table([doc_ids, *(pa.array([v] * equal, t) for v, (_, t) in zip(row, _columns(kind)))], ["doc_id", *(n for n, _ in _columns(kind))])
 
     return run
 
@@ -183,12 +186,12 @@ def bpe_encode(docs: DataFrame, kind: str = "ids", vocabulary: str = VOCABULARY,
     parts = F.transform("cores", lambda c, i: F.struct(c.alias("core"), F.concat(c, F.left(F.coalesce(F.get("cores", i + 1), F.lit("")), F.lit(overlap))).alias("text")))
     long = (
         docs.where(~whole)
-        .select(F.monotonically_increasing_id().alias("row"), "doc_id", cores.alias("cores"))
-        .select("row", "doc_id", F.posexplode(parts).alias("at", "part"))
-        .select("row", "doc_id", "at", "part.core", "part.text")
-        .repartition("row", "at")
-        .mapInArrow(_chunk_starts(vocabulary), f"row long, {out.split(',')[0]}, at int, core string, starts array<int>")
-        .groupBy("row")
+        .select(F.xxhash64("doc_id", "text").alias("same"), "doc_id", cores.alias("cores"))
+        .select("same", "doc_id", F.posexplode(parts).alias("at", "part"))
+        .select("same", "doc_id", "at", "part.core", "part.text")
+        .repartition("same", "at")
+        .mapInArrow(_chunk_starts(vocabulary), f"same long, {out.split(',')[0]}, at int, core string, starts array<int>")
+        .groupBy("same", "doc_id")
         .applyInArrow(_stitched(kind, vocabulary, overlap), out)
     )
     return short.unionByName(long)
