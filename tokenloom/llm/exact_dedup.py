@@ -55,15 +55,17 @@ def exact_dedup(docs: DataFrame, hash_of=F.xxhash64) -> DataFrame:
     )
     if not shared.isEmpty():  # else every hash is verified to stand for one content
         subs = (
-            cut.select("row", F.posexplode("parts").alias("at", "part"))
+            cut.select(F.sha2("norm", 256).alias("sha"), F.posexplode("parts").alias("at", "part"))
             .withColumn("h", hash_of(F.col("part")))
             .join(shared, ["h", "part"])
-            .groupBy("row")
+            .groupBy("sha", "at")
+            .agg(F.min("sub").alias("sub"))
+            .groupBy("sha")
             .agg(F.map_from_entries(F.collect_list(F.struct("at", "sub"))).alias("subs"))
         )
         empty = F.create_map().cast("map<int,int>")
         recipes = (
-            recipes.join(subs, "row", "left")
+            recipes.join(subs, "sha", "left")
             .withColumn("subs", F.coalesce("subs", empty))
             .withColumn("subs", F.transform("recipe", lambda h, i: F.coalesce(F.try_element_at("subs", i), F.lit(0)).cast("long")))
             .withColumn("recipe", F.concat("recipe", "subs"))
