@@ -33,8 +33,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the least doc_id (null ids all stay)."""
     groups = jaccard_components(docs)
-    drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_ := fresh(docs, "__id"))).distinct()
-    return docs.join(drop, docs["doc_id"] == drop[id_], "left_anti")
+    id_, hash_ = fresh(docs, "__id"), fresh(docs, "__hash")
+    drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    return docs.join(drop, (docs["doc_id"] == drop[id_]) & (F.xxhash64(docs["text"]) == drop[hash_]), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

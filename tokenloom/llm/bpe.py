@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import table
+from tokenloom.llm.common import small_batches, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CHUNK, OVERLAP = 65_536, 2_048
@@ -179,7 +179,7 @@ def bpe_encode(docs: DataFrame, kind: str = "ids", vocabulary: str = VOCABULARY,
     """
     assert chunk > overlap > LOOKAHEAD
     out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + (DIGEST if kind == "digest" else "ids array<int>")
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs.select("doc_id", "text"))
     whole = F.coalesce(F.char_length("text") <= chunk, F.lit(True))
     short = docs.where(whole).mapInArrow(_encode_whole(kind, vocabulary), out)
     cores = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))

@@ -15,7 +15,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm.common import table
+from tokenloom.llm.common import small_batches, table
 
 #: Frequent function words of the four languages.
 STOP_WORDS = frozenset(
@@ -195,7 +195,7 @@ def html_extract(pages: DataFrame) -> DataFrame:
     are, repeated rows each give a row, an empty table gives no rows, other columns are ignored.
     """
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    return pages.select("page_id", "url", "html").mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return small_batches(pages.select("page_id", "url", "html")).mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import materialize, most_frequent, table
+from tokenloom.llm.common import materialize, most_frequent, small_batches, table
 
 SHINGLE, PERCENT = 5, 75
 HOT_SHINGLES, HOT_FROM = 65_536, 32
@@ -367,15 +367,15 @@ def _star_pairs(posts: DataFrame, turn: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, hot_shingles: int = HOT_SHINGLES, hot_from: int = HOT_FROM) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, class_size.
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, class_size, text_hash.
 
-    component_id is the least doc_id among the documents reachable by links, itself included; class_size counts the
+    text_hash is xxhash64 of the text, to join results back where ids repeat. component_id is the least doc_id among the documents reachable by links, itself included; class_size counts the
     documents with the same shingle set. Documents without words or text have no shingles, link with nothing and have
     their own doc_id as component. Repeated rows are copies of each other. Null doc_ids take part; they are a
     component's id only if all its ids are null. An empty table gives no rows; other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs.select("doc_id", "text"))
     first = materialize(
         docs.select("doc_id", F.xxhash64("text").alias("seen"), "text").mapInArrow(_first_pass, f"doc_id {kind}, seen long, n long, node binary, bits binary")
     )
@@ -433,12 +433,12 @@ def jaccard_components(docs: DataFrame, hot_shingles: int = HOT_SHINGLES, hot_fr
     named = classes.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "root").select("node", "component_id", "class_size")
-    out = sets.join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size")
-    return out.union(first.where("n = 0").select("doc_id", "n", "doc_id", F.lit(1).cast("long")))
+    out = sets.join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size", F.col("seen").alias("text_hash"))
+    return out.union(first.where("n = 0").select("doc_id", "n", "doc_id", F.lit(1).cast("long"), "seen"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 QUERIES = {"op6_jaccard_join": op6_jaccard_join}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import materialize, table
+from tokenloom.llm.common import materialize, small_batches, table
 
 LANGUAGES = ("en", "fr", "de", "es")
 OTHER = "und"
@@ -99,6 +99,7 @@ def language_id(rows: DataFrame, languages=LANGUAGES, sample: int = SAMPLE) -> D
     less than LEAST_PROBABILITY. Ties go to the language named first. An empty table gives no rows.
     """
     names, k = [*languages, OTHER], len(languages) + 1
+    rows = small_batches(rows)
     model = text_models(rows, languages, sample)
     kind = rows.schema["id"].dataType.simpleString()
     scored = materialize(

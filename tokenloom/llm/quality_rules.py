@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm.common import SPACES, table
+from tokenloom.llm.common import SPACES, small_batches, table
 
 CHUNK = 4096
 BAD_CHUNKS = 0.5
@@ -119,7 +119,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     Repeated rows each give a row, null doc_ids are returned, an empty table gives no rows, other columns are ignored.
     """
     fields = ", ".join(f"{n} {t}" for n, t in [("doc_id", docs.schema["doc_id"].dataType.simpleString()), *FIELDS])
-    return docs.select("doc_id", "text").mapInArrow(_measure, fields)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(_measure, fields)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
