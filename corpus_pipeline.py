@@ -26,8 +26,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that recur from documents with smaller ids; documents of which little stays go."""
-    return drop_documents(line_dedup(docs)).select(*docs.columns)
+    """Texts without lines, however short, that recur from documents with smaller ids; documents of which little stays go."""
+    return drop_documents(line_dedup(docs, short=True)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

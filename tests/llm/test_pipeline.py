@@ -44,3 +44,11 @@ def test_run_equals_the_stages_one_by_one(spark, tmp_path):
         want = stage(spark, want, "")
     assert sorted(map(repr, got)) == sorted(map(repr, want.collect())) and got
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} == set(got[0].asDict())
+
+
+def test_line_stage_drops_short_lines_too(spark):
+    own = [f"line of document {c} with {c * 3} and {c * 5} that no other has" for c in "abcd"]
+    data = [(1, f"All rights reserved.\n{own[0]}\n\nLes.\n7"), (2, f"{own[1]}\nLes.\n\nAll  rights reserved.\n8"), (3, f"Les.\n{own[2]}\nLes\nOf, edti oner."), (None, f"Of, edti oner.\n{own[3]}\n8\n9")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in p.line_stage(spark, docs, "").collect()}
+    assert got == {1: data[0][1], 2: f"{own[1]}\n\n8", 3: f"{own[2]}\nLes\nOf, edti oner.", None: f"{own[3]}\n9"}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import SPACES, materialize, table
 
-#: Leading tokens that lead to a leaf; lines without a further token have no template and stay.
+#: Leading tokens that lead to a leaf; lines without a further token have a template only where short lines count.
 LEAD = 3
 #: Lines of so many tokens have templates with a variable half.
 SPLIT_FROM = 12
@@ -31,28 +31,42 @@ def _same():
     return F.xxhash64("doc_id", "text")
 
 
-def templates(docs: DataFrame) -> DataFrame:
-    """For rows (doc_id, text, same): doc_id, same, at (line from 0), tokens, keys: array of template keys, for each line that has templates."""
+def templates(docs: DataFrame, short: bool = False) -> DataFrame:
+    """For rows (doc_id, text, same): doc_id, same, at (line from 0), tokens, keys: array of template keys, for each line that has templates.
+
+    With short, lines of one to LEAD tokens have a leaf too: their tokens as they are, digits included, since a field
+    says little where nothing else stands around it. Lines without tokens never have one.
+    """
     texts = docs.where("text IS NOT NULL").select("doc_id", "same", F.split("text", "\n").alias("lines"))
     lines = texts.select("doc_id", "same", F.posexplode("lines").alias("at", "line"))
+
+    def words(line):
+        for c in SPACES[1:]:
+            line = F.replace(line, F.lit(c), F.lit(" "))
+        return F.array_remove(F.split(line, " "), "")
+
     line = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", VARIABLE, "$1<*>")).otherwise(F.col("line"))
-    for c in SPACES[1:]:
-        line = F.replace(line, F.lit(c), F.lit(" "))
-    lines = lines.withColumn("t", F.array_remove(F.split(line, " "), "")).withColumn("tokens", F.size("t"))
+    lines = lines.withColumn("t", words(line)).withColumn("tokens", F.size("t"))
     n, t, half = F.col("tokens"), F.col("t"), F.ceil(F.col("tokens") / 2).cast("int")
 
     def key(kind: int, kept):
         path = [n, *(t[i] for i in range(LEAD)), F.lit(kind), kept]
         return F.struct(F.xxhash64(*path).alias("a"), F.xxhash64(F.lit(1), *path).alias("b"))
 
+    def leaf(kept):
+        return F.struct(F.xxhash64(n, F.lit(3), kept).alias("a"), F.xxhash64(F.lit(1), n, F.lit(3), kept).alias("b"))
+
     keys = F.when(n >= SPLIT_FROM, F.array(key(0, t), key(1, F.slice(t, 1, half)), key(2, F.slice(t, half + 1, n)))).otherwise(F.array(key(0, t)))
-    return lines.where(n > LEAD).select("doc_id", "same", "at", "tokens", keys.alias("keys"))
+    if short:
+        keys = F.when(n <= LEAD, F.array(leaf(words(F.col("line"))))).otherwise(keys)
+    return lines.where(n > (0 if short else LEAD)).select("doc_id", "same", "at", "tokens", keys.alias("keys"))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, short: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) with text reduced to the lines that stay, and n_lines, n_dropped, kept_share added.
 
-    A line is dropped when one of its templates occurs in a document with a smaller doc_id. Lines repeated within one
+    A line is dropped when one of its templates occurs in a document with a smaller doc_id; lines of one to LEAD tokens
+    are looked at only with short, and drop where the same tokens recur. Lines repeated within one
     document, rows with the same doc_id, and rows without doc_id among themselves do not count as recurring; a row
     without doc_id loses what any document with one has. kept_share is the share of bytes that stay. Null texts stay null and empty ones empty, with 0 or 1 lines. An empty table gives no rows; all other
     columns are kept as they are, and columns named like an added one are replaced.
@@ -62,7 +76,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     # the row as one value, so that no name of its columns can clash
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "doc_id", "text", _same().alias("same"))
-    lines = materialize(templates(rows))
+    lines = materialize(templates(rows, short))
     each = lines.select("doc_id", "same", "at", F.explode("keys").alias("key"))
     first = each.groupBy("key").agg(F.min("doc_id").alias("first"))
     again = each.join(first.where("first IS NOT NULL"), "key").where("first < doc_id OR doc_id IS NULL")
