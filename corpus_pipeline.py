@@ -26,16 +26,28 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines, however short, that recur from documents with smaller ids; documents of which little stays go."""
-    return drop_documents(line_dedup(docs, short=True)).select(*docs.columns)
+    """Texts without lines, however short, that recur from documents with smaller ids, or from earlier rows with that id or
+    without one; documents of which little stays go. Rows equal in id and text are left to the next stage."""
+    return drop_documents(line_dedup(docs, short=True, by_row=True)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least doc_id (null ids all stay)."""
-    groups = jaccard_components(docs)
+    """One row of each group of near duplicates stays: the one with the least doc_id (null ids last), then the least hash
+    of its text, then the first by all its columns. Documents without words are in no group and all stay."""
     id_, hash_ = fresh(docs, "__id"), fresh(docs, "__hash")
-    drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
-    return docs.join(drop, (docs["doc_id"] == drop[id_]) & (F.xxhash64(docs["text"]) == drop[hash_]), "left_anti")
+    groups = jaccard_components(docs).where("first IS NOT NULL").select("text_hash", F.col("doc_id").alias(id_), "first")
+    stays = F.col(id_).eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.seen"))
+    # what goes, and the few rows that come first more than once
+    found = groups.groupBy(id_, F.col("text_hash").alias(hash_)).agg(F.max(stays).alias("stays"), F.count("*").alias("rows")).where("NOT stays OR rows > 1")
+    found = materialize(found.select(id_, hash_, "stays"))
+    again = found.where("stays").select(id_, hash_)
+    same = lambda x: docs["doc_id"].eqNullSafe(x[id_]) & (F.xxhash64(docs["text"]) == x[hash_])
+    out = docs.join(found.select(id_, hash_), same(found), "left_anti")
+    if again.isEmpty():
+        return out
+    rows = docs.join(again, same(again), "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    one = rows.groupBy(F.col("row.doc_id").alias(id_), F.xxhash64("row.text").alias(hash_)).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return out.unionAll(one.select("row.*"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

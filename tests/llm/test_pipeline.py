@@ -52,3 +52,21 @@ def test_line_stage_drops_short_lines_too(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string")
     got = {r.doc_id: r.text for r in p.line_stage(spark, docs, "").collect()}
     assert got == {1: data[0][1], 2: f"{own[1]}\n\n8", 3: f"{own[2]}\nLes\nOf, edti oner.", None: f"{own[3]}\n9"}
+
+
+def test_one_row_of_each_group_stays_where_ids_repeat_or_are_null(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    data = [(1, a, "s"), (1, a, "r"), (1, a, "r"), (None, a, "q"), (7, a + " more", "s"), (None, b, "s"), (None, b, "r"), (None, b + " more", "r"), (1, c, "s"), (2, c, "s"), (2, d, "s"), (3, "", "s"), (3, "", "s")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = [tuple(r) for r in p.near_duplicate_stage(spark, docs, "").collect()]
+    assert sorted(r for r in got if r[0] is not None) == [(1, a, "r"), (1, c, "s"), (2, d, "s"), (3, "", "s"), (3, "", "s")]
+    assert len(got) == 6 and next(r[1] for r in got if r[0] is None) in (b, b + " more")
+
+
+def test_lines_recur_among_rows_with_one_id_or_without(spark):
+    line = "a line that recurs in each of these rows"
+    own = [f"line of document {c} that no other document has" for c in ("one", "two", "three", "four")]
+    docs = spark.createDataFrame(list(zip([4, 4, None, None], (f"{line}\n{x}" for x in own))), "doc_id long, text string")
+    got = [tuple(r) for r in p.line_stage(spark, docs, "").collect()]
+    assert sum(line in t for _, t in got) == 1 and next(i for i, t in got if line in t) == 4
+    assert all(sum(x in t for _, t in got) == 1 for x in own)

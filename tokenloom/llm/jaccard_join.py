@@ -367,9 +367,11 @@ def _star_pairs(posts: DataFrame, turn: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, hot_shingles: int = HOT_SHINGLES, hot_from: int = HOT_FROM) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, class_size, text_hash.
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, class_size, text_hash, first.
 
-    text_hash is xxhash64 of the text, to join results back where ids repeat. component_id is the least doc_id among the documents reachable by links, itself included; class_size counts the
+    first is (no_id, doc_id, seen) of the row that comes first in the component: ids before null ids, then by id and by
+    text_hash; it is null where a document has no shingles. Unlike component_id it belongs to one component only, also
+    where ids repeat or are null. text_hash is xxhash64 of the text, to join results back where ids repeat. component_id is the least doc_id among the documents reachable by links, itself included; class_size counts the
     documents with the same shingle set. Documents without words or text have no shingles, link with nothing and have
     their own doc_id as component. Repeated rows are copies of each other. Null doc_ids take part; they are a
     component's id only if all its ids are null. An empty table gives no rows; other columns are ignored.
@@ -381,8 +383,9 @@ def jaccard_components(docs: DataFrame, hot_shingles: int = HOT_SHINGLES, hot_fr
     )
     sets = first.where("n > 0")
     classes = materialize(
-        sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.min(F.struct("seen", "bits")).alias("x"), F.count("*").alias("class_size"))
-        .select("node", "doc_id", "n", "class_size", "x.seen", "x.bits")
+        sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.min(F.struct("seen", "bits")).alias("x"), F.count("*").alias("class_size"),
+                             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "seen")).alias("first"))
+        .select("node", "doc_id", "n", "class_size", "x.seen", "x.bits", "first")
     )
     low = docs.select("text").mapInArrow(_low_hashes, "hash long, of long")
     low = low.repartition("hash").groupBy("hash").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.count("*").alias("c")).where("x <> y").select("hash", "c")
@@ -431,14 +434,14 @@ def jaccard_components(docs: DataFrame, hot_shingles: int = HOT_SHINGLES, hot_fr
     roots = known if known is not None else classes.select(F.col("node").alias("u"), F.col("node").alias("root")).limit(0)
 
     named = classes.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id", "class_size")
-    out = sets.join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size", F.col("seen").alias("text_hash"))
-    return out.union(first.where("n = 0").select("doc_id", "n", "doc_id", F.lit(1).cast("long"), "seen"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("first").alias("first"))
+    named = named.drop("first").join(least, "root").select("node", "component_id", "class_size", "first")
+    out = sets.join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size", F.col("seen").alias("text_hash"), "first")
+    return out.union(first.where("n = 0").select("doc_id", "n", "doc_id", F.lit(1).cast("long"), "seen", F.lit(None).cast(out.schema["first"].dataType)))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("text_hash")
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("text_hash", "first")
 
 
 QUERIES = {"op6_jaccard_join": op6_jaccard_join}

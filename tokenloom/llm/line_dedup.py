@@ -62,13 +62,15 @@ def templates(docs: DataFrame, short: bool = False) -> DataFrame:
     return lines.where(n > (0 if short else LEAD)).select("doc_id", "same", "at", "tokens", keys.alias("keys"))
 
 
-def line_dedup(docs: DataFrame, short: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, short: bool = False, by_row: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) with text reduced to the lines that stay, and n_lines, n_dropped, kept_share added.
 
     A line is dropped when one of its templates occurs in a document with a smaller doc_id; lines of one to LEAD tokens
     are looked at only with short, and drop where the same tokens recur. Lines repeated within one
     document, rows with the same doc_id, and rows without doc_id among themselves do not count as recurring; a row
-    without doc_id loses what any document with one has. kept_share is the share of bytes that stay. Null texts stay null and empty ones empty, with 0 or 1 lines. An empty table gives no rows; all other
+    without doc_id loses what any document with one has. With by_row, rows with one doc_id or without one count as
+    documents of their own: ids come before null ids, then rows go by a hash of id and text, so that only rows equal in
+    both are left as they are. kept_share is the share of bytes that stay. Null texts stay null and empty ones empty, with 0 or 1 lines. An empty table gives no rows; all other
     columns are kept as they are, and columns named like an added one are replaced.
     """
     added = ["n_lines", "n_dropped", "kept_share"]
@@ -78,8 +80,12 @@ def line_dedup(docs: DataFrame, short: bool = False) -> DataFrame:
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "doc_id", "text", _same().alias("same"))
     lines = materialize(templates(rows, short))
     each = lines.select("doc_id", "same", "at", F.explode("keys").alias("key"))
-    first = each.groupBy("key").agg(F.min("doc_id").alias("first"))
-    again = each.join(first.where("first IS NOT NULL"), "key").where("first < doc_id OR doc_id IS NULL")
+    if by_row:
+        place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "same")
+        again = each.join(each.groupBy("key").agg(F.min(place).alias("first")), "key").where(F.col("first") < place)
+    else:
+        first = each.groupBy("key").agg(F.min("doc_id").alias("first"))
+        again = each.join(first.where("first IS NOT NULL"), "key").where("first < doc_id OR doc_id IS NULL")
     drops = again.groupBy("same").agg(F.array_sort(F.collect_set("at")).alias("drops"))  # at most the lines of a document
     out = rows.join(drops, "same", "left").withColumn("drops", F.coalesce("drops", F.array().cast("array<int>")))
     breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
