@@ -80,3 +80,27 @@ def test_names():
     assert k.recognize(tokens, list("BCDO"), 108) == [(0, 3, 108), (3, 4, -1)]
     assert k.recognize(tokens, list("BBDS"), 108) == [(0, 1, -1), (1, 3, 108), (3, 4, 108)]
     assert k.recognize(tokens, list("BCDO"), 108, max_len=3) == tokens
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("中华人民共é ,。a1", max_size=14), st.dictionaries(st.text("中华人民共é1", min_size=1, max_size=3), st.integers(0, 50), max_size=12), st.sampled_from([3, 9, 60]))
+def test_n_best_of_a_whole_text_equals_all_paths(text, words, split_len):
+    lexicon, paths = k.Lexicon(words), [(0.0, [])]
+    for a, b, delimiter in k.chunks(text, split_len, 890):
+        at, edges = ([0, b - a], [(0, 1, None)]) if delimiter else k.lattice(text[a:b], lexicon)
+        ways = {0: [(0.0, [])]}
+        for i, j, f in sorted(edges):
+            ways.setdefault(j, []).extend((c + (0.0 if delimiter else k.cost(f, lexicon.total)), [*p, a + at[j]]) for c, p in ways[i])
+        paths = [(c + x, [*p, *q]) for c, p in paths for x, q in ways[len(at) - 1]]
+    got, all_costs = k.n_best_text(text, lexicon, 6, split_len), {tuple(p): c for c, p in paths}
+    assert len({tuple(p) for _, p in got}) == len(got) == min(6, len(paths))
+    assert all(abs(c - all_costs[tuple(p)]) < 1e-9 for c, p in got)
+    assert all(abs(c - w) < 1e-9 for (c, _), w in zip(got, sorted(all_costs.values())))
+
+
+def test_n_best_of_a_long_text_and_ties():
+    lexicon = k.Lexicon({"中华": 1, "华人": 1, "人民": 1})
+    (one, *_), text = k.n_best_text("中华人民。", lexicon), "中华人民。" * 20_000
+    got = k.n_best_text(text, lexicon)
+    assert len(got) == 6 and one[1] == [2, 4, 5] and got[0][1][-1] == len(text) and got == sorted(got)
+    assert k.n_best_text("", lexicon) == [(0.0, [])]

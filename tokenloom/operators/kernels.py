@@ -10,6 +10,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 from operator import add
 
 import numpy as np
@@ -194,6 +195,33 @@ def n_best(text: str, lexicon: Lexicon, n: int = 6) -> list[tuple[float, list[tu
     return [(x, [(at[a], at[b]) for a, b in zip(p, p[1:])]) for x, p in paths[-1]]
 
 
+def n_best_text(text: str, lexicon: Lexicon, n: int = 6, split_len=60, max_len=890) -> list[tuple[float, list[int]]]:
+    """The n cheapest paths of a whole text in chunks as segment() cuts it: (cost, ends of the tokens in characters),
+    cheapest first, then by where they step. Delimiters cost nothing. Chunks are independent, so the n cheapest of the
+    whole are among the sums of those of its chunks; a path is a chain, so that none is copied from chunk to chunk."""
+    state = [(0.0, 0, None)]  # cost, place among the kept paths by their steps, chain
+    for a, b, delimiter in chunks(text, split_len, max_len):
+        piece = text[a:b]
+        if delimiter:
+            found = [(0.0, (b,))]
+        elif lexicon.first.search(piece):
+            found = [(c, tuple(a + j for _, j in p)) for c, p in n_best(piece, lexicon, n)]
+        else:
+            ends = list(accumulate(map(len, _ATOM.findall(piece)), initial=a))[1:]
+            found = [(len(ends) * lexicon.single, tuple(ends))]
+        grown = sorted(((c + x, r, steps, chain) for c, r, chain in state for x, steps in found), key=lambda g: g[:3])[:n]
+        places = {k: r for r, k in enumerate(sorted(range(len(grown)), key=lambda k: grown[k][1:3]))}
+        state = [(c, places[k], (chain, steps)) for k, (c, _, steps, chain) in enumerate(grown)]
+    out = []
+    for c, _, chain in state:
+        parts = []
+        while chain:
+            chain, steps = chain
+            parts.append(steps)
+        out.append((c, [j for steps in reversed(parts) for j in steps]))
+    return out
+
+
 def number_tag(t: str, following: str | None, extended_time: bool = False) -> int:
     """The tag of a token of the number class."""
     n = len(t)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,6 +141,29 @@ def tagging_documents(spark, sf_dir):
     return _split_documents(spark, sf_dir, "tagging")
 
 
+@query()
+def nshort_documents(spark, sf_dir):
+    """The six cheapest paths of each whole document, in chunks; tested against all paths. Null texts give no rows."""
+    held = segment.load(derived(spark, sf_dir))
+
+    def run(frames):
+        import hashlib
+
+        import pandas as pd
+
+        for f in frames:
+            rows = []
+            for i, text in zip(f["key"], f["text"]):
+                off = kernels.byte_offsets(text)
+                for k, (c, ends) in enumerate(kernels.n_best_text(text, held, 6), 1):
+                    at = " ".join(map(str, off[np.array(ends, np.int64)].tolist()))
+                    rows.append((i, k, len(ends), round(c, 6), hashlib.sha256(at.encode()).hexdigest()))
+            yield pd.DataFrame(rows, columns=["key", "rank", "n_tokens", "cost", "digest"])
+
+    docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("key"), "text")
+    return docs.mapInPandas(run, "key string, rank long, n_tokens long, cost double, digest string").select(F.col("key").cast("long").alias("doc_id"), "rank", "n_tokens", "cost", "digest")
+
+
 _EDGES_SQL = rf"""toy(word, tag, freq) AS (VALUES {_TOY_VALUES}), sentences(key, text) AS (VALUES {_SENTENCE_VALUES}),
 atoms AS (SELECT key, unnest(regexp_extract_all(text, '{ATOM_SQL}')) AS w, generate_subscripts(regexp_extract_all(text, '{ATOM_SQL}'), 1) - 1 AS i FROM sentences),
 spans AS (SELECT a.key, a.i, b.i + 1 AS j, (SELECT string_agg(c.w, '' ORDER BY c.i) FROM atoms c WHERE c.key = a.key AND c.i BETWEEN a.i AND b.i) AS word
