@@ -13,24 +13,30 @@ tiles small without losing a link:
 * Before the tiles, rounds of stars: each class is tried against one head, of all heads of its prefix shingles the one
   that most of them have; heads are drawn anew each round. The verified stars collapse groups of near copies, and pairs
   within a known component need no further test. A round looks at a slice of the shingles.
-* Prefix shingles of only one component are left out, and a pair is made in the first tile only that both are in.
+* Prefix shingles of only one component are left out, and a pair belongs to the first tile only that both are in.
+* A tile that is large is dealt by a hash of the class into parts, and each pair of parts is a tile of its own.
 
-Components are contracted by alternating large and small stars over written tables.
+Tiles are read twice, first with bitmaps, which tells the classes that may have a partner, then with those classes' sorted
+arrays. There pairs are verified, and each link found joins two components at once, so that a tile makes fewer links than
+it has rows, however many of its pairs link.
+
+Components are contracted by alternating large and small stars over written tables, new links between the roots known
+before. Keys that hold many rows are dealt over several tasks in every join.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import materialize, most_frequent, small_batches, table
+from tokenloom.llm.common import dealt_join, discard, hot_keys, materialize, most_frequent, same_files, table
 
 SHINGLE, PERCENT = 5, 75
 HOT_SHINGLES, HOT_FROM = 65_536, 32
@@ -44,7 +50,8 @@ _LIMIT = np.uint64(int(KNOWN * 2**64))
 REPEAT_BITS, FILTER_BITS = 1 << 26, 1 << 23
 #: Just over 4/3, so that sizes that can link are at most one band apart in spite of rounding.
 BAND = math.log(100 / PERCENT) * (1 + 1e-9)
-BLOCK = 256
+#: Pairs are looked at in blocks of so many rows by as many; a tile of more rows or shingles than these is split.
+BLOCK, TILE_ROWS, TILE_SHINGLES = 256, 1024, 1 << 21
 #: Class keys that a worker remembers to skip copies, bytes of text that it hashes at once, and rows that it holds.
 REMEMBERED, AT_ONCE, ROWS = 200_000, 1 << 18, 1000
 
@@ -231,65 +238,119 @@ def _bounded(batches):
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def meets(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted arrays link."""
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return linked(len(x), len(y), int((y[at] == x).sum()))
+
+
 def _exact(batches):
     for b in batches:
-        keep = []
-        for x, y in zip(b.column("aitems"), b.column("bitems")):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            keep.append(linked(len(x), len(y), int((y[at] == x).sum())))
+        sets = (np.frombuffer(x.as_py(), np.uint64) for pair in zip(b.column("aitems"), b.column("bitems")) for x in pair)
+        keep = [meets(x, y) for x, y in zip(sets, sets)]
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _tile_pairs(head: bytes, rows: list[tuple]):
-    """Pairs (smaller key first) of a tile that may link and whose first common head it is: rows of (node, n, component,
-    bits, home, sorted heads)."""
-    size = min(len(r[3]) for r in rows)
-    bits = np.stack([folded(r[3], size) for r in rows])
-    n = np.array([r[1] for r in rows], np.int64)
-    codes: dict = {}
-    component = np.array([codes.setdefault(r[2], len(codes)) for r in rows])
-    home = np.array([r[4] for r in rows])
-    earlier = [{h for h in r[5] if h < head} for r in rows]
-    at = np.arange(len(rows))
-    for begin in range(0, len(rows), BLOCK):
-        here = slice(begin, begin + BLOCK)
-        for other in range(begin, len(rows), BLOCK):
-            there = slice(other, other + BLOCK)
-            ok = (component[here, None] != component[None, there]) & (home[here, None] | home[None, there]) & (at[here, None] < at[None, there])
-            ok &= 100 * np.minimum(n[here, None], n[None, there]) >= PERCENT * np.maximum(n[here, None], n[None, there])
-            i, j = np.nonzero(ok)
-            for s in range(0, len(i), 16_384):
-                x, y = i[s : s + 16_384] + begin, j[s : s + 16_384] + other
-                differing = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
-                good = linked(n[x], n[y], overlap_bound(n[x], n[y], differing))
-                for a, b in zip(x[good].tolist(), y[good].tolist()):
-                    if earlier[a].isdisjoint(earlier[b]):
-                        yield (rows[a][0], rows[b][0]) if rows[a][0] < rows[b][0] else (rows[b][0], rows[a][0])
-
-
-def _tiles(batches):
-    """Reads rows ordered by (head, band); yields the pairs of each tile."""
-    tile, rows, pairs = None, [], []
-
-    def out():
-        done = pairs[:]
-        pairs.clear()
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in done], pa.binary()) for i in (0, 1)], ["a", "b"])
-
+class _Tile:
+    """Rows of one tile: columns of _TILE, and bits or items of each."""
+
+    def __init__(self, key: tuple, rows: list[dict], bits: list[bytes]):
+        self.head, self.rows = key[0], rows
+        size = min(map(len, bits))
+        self.bits = np.stack([folded(x, size) for x in bits])
+        self.n = np.array([r["n"] for r in rows], np.int64)
+        codes: dict = {}
+        self.component = np.array([codes.setdefault(r["component"], len(codes)) for r in rows])
+        self.home = np.array([r["home"] for r in rows])
+        part = np.array([r["part"] for r in rows])
+        #: In a tile of two parts, pairs within one belong to that part's own tile.
+        self.part = part if key[2] != key[3] else None
+        self.earlier = [{h for h in r["heads"] if h < self.head} for r in rows]
+
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of different components whose sizes and bitmaps leave a link possible, some at a time."""
+        n, component, home, at = self.n, self.component, self.home, np.arange(len(self.rows))
+        for begin in range(0, len(at), BLOCK):
+            here = slice(begin, begin + BLOCK)
+            for other in range(begin, len(at), BLOCK):
+                there = slice(other, other + BLOCK)
+                ok = (component[here, None] != component[None, there]) & (home[here, None] | home[None, there]) & (at[here, None] < at[None, there])
+                ok &= 100 * np.minimum(n[here, None], n[None, there]) >= PERCENT * np.maximum(n[here, None], n[None, there])
+                if self.part is not None:
+                    ok &= self.part[here, None] != self.part[None, there]
+                i, j = np.nonzero(ok)
+                for s in range(0, len(i), 16_384):
+                    x, y = i[s : s + 16_384] + begin, j[s : s + 16_384] + other
+                    differing = np.bitwise_count(self.bits[x] ^ self.bits[y]).sum(1, dtype=np.int64)
+                    good = linked(n[x], n[y], overlap_bound(n[x], n[y], differing))
+                    if good.any():
+                        yield x[good], y[good]
+
+    def marked(self) -> np.ndarray:
+        """Whether each row is in a candidate pair of which this is the first tile."""
+        out = np.zeros(len(self.rows), bool)
+        for x, y in self.candidates():
+            open_ = ~(out[x] & out[y])
+            for a, b in zip(x[open_].tolist(), y[open_].tolist()):
+                if not (out[a] and out[b]) and self.earlier[a].isdisjoint(self.earlier[b]):
+                    out[a] = out[b] = True
+        return out
+
+    def links(self, sets: list[np.ndarray]) -> Iterator[tuple[bytes, bytes]]:
+        """Verified links that join the components of this tile: each makes two into one."""
+        for x, y in self.candidates():
+            while len(x):
+                a, b = int(x[0]), int(y[0])
+                joins = self.component[a] != self.component[b] and self.earlier[a].isdisjoint(self.earlier[b]) and meets(sets[a], sets[b])
+                if joins:
+                    self.component[self.component == self.component[b]] = self.component[a]
+                    yield self.rows[a]["node"], self.rows[b]["node"]
+                keep = self.component[x] != self.component[y] if joins else np.ones(len(x), bool)
+                keep[0] = False
+                x, y = x[keep], y[keep]
+
+
+_TILE = ("head", "band", "i", "j", "part", "node", "n", "component", "home", "heads")
+
+
+def _by_tile(batches, name: str, run: Callable[[tuple, list[dict], list], Iterator]):
+    """Reads rows ordered by tile (head, band, i, j) and runs each tile of two rows or more over rows and their column name."""
+    key, rows, held = None, [], []
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("head", "band", "node", "n", "component", "bits", "home", "heads")]
-        for head, size, *row in zip(*cols):
-            if (head, size) != tile:
+        cols = [b.column(c).to_pylist() for c in (*_TILE, name)]
+        for *row, x in zip(*cols):
+            if tuple(row[:4]) != key:
                 if len(rows) > 1:
-                    pairs.extend(_tile_pairs(tile[0], rows))
-                    if len(pairs) > 100_000:
-                        yield out()
-                tile, rows = (head, size), []
-            rows.append(tuple(row))
+                    yield from run(key, rows, held)
+                key, rows, held = tuple(row[:4]), [], []
+            rows.append(dict(zip(_TILE, row)))
+            held.append(x)
     if len(rows) > 1:
-        pairs.extend(_tile_pairs(tile[0], rows))
-    yield out()
+        yield from run(key, rows, held)
+
+
+def _marked_rows(batches):
+    """The rows of tiles that may have a partner there, without their bitmaps."""
+
+    def run(key, rows, bits):
+        marked = np.flatnonzero(_Tile(key, rows, bits).marked())
+        if len(marked):
+            yield [rows[i] for i in marked.tolist()]
+
+    types = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.bool_(), pa.list_(pa.binary())]
+    for found in _by_tile(batches, "bits", run):
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in zip(_TILE, types)], list(_TILE))
+
+
+def _tile_links(batches):
+    """Verified links (a, b) that join the components of each tile."""
+
+    def run(key, rows, items):
+        sets = [np.frombuffer(x, np.uint64) for x in items]
+        yield list(_Tile(key, rows, [bitmap(s) for s in sets]).links(sets))
+
+    for found in _by_tile(batches, "items", run):
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.binary()) for i in (0, 1)], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -302,54 +363,64 @@ def components(edges: DataFrame) -> DataFrame:
         # done when no node has two edges and no root is below another node
         ends = stars.select("u").unionAll(stars.select("v").distinct())
         if ends.groupBy("u").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
-            return stars.select("u", F.col("v").alias("root"))
+            return same_files(stars.select("u", F.col("v").alias("root")), stars)
         both = stars.union(stars.select("v", "u"))
+        hot = hot_keys(both, "u", 2 * stars.count())
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = dealt_join(both, least, "u", "v", hot).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.distinct())
+        discard(stars)
+        hot = hot_keys(large, "u")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        small = dealt_join(large, least, "u", "v", hot).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         stars = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(large)
+
 
+def joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """components() of all links so far, from the (u, root) of those before and new links; known is discarded."""
+    if known is None:
+        return components(links)
+    hot = hot_keys(links, "b")
+    for end, other in (("a", "b"), ("b", "a")):  # links between roots
+        links = dealt_join(links, known.select(F.col("u").alias(end), "root"), end, other, hot if end == "b" else [], "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    new = components(links)
+    hot = hot_keys(known, "root")
+    moved = dealt_join(known, new.select(F.col("u").alias("root"), F.col("root").alias("to")), "root", "u", hot, "left").select("u", F.coalesce("to", "root").alias("root"))
+    out = materialize(moved.unionAll(new))
+    for x in (known, new):
+        discard(x)
+    return out
 
-class _Verifier:
-    """Exact tests of pairs (a, b) of class keys, reading again only the texts that may be needed, once each."""
+
+class _Sets:
+    """Sorted arrays of classes, read again from the texts that may be needed only, once each."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame):
         self.docs, self.classes = docs, classes
         self.items: DataFrame | None = None
 
-    def bounded(self, pairs: DataFrame) -> DataFrame:
-        side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"{x}bits"))
-        return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a binary, b binary"))
-
-    def _read(self, pairs: DataFrame) -> None:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def read(self, nodes: DataFrame) -> DataFrame:
+        """(node, items) with at least the nodes of (node)."""
+        nodes = nodes.distinct()
         if self.items is not None:
             nodes = nodes.join(self.items.select("node"), "node", "left_anti")
         needed = materialize(nodes.join(self.classes, "node").select("node", "seen"))
-        if needed.isEmpty():
-            return
-        word = lambda h: F.pmod(F.shiftright(h, 6), F.lit(FILTER_BITS // 64))
-        bit = lambda h: F.expr(f"shiftleft(1L, cast({h} & 63 AS int))")
-        filter_ = needed.groupBy(word(F.col("seen")).alias("w")).agg(F.bit_or(bit("seen")).alias("m"))  # FILTER_BITS / 64 rows at most
-        again = (
-            self.docs.withColumn("h", F.xxhash64("text"))
-            .withColumn("w", word(F.col("h")))
-            .join(F.broadcast(filter_), "w")
-            .where(F.col("m").bitwiseAND(bit("h")) != 0)
-            .select("text")
-        )
-        items = again.mapInArrow(_arrays, "node binary, items binary").join(needed.select("node"), "node", "left_semi")
-        items = materialize(items.groupBy("node").agg(F.any_value("items").alias("items")))
-        self.items = items if self.items is None else self.items.unionByName(items)
-
-    def exact(self, pairs: DataFrame) -> DataFrame:
-        """Those of the (written) pairs that link."""
-        self._read(pairs)
-        if self.items is None:
-            return pairs
-        side = lambda x: self.items.select(F.col("node").alias(x), F.col("items").alias(f"{x}items"))
-        return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_exact, "a binary, b binary"))
+        if self.items is None or not needed.isEmpty():
+            word = lambda h: F.pmod(F.shiftright(h, 6), F.lit(FILTER_BITS // 64))
+            bit = lambda h: F.expr(f"shiftleft(1L, cast({h} & 63 AS int))")
+            filter_ = needed.groupBy(word(F.col("seen")).alias("w")).agg(F.bit_or(bit("seen")).alias("m"))  # FILTER_BITS / 64 rows at most
+            again = (
+                self.docs.withColumn("h", F.xxhash64("text"))
+                .withColumn("w", word(F.col("h")))
+                .join(F.broadcast(filter_), "w")
+                .where(F.col("m").bitwiseAND(bit("h")) != 0)
+                .select("text")
+            )
+            items = again.mapInArrow(_arrays, "node binary, items binary").join(needed.select("node"), "node", "left_semi")
+            items = materialize(items.groupBy("node").agg(F.any_value("items").alias("items")))
+            self.items = items if self.items is None else self.items.unionByName(items)
+        return self.items
 
 
 def _labelled(posts: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -358,32 +429,80 @@ def _labelled(posts: DataFrame, known: DataFrame | None) -> DataFrame:
     return posts.drop("component").join(known.withColumnRenamed("u", "node"), "node", "left").select("hash", "node", "n", F.coalesce("root", "node").alias("component"))
 
 
-def _star_pairs(posts: DataFrame, turn: int) -> DataFrame:
+def _star_pairs(posts: DataFrame, turn: int, hot: list[tuple]) -> DataFrame:
     """For each class one head (a, b) of another component: of each shingle the class that a hash of this turn draws."""
     draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "component")
     heads = posts.groupBy("hash").agg(F.min(draw).alias("head")).select("hash", "head.node", "head.component").toDF("hash", "head", "of")
-    stars = posts.join(heads, "hash").where("component <> of").groupBy("node", "head").agg(F.count("*").alias("shared"))
+    stars = dealt_join(posts, heads, "hash", "node", hot).where("component <> of").groupBy("node", "head").agg(F.count("*").alias("shared"))
     return stars.groupBy("node").agg(F.max_by("head", F.struct("shared", F.xxhash64("head", F.lit(turn)))).alias("b")).withColumnRenamed("node", "a")
 
 
+def _stars(posts: DataFrame, turn: int, hot: list[tuple], classes: DataFrame, sets: _Sets) -> tuple[int, DataFrame]:
+    """How many pairs of a round of stars the bitmaps leave, and those that link."""
+    tried = materialize(_star_pairs(posts, turn, hot))
+    heads = hot_keys(tried, "b")
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"{x}bits"))
+    pairs = dealt_join(tried.join(side("a"), "a"), side("b"), "b", "a", heads)
+    pairs = materialize(pairs.mapInArrow(_bounded, "a binary, b binary"))
+    items = sets.read(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    side = lambda x: items.select(F.col("node").alias(x), F.col("items").alias(f"{x}items"))
+    found = materialize(dealt_join(pairs.join(side("a"), "a"), side("b"), "b", "a", heads).mapInArrow(_exact, "a binary, b binary"))
+    n = pairs.count()
+    for x in (tried, pairs):
+        discard(x)
+    return n, found
+
+
+def _tiles(posts: DataFrame, hot: list[tuple]) -> DataFrame:
+    """Rows _TILE of all tiles, large ones split: head and band name a tile, i and j its parts, part that of the row."""
+    mixed = posts.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("node").alias("head")).where("x <> y").select("hash", "head")
+    heads = dealt_join(posts, mixed, "hash", "node", hot).groupBy("node", "n", "component").agg(F.array_sort(F.collect_set("head")).alias("heads"))  # at most a document's prefix
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(BAND)).cast("int")
+    rows = materialize(
+        heads.select("*", F.explode("heads").alias("head"))
+        .select("*", F.explode(F.array(size, size + 1)).alias("band"))
+        .select("head", "band", "node", "n", "component", (F.col("band") == size).alias("home"), "heads", F.xxhash64("head", "band").alias("tile"))
+    )
+    sizes = rows.groupBy("tile").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    parts = F.ceil(F.greatest(F.col("rows") / TILE_ROWS, F.least(F.col("rows"), F.col("shingles") / TILE_SHINGLES))).cast("int")
+    sizes = sizes.where((F.col("rows") > TILE_ROWS) | (F.col("shingles") > TILE_SHINGLES)).select("tile", parts.alias("parts"))
+    rows = dealt_join(rows, sizes, "tile", "node", hot_keys(rows, "tile"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumn("i", F.least("part", "with")).withColumn("j", F.greatest("part", "with")).select(*_TILE)
+
+
+def _tile_rounds(posts: DataFrame, hot: list[tuple], classes: DataFrame, sets: _Sets) -> DataFrame | None:
+    """Links that join the components of all tiles."""
+    key = ["head", "band", "i", "j"]
+    dealt = lambda df: df.repartition(*key).sortWithinPartitions(*key, "n", "node")
+    kinds = "head binary, band int, i int, j int, part int, node binary, n int, component binary, home boolean, heads array<binary>"
+    tiles = _tiles(posts, hot).join(classes.select("node", "bits"), "node")
+    marked = materialize(dealt(tiles).mapInArrow(_marked_rows, kinds))
+    if marked.isEmpty():
+        return None
+    items = sets.read(marked.select("node"))
+    return materialize(dealt(marked.join(items, "node")).mapInArrow(_tile_links, "a binary, b binary"))
+
+
 def jaccard_components(docs: DataFrame, hot_shingles: int = HOT_SHINGLES, hot_from: int = HOT_FROM) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, class_size, text_hash, first.
 
     first is (no_id, doc_id, seen) of the row that comes first in the component: ids before null ids, then by id and by
     text_hash; it is null where a document has no shingles. Unlike component_id it belongs to one component only, also
-    where ids repeat or are null. text_hash is xxhash64 of the text, to join results back where ids repeat. component_id is the least doc_id among the documents reachable by links, itself included; class_size counts the
-    documents with the same shingle set. Documents without words or text have no shingles, link with nothing and have
-    their own doc_id as component. Repeated rows are copies of each other. Null doc_ids take part; they are a
-    component's id only if all its ids are null. An empty table gives no rows; other columns are ignored.
+    where ids repeat or are null. text_hash is xxhash64 of the text, to join results back where ids repeat. component_id
+    is the least doc_id among the documents reachable by links, itself included; class_size counts the documents with
+    the same shingle set. Documents without words or text have no shingles, link with nothing and have their own doc_id
+    as component. Repeated rows are copies of each other. Null doc_ids take part; they are a component's id only if all
+    its ids are null. An empty table gives no rows; other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = small_batches(docs.select("doc_id", "text"))
+    docs = docs.select("doc_id", "text")
     first = materialize(
         docs.select("doc_id", F.xxhash64("text").alias("seen"), "text").mapInArrow(_first_pass, f"doc_id {kind}, seen long, n long, node binary, bits binary")
     )
-    sets = first.where("n > 0")
+    rows = first.where("n > 0")
     classes = materialize(
-        sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.min(F.struct("seen", "bits")).alias("x"), F.count("*").alias("class_size"),
+        rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.min(F.struct("seen", "bits")).alias("x"), F.count("*").alias("class_size"),
                              F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "seen")).alias("first"))
         .select("node", "doc_id", "n", "class_size", "x.seen", "x.bits", "first")
     )
@@ -391,52 +510,39 @@ def jaccard_components(docs: DataFrame, hot_shingles: int = HOT_SHINGLES, hot_fr
     low = low.repartition("hash").groupBy("hash").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.count("*").alias("c")).where("x <> y").select("hash", "c")
     repeated = materialize(low)
     words = repeated.groupBy(F.pmod(F.shiftright("hash", 6), F.lit(REPEAT_BITS // 64)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 AS int))")).alias("m"))
-    words = words.toArrow()  # REPEAT_BITS / 64 rows at most
     repeats = np.zeros(REPEAT_BITS // 64, np.uint64)
+    words = words.toArrow()  # REPEAT_BITS / 64 rows at most
     repeats[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
-    hot = most_frequent(repeated.where(F.col("c") >= hot_from), "hash", "c", hot_shingles)
-    hot = np.sort(np.array([h for h, _ in hot], np.int64).view(np.uint64))
+    frequent = most_frequent(repeated.where(F.col("c") >= hot_from), "hash", "c", hot_shingles)
+    frequent = np.sort(np.array([h for h, _ in frequent], np.int64).view(np.uint64))
+    discard(repeated)
 
     shared = docs.sparkSession.sparkContext.broadcast(repeats)
-    rows = docs.select("text").mapInArrow(partial(_prefix_rows, shared, hot), "hash long, node binary, n int")
-    rows = rows.repartition("hash").dropDuplicates(["hash", "node"])
-    posts = materialize(rows.withColumn("cnt", F.count("*").over(Window.partitionBy("hash"))).where("cnt > 1").select("hash", "node", "n"))
-    verifier = _Verifier(docs, classes)
-    links, known, turn, going = None, None, 0, True
+    prefixes = docs.select("text").mapInArrow(partial(_prefix_rows, shared, frequent), "hash long, node binary, n int")
+    posts = materialize(prefixes.repartition("hash", "node").dropDuplicates(["hash", "node"]))
+    hot = hot_keys(posts, "hash")
+    several = posts.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
+    alone, posts = posts, materialize(dealt_join(posts, several, "hash", "node", hot))
+    discard(alone)
+    sets, known, turn, going = _Sets(docs, classes), None, 0, True
     while going:
-        pairs = verifier.bounded(_star_pairs(_labelled(posts.where(F.pmod("hash", F.lit(SLICES)) == turn % SLICES), known), turn))
-        found = verifier.exact(pairs)
-        tried, linked_now = pairs.count(), found.count()
+        tried, found = _stars(_labelled(posts.where(F.pmod("hash", F.lit(SLICES)) == turn % SLICES), known), turn, hot, classes, sets)
+        linked_now = found.count()
         if linked_now:
-            links = found if links is None else links.unionByName(found)
-            known = components(links)
+            known = joined(known, found)
+        discard(found)
         turn += 1
         going = tried > 0 and linked_now >= GAIN * tried
-    posts = _labelled(posts, known)
-    mixed = posts.groupBy("hash").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("node").alias("head")).where("x <> y").select("hash", "head")
-    heads = posts.join(mixed, "hash").groupBy("node", "n", "component").agg(F.array_sort(F.collect_set("head")).alias("heads"))  # at most a document's prefix
-    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(BAND)).cast("int")
-    tiles = (
-        heads.join(classes.select("node", "bits"), "node")
-        .withColumn("head", F.explode("heads"))
-        .withColumn("band", F.explode(F.array(size, size + 1)))
-        .withColumn("home", F.col("band") == size)
-        .repartition("head", "band")
-        .sortWithinPartitions("head", "band", "n", "node")
-        .select("head", "band", "node", "n", "component", "bits", "home", "heads")
-    )
-    pairs = materialize(tiles.mapInArrow(_tiles, "a binary, b binary"))
-    if not pairs.isEmpty():
-        found = verifier.exact(pairs)
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            known = components(links)
+    found = _tile_rounds(_labelled(posts, known), hot, classes, sets)
+    if found is not None and not found.isEmpty():
+        known = joined(known, found)
     roots = known if known is not None else classes.select(F.col("node").alias("u"), F.col("node").alias("root")).limit(0)
 
+    n = classes.count()
     named = classes.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("first").alias("first"))
-    named = named.drop("first").join(least, "root").select("node", "component_id", "class_size", "first")
-    out = sets.join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size", F.col("seen").alias("text_hash"), "first")
+    named = dealt_join(named.drop("first"), least, "root", "node", hot_keys(named, "root", n)).select("node", "component_id", "class_size", "first")
+    out = dealt_join(rows, named, "node", "seen", hot_keys(rows, "node")).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size", F.col("seen").alias("text_hash"), "first")
     return out.union(first.where("n = 0").select("doc_id", "n", "doc_id", F.lit(1).cast("long"), "seen", F.lit(None).cast(out.schema["first"].dataType)))
 
 
