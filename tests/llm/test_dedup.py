@@ -92,33 +92,60 @@ def test_bitmaps_bound_the_overlap():
 
 
 def brute_lines(data):
-    keyed, first = [], {}
-    for k, (i, t) in enumerate(data):
-        for at, line in enumerate((t or "").split("\n") if t is not None else []):
-            w = re.sub(r"(^|[\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*", r"\1<*>", line).encode().split()
-            if len(w) <= 3:
-                continue
-            half = (len(w) + 1) // 2
-            keys = [(0, len(w), tuple(w))] + ([(1, len(w), tuple(w[:half])), (2, len(w), (*w[:3], *w[half:]))] if len(w) >= 12 else [])
-            for key in keys:
-                keyed.append((k, at, key))
-                if i is not None:
-                    first[key] = min(first.get(key, i), i)
+    """Each line against the earlier documents' lines and against the first line of each of its leaves."""
+    order, lines = lambda k: (data[k][0] is None, data[k][0] or 0), []
+    for k, (_, t) in enumerate(data):
+        for at, line in enumerate(t.split("\n") if t else []):
+            w = line.encode().split()
+            g = [b"<*>" if re.search(rb"[0-9]", x) else x for x in w]
+            if w:
+                lines.append((k, at, tuple(g if len(w) > 3 and 2 * sum(x != b"<*>" for x in g) >= len(w) else w)))
     drops = defaultdict(set)
-    for k, at, key in keyed:
-        i = data[k][0]
-        if key in first and (i is None or first[key] < i):
-            drops[k].add(at)
+    leaves = defaultdict(list)
+    for line in lines:
+        n = len(line[2])
+        leaves[0, n, line[2]].append(line)
+        for b in range(3 if n >= 10 else 0):
+            leaves[b + 1, n, line[2][:3], line[2][n * b // 3 : n * (b + 1) // 3]].append(line)
+    for key, members in leaves.items():
+        head = min(members, key=lambda x: (order(x[0]), x[1]))
+        for k, at, t in members:
+            if order(head[0]) < order(k) and (key[0] == 0 or sum(x == y for x, y in zip(t, head[2])) >= 0.8 * len(t)):
+                drops[k].add(at)
     return sorted((repr(i), repr(t if not drops[k] else "\n".join(x for at, x in enumerate(t.split("\n")) if at not in drops[k])), len(drops[k])) for k, (i, t) in enumerate(data))
 
 
 def test_line_dedup_equals_brute_force(spark):
     a = "an order number 12 was sent to the customer on the 3rd of may in good state"
     data = [*rows(), (50, a + "\nown line of fifty"), (51, a.replace("12", "99") + "\nother"), (52, a.replace("good", "bad") + "\nshort one"), (53, "\tone  two three four"), (54, "one two\x0bthree four\n\n")]
-    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("__drops", F.lit("clash")).withColumn("n_lines", F.lit("clash")).withColumn("same", F.lit(1))
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("__drops", F.lit("clash")).withColumn("n_lines", F.lit("clash")).withColumn("same", F.lit(1)).withColumn("its_id", F.lit(1))
     got = line_dedup.line_dedup(df).collect()
     assert sorted((repr(r.doc_id), repr(r.text), r.n_dropped) for r in got) == brute_lines(data)
     assert {r.doc_id: r.n_lines for r in got}[20] == 0 and {r.doc_id: r.n_lines for r in got}[21] == 1
     kept = {r.doc_id for r in line_dedup.drop_documents(line_dedup.line_dedup(df)).collect()}
     assert 31 not in kept and {30, 50, 20, 21} <= kept
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
+
+
+def test_line_dedup_groups_like_lines_only(spark):
+    data = [
+        (1, "Read more\nShare this page\nthe committee met in paris to discuss the new budget for schools and roads\n1 2 3 4 5"),
+        (2, "Read more\nShare this page\nthe committee met in paris to discuss why the dam above the valley failed\n1 2 3 4 6"),
+        (3, "the committee met in paris to discuss the old budget for schools and roads"),
+        (4, "the committee met in paris\nto discuss " + "x" * 200_000),
+        (5, "the committee met in paris\nto discuss " + "x" * 200_000 + "y"),
+    ]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[2] == "the committee met in paris to discuss why the dam above the valley failed\n1 2 3 4 6"
+    assert got[1] == data[0][1] and got[3] == "" and got[4] == data[3][1] and got[5] == data[4][1].split("\n")[1]
+
+
+def test_line_dedup_of_a_line_that_all_share(spark, monkeypatch):
+    """Also where its key is dealt over several tasks."""
+    from tokenloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 20)
+    data = [(k, f"all of us have this line of ten words here{' too' * (k % 2)}\nown line w{k}") for k in range(200)]
+    got = line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in got) == [(k, int(k > 1)) for k in range(200)]

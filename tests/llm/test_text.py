@@ -261,3 +261,14 @@ def test_licences(spark):
     assert by[72].labels == "mit-notice" and 0.8 <= by[72].score < 1 and by[72].spans[0].first_word == 1
     assert by[73].labels == "" and by[73].score == 0 and by[74].labels == "all-rights-reserved" and by[70].score == 1
     assert license_scan.license_scan(df.limit(0)).count() == 0
+
+
+def test_licence_spans_are_ordered_bounded_and_whole(spark):
+    mit, short = license_scan.NOTICES["mit-notice"], "licensed under the {} license version 2 0"
+    data = [
+        (1, "Rights reserved. All rights"), (2, "all rights are ours. Rights reserved"), (3, "All Rights Reserved, all rights reserved"),
+        (4, " ".join(reversed(mit.split()))), (5, " ".join(mit.split()[30:] + mit.split()[:30])), (6, short.format("foo")), (7, short.format("Apache")),
+        (8, "word " * 100_000 + mit + " word" * 100_000),
+    ]
+    got = {r.doc_id: (r.labels, [s.first_word for s in r.spans or []]) for r in license_scan.license_scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {1: ("", []), 2: ("", []), 3: ("all-rights-reserved", [0, 3]), 4: ("", []), 5: ("", []), 6: ("", []), 7: ("apache,apache-2.0", [0, 3]), 8: ("mit-notice", [100_000])}

@@ -1,93 +1,109 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
-Each line is parsed at a fixed depth: its number of tokens, then its LEAD leading tokens, where tokens with a digit are
-the variable field <*>. Below that leaf a line has its full template and, from SPLIT_FROM tokens on, two general ones
-that keep one half of the tokens and leave the other half variable; lines that differ in fields of one half only share
-one of them. No line waits for another, so the tree needs neither order nor a driver: a template is a 128-bit key, and
-what is known of it is the least doc_id that has it. A line is dropped where one of its templates occurs in a document
-with a smaller doc_id, so that each recurring passage stays once.
+Each line is parsed at a fixed depth: its number of tokens, then its LEAD leading tokens. Tokens with a digit are the
+variable field <*>, where enough other tokens stand beside them to tell the line. Below that path a line has its template
+and, from SPLIT_FROM tokens on, BANDS leaves, each of which keeps one band of the tokens and leaves the others open. A
+leaf is known by its first line, in the order of the documents; a line that comes to a leaf is grouped with its first line
+when at least EQUAL of all positions hold the same token, so that the fields that differ are variable and the rest is the
+evidence. No line waits for another, so the tree needs neither order nor a driver: a template or leaf is a 128-bit key,
+and what is known of it is one row. A line is dropped where its template, or a line that it is grouped with, occurs in an
+earlier document, so that each recurring passage stays once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import SPACES, materialize, table
+from tokenloom.llm.common import HOT_ROWS, SPACES, SPREAD, dealt_join, discard, hot_keys, materialize, table
 
-#: Leading tokens that lead to a leaf; lines without a further token have a template only where short lines count.
+#: Leading tokens on the path to a leaf; lines without a further token have their tokens as they are for a template.
 LEAD = 3
-#: Lines of so many tokens have templates with a variable half.
-SPLIT_FROM = 12
+#: Lines of so many tokens have leaves; into so many bands their tokens are cut; the share of equal positions in a group.
+SPLIT_FROM, BANDS, EQUAL = 10, 3, 0.8
+#: At least this share of a line's tokens must stay when fields are made variable, else the fields stay as they are.
+CONSTANT = 0.5
 #: Documents that keep less than this share of their bytes are dropped by drop_documents.
 LEAST_KEPT = 0.2
-SPACE = r"[\x20\x09-\x0D]"
-WORD = r"[^\x20\x09-\x0D]+"
 VARIABLE = r"(^|[\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*"
+FIELD = "<*>"
 
 
-def _same():
-    """What joins a document to its decisions: content, not a row number, so that any task may be run again."""
-    return F.xxhash64("doc_id", "text")
-
+def _words(line: Column) -> Column:
+    for c in SPACES[1:]:
+        line = F.replace(line, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(line, " "), "")
 
-def templates(docs: DataFrame, short: bool = False) -> DataFrame:
-    """For rows (doc_id, text, same): doc_id, same, at (line from 0), tokens, keys: array of template keys, for each line that has templates.
 
-    With short, lines of one to LEAD tokens have a leaf too: their tokens as they are, digits included, since a field
-    says little where nothing else stands around it. Lines without tokens never have one.
-    """
+def template_lines(docs: DataFrame) -> DataFrame:
+    """For rows (doc_id, text, same): doc_id, same, at (line from 0), tokens (64-bit hashes, all fields alike), of each line with tokens."""
     texts = docs.where("text IS NOT NULL").select("doc_id", "same", F.split("text", "\n").alias("lines"))
     lines = texts.select("doc_id", "same", F.posexplode("lines").alias("at", "line"))
-
-    def words(line):
-        for c in SPACES[1:]:
-            line = F.replace(line, F.lit(c), F.lit(" "))
-        return F.array_remove(F.split(line, " "), "")
-
-    line = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", VARIABLE, "$1<*>")).otherwise(F.col("line"))
-    lines = lines.withColumn("t", words(line)).withColumn("tokens", F.size("t"))
-    n, t, half = F.col("tokens"), F.col("t"), F.ceil(F.col("tokens") / 2).cast("int")
-
-    def key(kind: int, kept):
-        path = [n, *(t[i] for i in range(LEAD)), F.lit(kind), kept]
-        return F.struct(F.xxhash64(*path).alias("a"), F.xxhash64(F.lit(1), *path).alias("b"))
-
-    def leaf(kept):
-        return F.struct(F.xxhash64(n, F.lit(3), kept).alias("a"), F.xxhash64(F.lit(1), n, F.lit(3), kept).alias("b"))
-
-    keys = F.when(n >= SPLIT_FROM, F.array(key(0, t), key(1, F.slice(t, 1, half)), key(2, F.slice(t, half + 1, n)))).otherwise(F.array(key(0, t)))
-    if short:
-        keys = F.when(n <= LEAD, F.array(leaf(words(F.col("line"))))).otherwise(keys)
-    return lines.where(n > (0 if short else LEAD)).select("doc_id", "same", "at", "tokens", keys.alias("keys"))
-
-
-def line_dedup(docs: DataFrame, short: bool = False, by_row: bool = False) -> DataFrame:
+    lines = lines.select("doc_id", "same", "at", _words(F.col("line")).alias("w"), F.when(F.col("line").rlike("[0-9]"), _words(F.regexp_replace("line", VARIABLE, f"$1{FIELD}"))).alias("g"))
+    general = (F.size("w") > LEAD) & (F.size(F.array_remove("g", FIELD)) >= CONSTANT * F.size("w"))
+    hashes = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    return lines.where(F.size("w") > 0).select("doc_id", "same", "at", F.when(general, hashes("g")).otherwise(hashes("w")).alias("tokens"))
+
+
+def _keys(lines: DataFrame) -> DataFrame:
+    """doc_id, same, at, kind, key: kind 0 is a line's template, the others are the leaves of its bands."""
+    t, n = F.col("tokens"), F.size("tokens")
+    cut = [F.floor(n * k / F.lit(BANDS)).cast("int") for k in range(BANDS + 1)]
+
+    def key(kind: int, *kept: Column) -> Column:
+        path = [F.lit(kind), n, *kept]
+        return F.struct(F.lit(kind).alias("kind"), F.struct(F.xxhash64(*path).alias("a"), F.xxhash64(F.lit(1), *path).alias("b")).alias("key"))
+
+    whole = key(0, t)
+    leaves = [key(k + 1, F.slice(t, 1, LEAD), F.slice(t, cut[k] + 1, cut[k + 1] - cut[k])) for k in range(BANDS)]
+    return lines.select("doc_id", "same", "at", F.explode(F.when(n >= SPLIT_FROM, F.array(whole, *leaves)).otherwise(F.array(whole))).alias("k")).select("doc_id", "same", "at", "k.*")
+
+
+def _drops(lines: DataFrame) -> DataFrame:
+    """doc_id, same, at of the lines to drop, some of them more than once."""
+    each = _keys(lines)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "same")
+    first = each.groupBy("key").agg(F.min(F.struct(place.alias("place"), "at")).alias("first"), F.count("*").alias("c"))
+    first = materialize(first.where("c > 1"))
+    least = max(HOT_ROWS, lines.count() // SPREAD)
+    hot = [(r["key"], math.ceil(r["c"] / least)) for r in first.where(F.col("c") > least).collect()]  # (BANDS + 1) * SPREAD at most
+    again = dealt_join(each, first.select("key", "first"), "key", "at", hot).where(F.col("first.place") < place)
+    its = F.struct(F.col("first.place.same").alias("same"), F.col("first.at").alias("at"))
+    again = materialize(again.select("doc_id", F.struct("same", "at").alias("line"), "kind", its.alias("its")))
+    discard(first)
+    exact = again.where("kind = 0").select("doc_id", "line")
+    grouped = again.where("kind > 0").join(exact.select("line"), "line", "left_anti").select("doc_id", "line", "its").distinct()
+    grouped = materialize(grouped)
+    needed = grouped.select(F.explode(F.array("line", "its")).alias("line")).distinct()
+    tokens = lines.select(F.struct("same", "at").alias("line"), "tokens").join(needed, "line", "left_semi").groupBy("line").agg(F.any_value("tokens").alias("tokens"))
+    tokens = materialize(tokens)
+    pairs = grouped.join(tokens, "line")
+    pairs = dealt_join(pairs, tokens.select(F.col("line").alias("its"), F.col("tokens").alias("others")), "its", "line", hot_keys(grouped, "its"))
+    equal = F.size(F.filter(F.zip_with("tokens", "others", lambda a, b: a == b), lambda x: x))
+    alike = pairs.where(equal >= EQUAL * F.size("tokens")).select("doc_id", "line")
+    return exact.unionAll(alike).select("doc_id", "line.*")
+
+
+def line_dedup(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with text reduced to the lines that stay, and n_lines, n_dropped, kept_share added.
 
-    A line is dropped when one of its templates occurs in a document with a smaller doc_id; lines of one to LEAD tokens
-    are looked at only with short, and drop where the same tokens recur. Lines repeated within one
-    document, rows with the same doc_id, and rows without doc_id among themselves do not count as recurring; a row
-    without doc_id loses what any document with one has. With by_row, rows with one doc_id or without one count as
-    documents of their own: ids come before null ids, then rows go by a hash of id and text, so that only rows equal in
-    both are left as they are. kept_share is the share of bytes that stay. Null texts stay null and empty ones empty, with 0 or 1 lines. An empty table gives no rows; all other
-    columns are kept as they are, and columns named like an added one are replaced.
+    A line is dropped when an earlier document has its template, or an earlier document's line is the first of a leaf of
+    it and equal in EQUAL of all positions. Documents are in order of their ids, those without id last, then of a hash of
+    id and text: rows with one id or without one count as documents of their own, but rows equal in both are left as they
+    are, and so are lines repeated within one document. Lines of white space only stay. kept_share is the share of bytes
+    that stay. Null texts stay null and empty ones empty, with 0 or 1 lines. An empty table gives no rows; all other
+    columns are kept as they are, and columns named like an added one are replaced. Texts and lines may be of any length.
     """
-    added = ["n_lines", "n_dropped", "kept_share"]
-    docs = docs.drop(*added)
+    docs = docs.drop("n_lines", "n_dropped", "kept_share")
     columns = docs.columns
     # the row as one value, so that no name of its columns can clash
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "doc_id", "text", _same().alias("same"))
-    lines = materialize(templates(rows, short))
-    each = lines.select("doc_id", "same", "at", F.explode("keys").alias("key"))
-    if by_row:
-        place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "same")
-        again = each.join(each.groupBy("key").agg(F.min(place).alias("first")), "key").where(F.col("first") < place)
-    else:
-        first = each.groupBy("key").agg(F.min("doc_id").alias("first"))
-        again = each.join(first.where("first IS NOT NULL"), "key").where("first < doc_id OR doc_id IS NULL")
-    drops = again.groupBy("same").agg(F.array_sort(F.collect_set("at")).alias("drops"))  # at most the lines of a document
-    out = rows.join(drops, "same", "left").withColumn("drops", F.coalesce("drops", F.array().cast("array<int>")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("same"))
+    drops = _drops(materialize(template_lines(rows))).groupBy("doc_id", "same").agg(F.array_sort(F.collect_set("at")).alias("drops"))  # at most the lines of a document
+    drops = drops.toDF("its_id", "its_same", "drops")
+    out = rows.join(drops, (F.col("same") == F.col("its_same")) & F.col("doc_id").eqNullSafe(F.col("its_id")), "left")
+    out = out.withColumn("drops", F.coalesce("drops", F.array().cast("array<int>")))
     breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     stay = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("drops", i)), "\n")
     out = out.select(
@@ -113,17 +129,28 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op2_line_dedup": op2_line_dedup}
 
+# lines compared word by word: equal ones of earlier documents, and those equal in EQUAL of all places to the earliest line
+# with the same number of words, the same leading words and the same words in one third
+_WORDS_SQL = r"[^\x20\x09-\x0D]+"
 DEDUPED_SQL = rf"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents WHERE text IS NOT NULL
+), raw AS (
+  SELECT doc_id, line, ln, regexp_extract_all(line, '{_WORDS_SQL}') AS w FROM lines
+), masked AS (
+  SELECT *, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{FIELD}' ELSE x END) AS g FROM raw
 ), words AS (
-  SELECT doc_id, line, ln, regexp_extract_all(regexp_replace(line, '{VARIABLE}', '\1<*>', 'g'), '{WORD}') AS t FROM lines
-), keyed AS (
-  SELECT doc_id, ln, unnest(CASE WHEN len(t) >= {SPLIT_FROM} THEN [(0, len(t), t), (1, len(t), t[1:(len(t) + 1) // 2]), (2, len(t), t[1:{LEAD}] || t[(len(t) + 1) // 2 + 1:])]
-                            ELSE [(0, len(t), t)] END) AS key
-  FROM words WHERE len(t) > {LEAD}
-), first AS (SELECT key, min(doc_id) AS first FROM keyed GROUP BY key),
-drops AS (SELECT DISTINCT doc_id, ln FROM keyed JOIN first USING (key) WHERE first.first < keyed.doc_id),
+  SELECT doc_id, ln, CASE WHEN len(w) > {LEAD} AND 2 * len(list_filter(g, lambda x: x <> '{FIELD}')) >= len(w) THEN g ELSE w END AS t FROM masked WHERE len(w) > 0
+), equal AS (
+  SELECT a.doc_id, a.ln FROM words a JOIN (SELECT t, min(doc_id) AS first FROM words GROUP BY t) b ON a.t = b.t AND b.first < a.doc_id
+), thirds AS (
+  SELECT doc_id, ln, t, len(t) AS n, t[1:{LEAD}] AS lead, k, t[len(t) * k // {BANDS} + 1:len(t) * (k + 1) // {BANDS}] AS third FROM words, range({BANDS}) r(k) WHERE len(t) >= {SPLIT_FROM}
+), heads AS (
+  SELECT n, lead, k, third, arg_min(t, (doc_id, ln)) AS head, min(doc_id) AS first FROM thirds GROUP BY n, lead, k, third
+), alike AS (
+  SELECT doc_id, ln FROM thirds JOIN heads USING (n, lead, k, third)
+  WHERE first < doc_id AND len(list_filter(list_zip(t, head), lambda p: p[1] = p[2])) >= {EQUAL} * n
+), drops AS (SELECT * FROM equal UNION SELECT * FROM alike),
 parts AS (
   SELECT doc_id, count(*) AS n_lines, count(drops.ln) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (drops.ln IS NULL), '') AS text
   FROM lines LEFT JOIN drops USING (doc_id, ln) GROUP BY doc_id
