@@ -103,17 +103,17 @@ def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> list[tuple]:
     return [(r["k"], math.ceil(r["c"] / least)) for r in counts.where(F.col("c") > least).collect()]
 
 
-def dealt_join(left: DataFrame, right: DataFrame, key: str, by: str, hot: list[tuple], how: str = "inner") -> DataFrame:
-    """left.join(right, key, how) for a right that has each key once: rows of the hot keys are dealt over as many tasks as
+def dealt_join(left: DataFrame, right: DataFrame, key: str, by: str, hot: list[tuple], how: str = "inner", also: tuple = ()) -> DataFrame:
+    """left.join(right, [key, *also], how) for a right that has each key once: rows of the hot keys are dealt over as many tasks as
     hot says, by a hash of the column by, and right's row of such a key goes to each of them."""
     if not hot:
-        return left.join(right, key, how)
+        return left.join(right, [key, *also], how)
     spark, kind = left.sparkSession, left.schema[key].dataType.simpleString()
     parts = F.broadcast(spark.createDataFrame(hot, f"{key} {kind}, __parts int"))  # at most SPREAD rows
     n = F.coalesce("__parts", F.lit(1))
     left = left.join(parts, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), n).cast("int")).drop("__parts")
     right = right.join(parts, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("__parts")
-    return left.join(right, [key, "__salt"], how).drop("__salt")
+    return left.join(right, [key, *also, "__salt"], how).drop("__salt")
 
 
 def most_frequent(counts: DataFrame, key: str, n: str, limit: int) -> list[tuple]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import SPACES, materialize, table
+from tokenloom.llm.common import SPACES, dealt_join, hot_keys, materialize, table
 
 #: A chunk ends after sentence punctuation once it has MIN_CHUNK characters, or at MAX_CHUNK.
 MIN_CHUNK, MAX_CHUNK = 512, 4096
@@ -71,10 +71,11 @@ def exact_dedup(docs: DataFrame, hash_of=F.xxhash64) -> DataFrame:
             .withColumn("recipe", F.concat("recipe", "subs"))
             .drop("subs")
         )
-    best = recipes.groupBy("recipe").agg(
+    recipes = recipes.withColumn("h", F.xxhash64("recipe"))
+    best = recipes.groupBy("h", "recipe").agg(
         F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"), F.count("*").alias("group_size")
     )
-    return recipes.join(best, "recipe").select(
+    return dealt_join(recipes, best, "h", "row", hot_keys(recipes, "h"), also=("recipe",)).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"),
         F.size("recipe").cast("long").alias("n_chunks"),
     )
