@@ -200,6 +200,64 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.mixed(df.limit(0)).count() == 0
 
 
+def spark_hash(*values):
+    """What Spark's xxhash64 gives for longs (int), ints (as 1-tuples) and strings; nulls are skipped."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+            h = xxhash.xxh64_intdigest(data, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_mix(data, passes, blocks):
+    """(doc_id, text, source, pass_no) of each use, from the passes of each source."""
+    out, by = [], {}
+    for i, t, s in data:
+        by.setdefault(s or "", {}).setdefault(spark_hash(i, t) % blocks, []).append((i, t, s))
+    n = lambda r: len((r[1] or "").split())
+    for s, found in by.items():
+        total, p = sum(n(r) for b in found.values() for r in b), 0
+        while p == 0 or p < passes.get(s, 1) - 1e-9:
+            budget = math.floor((passes.get(s, 1) - p) * total + 0.5)
+            for k in sorted(found, key=lambda k: (spark_hash((k,), (p,)), k)):
+                size = sum(map(n, found[k]))
+                if p == 0 or budget >= size:
+                    out += [(*r, p) for r in found[k] if p == 0 or n(r)]
+                else:
+                    left = budget
+                    for r in sorted(found[k], key=lambda r: (spark_hash(r[0], (p,)), r[0] is not None, r[0] or 0, spark_hash(r[1]))):
+                        if left > 0 and n(r):
+                            out.append((*r, p))
+                        left -= n(r)
+                budget -= size
+            p += 1
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("repetition", [1.0, 2.5, 4.0])
+def test_mixing_equals_brute_force(spark, repetition):
+    data = [(i, "w " * (1 + i % 7), ("big", "big", "big", "mid", "small")[i % 5] if i % 50 else "tiny") for i in range(500)] + [(700, None, "none"), (701, "", None), (702, "a b", None), (None, "c", "big"), (702, "a b", None)]
+    got = mixing.mixed(spark.createDataFrame(data, "doc_id long, text string, source string"), repetition=repetition, blocks=8).collect()
+    sizes = Counter()
+    for _, t, s in data:
+        sizes[s or ""] += len((t or "").split())
+    sizes = {s: n for s, n in sizes.items() if n}
+    (exponent,) = {r.exponent for r in got if r.weight}
+    assert exponent == pytest.approx(max(0.0, 1 - math.log(repetition) / math.log(max(sizes.values()) / min(sizes.values()))), abs=1e-9)
+    passes = {s: (n / max(sizes.values())) ** (exponent - 1) for s, n in sizes.items()}
+    assert sorted(((r.doc_id, r.text, r.source, r.pass_no) for r in got), key=repr) == brute_mix(data, passes, 8)
+
+
+def test_an_entropy_target_repeats_nothing_without_end(spark):
+    df = spark.createDataFrame([(1, "w", "one"), (2, "w " * 100_000, "big")], "doc_id long, text string, source string")
+    weights = {r["__source"]: r.passes for r in mixing.source_weights(mixing.token_counts(df), entropy=0.69, repetition=None).collect()}
+    assert weights["one"] == pytest.approx(mixing.MOST_REPETITION, rel=1e-6)
+    assert mixing.mixed(df, entropy=0.69).count() == 3
+
+
 def test_target_entropy(spark):
     df = spark.createDataFrame([(i, "w", "a" if i < 90 else "b") for i in range(100)], "doc_id long, text string, source string")
     w = {r["__source"]: r.weight for r in mixing.source_weights(mixing.token_counts(df), entropy=0.6).collect()}

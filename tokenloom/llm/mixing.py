@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import materialize, table
 
-#: Blocks of each source; a block is the largest piece that one task orders.
-BLOCKS = 1024
+#: Blocks of each source, at least, and rows a block; a block is the largest piece that one task orders.
+BLOCKS, BLOCK_ROWS = 1024, 20_000
 SECTIONS, ROUNDS = 16, 9
 REPETITION = 2.0
+#: The limit beside an entropy target, so that it can't repeat a small source without end.
+MOST_REPETITION = 100.0
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -53,37 +55,41 @@ def entropies(shares: DataFrame, exponents: list[float]) -> list[float]:
     return [math.log(row[2 * i]) - row[2 * i + 1] / row[2 * i] for i in range(len(exponents))]
 
 
-def source_weights(counted: DataFrame, entropy: float | None = None, repetition: float | None = REPETITION) -> DataFrame:
+def source_weights(counted: DataFrame, entropy: float | None = None, repetition: float | None = None) -> DataFrame:
     """__source, tokens, p, weight, exponent and passes (budget as a multiple of the source's tokens) of each source with tokens.
 
-    With entropy, the largest exponent from [0, 1] whose entropy reaches it; else the least exponent at which no source
-    repeats more than repetition times. A target that no exponent meets gives the nearest end of [0, 1].
+    The least exponent from [0, 1] at which no source repeats more than repetition times (by default REPETITION, with an
+    entropy MOST_REPETITION); with entropy, the largest one whose entropy reaches it, but none below that. A target that no exponent meets gives the
+    nearest end of [0, 1].
     """
     shares = materialize(counted.groupBy("__source").agg(F.sum("__tokens").alias("tokens")).where("tokens > 0"))
     total, least, most = shares.agg(F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
     shares = shares.withColumn("p", F.col("tokens") / F.lit(total))
     if total is None:
         exponent = 1.0
-    elif entropy is not None:
-        exponent = 1 - bisect(0.0, 1.0, lambda xs: entropies(shares, [1 - x for x in xs]), entropy)
     else:
         # a source repeats w / p ~ p ** (a - 1) times, the smallest one most often
-        exponent = bisect(0.0, 1.0, lambda xs: [-((least / most) ** (a - 1)) for a in xs], -repetition * (1 + 1e-12))
+        most_repeated = repetition or (REPETITION if entropy is None else MOST_REPETITION)
+        exponent = bisect(0.0, 1.0, lambda xs: [-((least / most) ** (a - 1)) for a in xs], -most_repeated * (1 + 1e-12))
+        if entropy is not None:
+            exponent = max(exponent, 1 - bisect(0.0, 1.0, lambda xs: entropies(shares, [1 - x for x in xs]), entropy))
     w = F.exp(F.lit(exponent) * F.log("p"))
     norm, scale = (shares.agg(F.sum(w), F.min(w / F.col("p"))).first()) if total is not None else (1.0, 1.0)
     return shares.select("__source", "tokens", "p", (w / F.lit(norm)).alias("weight"), F.lit(exponent).alias("exponent"), (w / F.col("p") / F.lit(scale)).alias("passes"))
 
 
-def mixed(docs: DataFrame, entropy: float | None = None, repetition: float | None = REPETITION, blocks: int = BLOCKS) -> DataFrame:
+def mixed(docs: DataFrame, entropy: float | None = None, repetition: float | None = None, blocks: int | None = None) -> DataFrame:
     """docs once for each time that a document is used, with pass_no, block (in order) and weight, exponent of its source added.
 
     Rows without tokens, and their sources if all rows are such, are used once, at weight 0 if the source has none. A
-    null source is a source of its own, as the empty one. Ties in the order within a block are broken by doc_id, then
+    null source counts as the empty one. Ties in the order within a block are broken by doc_id, then
     text; repeated rows are used one by one. Null texts have no tokens. An empty table gives no rows; all columns of
     docs are kept, and columns named like an added one are replaced.
     """
     added = ["pass_no", "block", "weight", "exponent"]
     docs = docs.drop(*added)
+    if blocks is None:
+        blocks = max(BLOCKS, -(-docs.count() // BLOCK_ROWS))
     counted = token_counts(docs).withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     sizes = materialize(counted.select("doc_id", "__source", "__bucket", "__tokens"))
     weights = materialize(source_weights(sizes, entropy, repetition))
