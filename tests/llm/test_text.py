@@ -28,16 +28,18 @@ def encoding():
 HARD = [(101, "a" * 5000 + " bc" + " " * 700 + "x" * 3), (102, "it's " * 400 + "don'll 'l"), (103, "12345 \n\n  \t" * 200), (104, "'" * 300 + "s're've" * 50), (105, "é" * 400 + "日本" * 300)]
 
 
-@pytest.mark.parametrize("chunk, overlap", [(65_536, 2048), (100, 8), (333, 50), (64, 20)])
-def test_bpe_equals_the_library_and_round_trips(spark, chunk, overlap):
+@pytest.mark.parametrize("chunk, overlap", [(bpe.CHUNK, bpe.OVERLAP), (65_536, 2048), (100, 8), (333, 50), (64, 20)])
+def test_bpe_equals_the_library_and_round_trips(spark, monkeypatch, chunk, overlap):
+    monkeypatch.setattr(bpe, "SPREAD_CHUNK", 500)
+    monkeypatch.setattr(bpe, "SPREAD_OVERLAP", 30)
     data = [*rows(), *HARD]
     enc = encoding()
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("at", F.lit(1))
-    got = bpe.bpe_encode(df, "ids", chunk=chunk, overlap=overlap)
+    got = bpe.bpe_encode(df, "ids", chunk=chunk, overlap=overlap, spread=3000)
     want = sorted((repr(i), enc.encode_ordinary(t or "")) for i, t in data)
     assert sorted((repr(r.doc_id), list(r.ids)) for r in got.collect()) == want
     assert sorted((repr(r.doc_id), bytes(r.data)) for r in bpe.bpe_decode(got).collect()) == sorted((repr(i), (t or "").encode()) for i, t in data)
-    digests = bpe.bpe_encode(df, "digest", chunk=chunk, overlap=overlap).collect()
+    digests = bpe.bpe_encode(df, "digest", chunk=chunk, overlap=overlap, spread=3000).collect()
     assert sorted((repr(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in digests) == sorted(
         (repr(i), len(e := enc.encode_ordinary(t or "")), hashlib.sha256(",".join(map(str, e)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in data
     )
@@ -55,6 +57,27 @@ def test_stitching(text, chunk, overlap):
     cores = [text[i : i + chunk] for i in range(0, len(text), chunk)] or [""]
     starts = [bpe.boundaries(text[i * chunk : (i + 1) * chunk + overlap], pattern) for i in range(len(cores))]
     assert bpe.stitch(cores, starts, pattern, overlap) == [m.start() for m in pattern.finditer(text)]
+    assert bpe.chunked_pieces(text, pattern, chunk, overlap) == pattern.findall(text)
+
+
+def test_most_texts_have_several_chunks_that_resynchronise(spark):
+    """Over a table of ordinary texts: chunks are stitched, next to never pre-tokenised again."""
+    import public_tokenizers as P
+    import regex
+
+    pattern = regex.compile(P.PATTERN)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text and len(r.text) > bpe.CHUNK]
+    again = []
+
+    class Watched:
+        findall = pattern.findall
+
+        def finditer(self, text, at):
+            again.append(text)
+            return pattern.finditer(text, at)
+
+    assert texts and all(bpe.chunked_pieces(t, Watched(), bpe.CHUNK, bpe.OVERLAP) == pattern.findall(t) for t in texts)
+    assert len(again) <= 0.02 * sum(len(t) // bpe.CHUNK for t in texts)
 
 
 # --- quality rules

@@ -1,19 +1,21 @@
 """Byte-level BPE encoding and decoding over overlapping chunks.
 
-Long texts are cut into chunks of CHUNK characters, each with the first OVERLAP characters of what follows. Chunks are
-pre-tokenised in parallel; two neighbours are stitched at the first pre-token boundary that both have in the overlap,
+Texts are cut into chunks of CHUNK characters, each with the first OVERLAP characters of what follows. Chunks are
+pre-tokenised one by one; two neighbours are stitched at the first pre-token boundary that both have in the overlap,
 from where they must agree, since a match depends only on what follows it. Where no boundary resynchronises (a run
 longer than the overlap), the text is pre-tokenised again from the last sure boundary. The pieces are then encoded;
-decoding concatenates the raw bytes of the ids. Texts of one chunk need no stitching and no shuffle.
+decoding concatenates the raw bytes of the ids. The chunks of a text from SPREAD characters on are larger and
+pre-tokenised by as many tasks, so that no task waits for one long text; those of others are in one task, without a shuffle.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 from tokenloom.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CHUNK, OVERLAP = 65_536, 2_048
+CHUNK, OVERLAP = 1_024, 64
+#: Texts of so many characters are spread over tasks, by chunks of so many characters with so long an overlap.
+SPREAD, SPREAD_CHUNK, SPREAD_OVERLAP = 262_144, 65_536, 2_048
 #: No alternative of the pattern but the unbounded runs looks further ahead than this many characters.
 LOOKAHEAD = 4
 #: Pieces remembered by a worker; the memory is emptied when full.
@@ -78,25 +82,20 @@ def boundaries(text: str, pattern, at: int = 0, end: int | None = None) -> list[
 
 def stitch(cores: list[str], starts: list[list[int]], pattern, overlap: int) -> list[int]:
     """Starts of the pre-tokens of the whole text, from each chunk's core and its own starts (relative to it)."""
-    text, offsets = "".join(cores), [0]
-    for c in cores:
-        offsets.append(offsets[-1] + len(c))
-    sure, last = list(starts[0]), len(cores) - 1
+    text, offsets = "".join(cores), list(accumulate(map(len, cores), initial=0))
+    sure = list(starts[0])
     for i in range(1, len(cores)):
-        begin = offsets[i]
+        begin, here = offsets[i], starts[i]
         window = min(len(text), begin + overlap)
-        limit = window - LOOKAHEAD if i <= last and window < len(text) else window
-        here = {begin + s for s in starts[i]}
+        limit = window - LOOKAHEAD if window < len(text) else window
         while sure and sure[-1] > limit:  # what the cut may have made
             sure.pop()
-        if window == len(text) or sure:
-            k = bisect_left(sure, begin)
-            common = next((j for j in range(k, len(sure)) if sure[j] in here), None)
-        else:
-            common = None
+        heads = {begin + s for s in here[: bisect_right(here, overlap)]}
+        common = next((j for j in range(bisect_left(sure, begin), len(sure)) if sure[j] in heads), None)
         if common is not None:
-            joint = sure[common]
-            sure = sure[:common] + [begin + s for s in starts[i] if begin + s >= joint]
+            joint = sure[common] - begin
+            del sure[common:]
+            sure += [begin + s for s in here[bisect_left(here, joint) :]]
         else:  # nothing resynchronised: once more from the last sure boundary, to where this chunk's own window ends
             after = sure.pop() if sure else 0
             reach = min(len(text), offsets[i + 1] + overlap)
@@ -104,6 +103,16 @@ def stitch(cores: list[str], starts: list[list[int]], pattern, overlap: int) ->
     return sure
 
 
+def chunked_pieces(text: str, pattern, chunk: int, overlap: int) -> list[str]:
+    """Pre-tokens of a text by way of its chunks."""
+    if len(text) <= chunk:
+        return pattern.findall(text)
+    cores = [text[i : i + chunk] for i in range(0, len(text), chunk)]
+    starts = [list(accumulate(map(len, pattern.findall(text[i : i + chunk + overlap])[:-1]), initial=0)) for i in range(0, len(text), chunk)]
+    at = stitch(cores, starts, pattern, overlap)
+    return [text[a:b] for a, b in zip(at, [*at[1:], len(text)])]
+
+
 def _digest(texts, pieces_of, csv, raw):
     for t in texts:
         pieces = pieces_of(t or "")
@@ -129,9 +138,10 @@ def _rows(kind: str, vocabulary: str, texts, pieces_of):
             yield ([i for p in pieces_of(t or "") for i in ids[p]],)
 
 
-def _encode_whole(kind: str, vocabulary: str):
+def _encode_whole(kind: str, vocabulary: str, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _codec(vocabulary)[0].findall
+        pattern = _codec(vocabulary)[0]
+        find = lambda text: chunked_pieces(text, pattern, chunk, overlap)
         for b in batches:
             rows = list(_rows(kind, vocabulary, (x.as_py() for x in b.column("text")), find))
             cols = [pa.array(c, t) for c, (_, t) in zip(zip(*rows), _columns(kind))] if rows else [pa.array([], t) for _, t in _columns(kind)]
@@ -169,21 +179,22 @@ def _stitched(kind: str, vocabulary: str, overlap: int):
     return run
 
 
-def bpe_encode(docs: DataFrame, kind: str = "ids", vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def bpe_encode(docs: DataFrame, kind: str = "ids", vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id with ids array<int>, or for kind "digest" n_tokens, ids_sha256
     and decoded_sha256.
 
     Each match of the pattern is encoded by itself, without special tokens. Null and empty texts give no ids; the
     digests are then those of nothing. Repeated rows each give a row, null doc_ids are returned as they are, an empty
-    table gives no rows, and other columns are ignored.
+    table gives no rows, and other columns are ignored. A text of any length is encoded whole; one task stitches it.
     """
     assert chunk > overlap > LOOKAHEAD
+    wide, lap = max(chunk, SPREAD_CHUNK), max(overlap, SPREAD_OVERLAP)
     out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + (DIGEST if kind == "digest" else "ids array<int>")
     docs = docs.select("doc_id", "text")
-    whole = F.coalesce(F.char_length("text") <= chunk, F.lit(True))
-    short = docs.where(whole).mapInArrow(_encode_whole(kind, vocabulary), out)
-    cores = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
-    parts = F.transform("cores", lambda c, i: F.struct(c.alias("core"), F.concat(c, F.left(F.coalesce(F.get("cores", i + 1), F.lit("")), F.lit(overlap))).alias("text")))
+    whole = F.coalesce(F.char_length("text") < spread, F.lit(True))
+    short = docs.where(whole).mapInArrow(_encode_whole(kind, vocabulary, chunk, overlap), out)
+    cores = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{wide}}}"), F.lit(0))
+    parts = F.transform("cores", lambda c, i: F.struct(c.alias("core"), F.concat(c, F.left(F.coalesce(F.get("cores", i + 1), F.lit("")), F.lit(lap))).alias("text")))
     long = (
         docs.where(~whole)
         .select(F.xxhash64("doc_id", "text").alias("same"), "doc_id", cores.alias("cores"))
@@ -192,7 +203,7 @@ def bpe_encode(docs: DataFrame, kind: str = "ids", vocabulary: str = VOCABULARY,
         .repartition("same", "at")
         .mapInArrow(_chunk_starts(vocabulary), f"same long, {out.split(',')[0]}, at int, core string, starts array<int>")
         .groupBy("same", "doc_id")
-        .applyInArrow(_stitched(kind, vocabulary, overlap), out)
+        .applyInArrow(_stitched(kind, vocabulary, lap), out)
     )
     return short.unionByName(long)
 
