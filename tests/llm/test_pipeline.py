@@ -14,6 +14,13 @@ def test_stages_are_in_order_and_queries_registered():
     assert all(sum(q.startswith(f"op{n}_") for q in names) == 1 for n in range(1, 11)) and set(registry.oracle_sql()) <= set(names)
 
 
+def test_token_stage_takes_awkward_rows(spark):
+    docs = documents(spark)
+    got = Counter(r.doc_id for r in p.token_stage(spark, docs, "").collect())
+    assert got == Counter(r.doc_id for r in docs.collect())
+    assert p.token_stage(spark, docs.limit(0), "").count() == 0
+
+
 @pytest.mark.parametrize("k", range(4))
 def test_each_stage_keeps_columns_and_takes_awkward_rows(spark, k):
     docs = documents(spark)

@@ -193,6 +193,60 @@ def test_language_evidence(spark):
     assert language_id.language_id(df.limit(0)).count() == 0
 
 
+def test_languages_come_from_the_declared_ones(spark):
+    it, sv, en = "il cane e la casa della gente che non vuole andare via", "en hund och ett hus som inte vill gå bort från oss", "the dog and the house of people who do not want to go"
+    data = [(i, f"{it} {i}", "IT-it", "h") for i in range(60)] + [(100 + i, f"{en} {i}", "en_GB", "h") for i in range(60)] + [(200 + i, f"{sv} {i}", "sv", "h") for i in range(10)] + [(300, en, None, "h"), (301, "", "sv", "h")]
+    got = {r.id: (r.declared, r.predicted, r.kept) for r in language_id.language_id(spark.createDataFrame(data, "id long, text string, declared string, host string")).collect()}
+    assert all(got[i] == ("it", "it", True) and got[100 + i] == ("en", "en", True) for i in range(60))
+    assert all(got[200 + i] == ("sv", "und", True) for i in range(10)) and got[300] == (None, "en", True) and got[301] == ("sv", "und", False)
+
+
+def brute_languages(data, names):
+    """(predicted, probability) of each row by plain counting; all rows with text are in the sample."""
+    model = []
+    for name in names:
+        c = Counter(b for _, t, d, _ in data if d == name for b in language_id.trigram_buckets(t).tolist())
+        model.append([math.log((c[b] + 0.5) / (sum(c.values()) + 0.5 * language_id.BUCKETS)) for b in range(language_id.BUCKETS)])
+    model.append([-math.log(language_id.BUCKETS) - language_id.HANDICAP] * language_id.BUCKETS)
+    k, rows = len(model), []
+    for _, t, d, h in data:
+        at = language_id.trigram_buckets(t).tolist()
+        h = h or ""
+        rows.append(([sum(m[b] for b in at) / 3 * min(1, language_id.EVIDENCE / max(1, len(at))) for m in model], d or "", h, ".".join(h.split(".")[-2:]), h.split(".")[-1] if "." in h else "", any(map(str.isalpha, t or ""))))
+    guess = [max(range(k), key=lambda i: (x[0][i], -i)) for x in rows]
+    counts = lambda test: [sum(g == i for g, x in zip(guess, rows) if x[5] and test(x)) for i in range(k)]
+    whole = counts(lambda x: True)
+    smooth = lambda c, prior: [(n + language_id.STRENGTH * p) / (sum(c) + language_id.STRENGTH) for n, p in zip(c, prior)]
+    out = []
+    for x in rows:
+        domain = smooth(counts(lambda y: y[3] == x[3]), [(n + 1) / (sum(whole) + k) for n in whole])
+        prior = smooth(counts(lambda y: y[2] == x[2]), domain)
+        total = list(x[0])
+        for i in range(k):
+            total[i] += math.log(prior[i])
+            for f in (1, 4):
+                total[i] += math.log((counts(lambda y: y[f] == x[f])[i] + 1) / (whole[i] + len({y[f] for y in rows if y[5]}) + 1))
+        best = max(range(k), key=lambda i: (total[i], -i))
+        out.append(([*names, "und"][best], 1 / sum(math.exp(v - total[best]) for v in total)) if x[5] else ("und", 1.0))
+    return out
+
+
+def test_language_fusion_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    vocabulary = {"en": "the of and house town people was".split(), "fr": "le la et maison ville gens était".split(), "de": "der die und haus stadt leute war".split()}
+    data = []
+    for i in range(150):
+        true = ("en", "fr", "de")[i % 3]
+        text = " ".join(rng.choice(vocabulary[true]) for _ in range(rng.choice((1, 2, 5, 30))))
+        data.append((i, text, rng.choice((true, true, true, "en")), rng.choice((f"www.site{i % 4}.{true}", "mixed.example.com", "plain"))))
+    data += [(200, "long " * 30_000, "en", "plain"), (201, "12 34", "fr", "plain"), (202, "###", "de", "plain")]
+    got = {r.id: (r.predicted, r.probability) for r in language_id.language_id(spark.createDataFrame(data, "id long, text string, declared string, host string"), ("en", "fr", "de")).collect()}
+    for (i, *_), (name, p) in zip(data, brute_languages(data, ("en", "fr", "de"))):
+        assert got[i][0] == name and got[i][1] == pytest.approx(p, rel=1e-6)
+
+
 def test_pages_give_all_evidence(spark):
     pages = spark.createDataFrame([(1, "https://u@www.example.fr:80/x?y", "<html lang='FR-ca'><script>var x</script><p>la ville</p>"), (2, None, None)], "page_id long, url string, html string")
     a, b = language_id.page_rows(pages).collect()

@@ -4,7 +4,8 @@ Four kinds of evidence are multiplied: the text's likelihood under hashed byte-t
 trigrams are not independent), the declared language's likelihood given each language, the address suffix's likelihood
 given each language, and a prior of the host. The latter three come from grouped counts of the text-only decisions over
 all rows; a host's prior is smoothed towards its domain's, and that towards the whole corpus's. A uniform model stands
-for text of no known language.
+for text of no language. The languages are those that enough rows declare; a row that declares another is left to itself,
+as its language has no model that it could be told by.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.common import materialize, table
 
-LANGUAGES = ("en", "fr", "de", "es")
 OTHER = "und"
+#: A declared value is a language if so many rows with text declare it, and it is among so many most declared ones.
+LEAST_ROWS, MOST_LANGUAGES = 50, 128
 #: Labelled rows that the text models are fitted on, expected for each language; the rows are chosen by a hash of their id.
 SAMPLE = 2_000
 BUCKETS = 4096
@@ -55,15 +57,25 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at].astype(np.int64))], ["declared", "bucket", "n"])
 
 
-def text_models(rows: DataFrame, languages=LANGUAGES, sample: int = SAMPLE) -> np.ndarray:
-    """log P(bucket | language), one column each and a uniform one last, from declared languages of a bounded sample."""
-    labelled = rows.where(F.col("declared").isin(*languages) & F.col("text").isNotNull())
-    sizes = dict(labelled.groupBy("declared").count().collect())  # one row a language at most
+def declared_code(declared):
+    """The primary subtag of a declared language in lower case; null where there is none."""
+    return F.nullif(F.lower(F.trim(F.regexp_extract(declared.cast("string"), r"^[^_-]*", 0))), F.lit(""))
+
+
+def declared_languages(rows: DataFrame) -> dict[str, int]:
+    """Rows of each language that enough rows (declared, text) declare, most declared first, then by name."""
+    counts = rows.where("text RLIKE '\\\\p{L}' AND declared IS NOT NULL").groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS)
+    return dict(map(tuple, counts.orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect()))
+
+
+def text_models(rows: DataFrame, sizes: dict[str, int], sample: int = SAMPLE) -> np.ndarray:
+    """log P(bucket | language), one column for each of sizes and a uniform one last, from a bounded sample of declared rows."""
+    languages = list(sizes)
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20)
     chosen = [(F.col("declared") == k) & (share < sample / n) for k, n in sizes.items()]
     counts = np.zeros((BUCKETS, len(languages)))
     if chosen:
-        got = labelled.where(reduce(lambda a, b: a | b, chosen)).select("text", "declared").mapInArrow(_count, "declared string, bucket int, n long")
+        got = rows.where(F.col("text").isNotNull() & reduce(lambda a, b: a | b, chosen)).select("text", "declared").mapInArrow(_count, "declared string, bucket int, n long")
         for lang, bucket, n in got.groupBy("declared", "bucket").agg(F.sum("n")).collect():  # BUCKETS rows a language at most
             counts[bucket, languages.index(lang)] = n
     p = (counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS)
@@ -90,16 +102,25 @@ def host_of(url):
     return F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def language_id(rows: DataFrame, languages=LANGUAGES, sample: int = SAMPLE) -> DataFrame:
+def language_id(rows: DataFrame, languages=None, sample: int = SAMPLE) -> DataFrame:
     """One row per row of rows (id, text, declared, host): id, same, declared, predicted, probability, kept.
 
-    same is xxhash64 of id and text, for joining the decisions back. Null or unknown declared languages, hosts and
-    suffixes are values like others, so they carry the evidence that the counts give them. A text without letters (null
-    and empty ones too) is "und" with probability 1 and is not kept; nor is one whose best language is "und" or has
-    less than LEAST_PROBABILITY. Ties go to the language named first. An empty table gives no rows.
+    languages are those told apart, by default the declared ones (declared_languages); declared is returned as its
+    primary subtag in lower case. same is xxhash64 of id and text, for joining the decisions back together with id. Null
+    hosts, suffixes and declared languages are values like others, so they carry the evidence that the counts give them.
+    A text without letters (null and empty ones too) is "und" with probability 1 and is not kept. A text with letters
+    whose declared language is none of languages is "und" too, but kept, with a null probability, as is every text with
+    letters where there are no languages. Of the others, those whose best language is "und" or has less than
+    LEAST_PROBABILITY are not kept. Ties go to the language named first. Texts are judged whole, however long. Repeated
+    rows each give a row, an empty table gives no rows, other columns are ignored.
     """
-    names, k = [*languages, OTHER], len(languages) + 1
-    model = text_models(rows, languages, sample)
+    rows = rows.withColumn("declared", declared_code(F.col("declared")))
+    sizes = declared_languages(rows)
+    if languages is not None:
+        found = rows.where(F.col("declared").isin(*languages)).groupBy("declared").count()
+        sizes = dict.fromkeys(languages, 1) | dict(map(tuple, found.collect()))
+    names, k = [*sizes, OTHER], len(sizes) + 1
+    model = text_models(rows, sizes, sample)
     kind = rows.schema["id"].dataType.simpleString()
     scored = materialize(
         rows.select("id", F.xxhash64("id", "text").alias("same"), F.coalesce("declared", F.lit("")).alias("declared"), F.coalesce("host", F.lit("")).alias("host"), "text").mapInArrow(
@@ -132,9 +153,11 @@ def language_id(rows: DataFrame, languages=LANGUAGES, sample: int = SAMPLE) -> D
     declared, ending = F.coalesce("by_declared", zero), F.coalesce("by_suffix", zero)
     out = out.withColumn("logs", F.transform("logs", lambda x, i: x + F.log(F.get(prior, i)) + F.get(declared, i) + F.get(ending, i)))
     mass = F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("logs")))
-    out = out.withColumn("probability", F.when(F.col("letters") > 0, 1 / mass).otherwise(1.0))
-    out = out.withColumn("predicted", F.when(F.col("letters") > 0, F.get(F.array(*map(F.lit, names)), best(F.col("logs")))).otherwise(OTHER))
-    kept = (F.col("predicted") != OTHER) & (F.col("probability") >= LEAST_PROBABILITY)
+    letters, declares = F.col("letters") > 0, F.col("declared") != ""
+    strange = letters & ((declares & ~F.col("declared").isin(names[:-1])) | F.lit(k == 1))
+    out = out.withColumn("probability", F.when(strange, None).when(letters, 1 / mass).otherwise(1.0))
+    out = out.withColumn("predicted", F.when(letters & ~strange, F.get(F.array(*map(F.lit, names)), best(F.col("logs")))).otherwise(OTHER))
+    kept = strange | ((F.col("predicted") != OTHER) & (F.col("probability") >= LEAST_PROBABILITY))
     return out.select("id", "same", F.nullif("declared", F.lit("")).alias("declared"), "predicted", "probability", kept.alias("kept"))
 
 
