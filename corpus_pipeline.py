@@ -12,17 +12,19 @@ from pyspark.sql import functions as F
 from tokenloom.llm.bpe import bpe_encode
 from tokenloom.llm.common import fresh, materialize, table
 from tokenloom.llm.jaccard_join import jaccard_components
-from tokenloom.llm.language_id import document_rows, language_id
+from tokenloom.llm.language_id import OTHER, document_rows, language_id
 from tokenloom.llm.line_dedup import drop_documents, line_dedup
 from tokenloom.llm.mixing import mixed
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose language is not told; lang becomes the language found."""
+    """Without the documents whose language is not told, null and empty ones among them; lang becomes the language found,
+    and stays where the document declares one that too few do. An empty table gives no rows."""
     found = language_id(document_rows(docs)).where("kept")
-    same, told = fresh(docs, "__same"), fresh(docs, "__told")
-    found = found.groupBy(F.col("same").alias(same)).agg(F.max("predicted").alias(told))  # repeated rows have one decision
-    return docs.withColumn(same, F.xxhash64("doc_id", "text")).join(found, same).withColumn("lang", F.col(told)).select(*docs.columns)
+    id_, same, told = fresh(docs, "__id"), fresh(docs, "__same"), fresh(docs, "__told")
+    found = found.groupBy(F.col("id").alias(id_), F.col("same").alias(same)).agg(F.max("predicted").alias(told))  # repeated rows have one decision
+    out = docs.join(found, (F.xxhash64(docs["doc_id"], docs["text"]) == found[same]) & docs["doc_id"].eqNullSafe(found[id_]))
+    return out.withColumn("lang", F.when(F.col(told) == OTHER, F.col("lang")).otherwise(F.col(told))).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +53,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document once for each use; no source loses a document, and none is used more than twice."""
+    """Each document once for each use; no source loses a document, and none is used more than twice. Null and empty texts
+    are used once, a null source counts as the empty one. An empty table gives no rows."""
     return mixed(docs).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the decoded bytes, for each use of a document."""
+    """doc_id, n_tokens and the digests of the ids and of the decoded bytes, for each use of a document. Null and empty
+    texts have no tokens, null ids are returned as they are. An empty table gives no rows."""
     return bpe_encode(docs, "digest")
 
 
