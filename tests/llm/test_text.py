@@ -1,5 +1,6 @@
 import hashlib
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -367,6 +368,60 @@ def test_blocks_without_an_article():
     assert html_extract.main_text(page) == f"{good.strip()}\nShort.\n{good.strip()}"
 
 
+SENTENCE = "This is what the reader of the page has come for, and it is in the words of the one who wrote it. "
+LIST = "<ul><li><a href=1>Ten ways to do it better</a></li><li><a href=2>What they do not tell you</a></li></ul>"
+FOREIGN = "Il cane corre veloce verso casa mentre gatto dorme sopra vecchio tappeto rosso davanti camino acceso tutta notte lunga fredda. "
+#: Pages on which the two passes decide, and their main text; S stands for SENTENCE, F for FOREIGN, L for a list of links.
+LABELLED = [
+    ("<article><p>SSS</p><h4>Related</h4>L</article>", "SSS"),
+    ("<article><h4>Contents</h4>L<h1>Title</h1><p>SSS</p><p>Short.</p>L<h4>Read more</h4>L</article>", "Title\nSSS\nShort."),
+    ("<article><p>SSS</p>L<p>A short remark.</p><p>SSS</p></article>", "SSS\nA short remark.\nSSS"),
+    ("<article><p>SSS</p><section class='related-work' id='navier-stokes'><p>SS</p></section><p class='share-of-vote'>S</p><div class='related-posts'>SS</div></article>", "SSS\nSS\nS"),
+    ("<form id=aspnet><div>Home</div><article><p>SSS</p></article><div>About</div></form>", "SSS"),
+    ("<form action=x><div>SSS</div><p>SSS</p><input></form><form>mail us <input></form>", "SSS\nSSS"),
+    ("<div class='page-with-sidebar'><main><p>Words.</p></main></div>", "Words."),
+    ("<div>Menu</div><p>S</p><p>S</p><div>Imprint</div>", "S\nS"),
+    ("<div>Menu</div><div>FFF</div><div>F</div><div>FFF</div>L<div>Imprint</div>", "FFF\nF\nFFF"),
+    ("<div>L</div><div>SSS</div><h2>Next part</h2><div>SSS</div><p>S</p><div>L</div><p>Footer of the site</p>", "SSS\nNext part\nSSS\nS"),
+    ("<div>Menu</div><p>Too short to be told.</p>", ""),
+]
+
+
+def fill(x: str) -> str:
+    return re.sub("[SFL]+", lambda m: "".join({"S": SENTENCE, "F": FOREIGN, "L": LIST}[c] for c in m[0]).strip(), re.sub(r"\b(?![SFL]+\b)\w+", lambda m: m[0].replace("S", "\0").replace("F", "\1").replace("L", "\2"), x)).replace("\0", "S").replace("\1", "F").replace("\2", "L")
+
+
+@pytest.mark.parametrize("html, text", LABELLED)
+def test_blocks_are_told_by_the_two_passes(html, text):
+    assert html_extract.main_text(fill(html)) == fill(text)
+
+
+def test_either_pass_decides(monkeypatch):
+    """With either pass off, the text of some of the labelled pages is another, also inside an article."""
+    want = [html_extract.main_text(fill(h)) for h, _ in LABELLED]
+    articles = {i for i, (h, _) in enumerate(LABELLED) if "<article" in h}
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "first_pass", lambda *_: "short")
+        changed = {i for i, (h, _) in enumerate(LABELLED) if html_extract.main_text(fill(h)) != want[i]}
+        assert changed & articles and changed - articles
+    for off in (lambda x: x != "bad", lambda x: x == "good"):
+        with monkeypatch.context() as m:
+            m.setattr(html_extract, "second_pass", lambda labels, *_, off=off: [off(x) for x in labels])
+            changed = {i for i, (h, _) in enumerate(LABELLED) if html_extract.main_text(fill(h)) != want[i]}
+            assert changed & articles and changed - articles
+
+
+def test_long_and_hostile_pages():
+    import time
+
+    began = time.time()
+    assert html_extract.main_text("<article>" + "<p>One more.</p>" * 50_000 + "</article>") == "\n".join(["One more."] * 50_000)
+    assert html_extract.main_text("<div " * 20_000) == "" and html_extract.main_text("<" * 100_000 + "<div class='ad'>" * 2_000) is not None
+    assert len(html_extract.main_text("<article><p>" + "x " * 1_000_000)) == 1_999_999
+    assert html_extract.main_text("<form>" * 3_000 + "<article>text</article>") == "text"
+    assert time.time() - began < 60
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article>x</article>"), (None, None, None), (1, "u", "<article>x</article>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted((repr(r.page_id), r.text, r.n_chars) for r in html_extract.html_extract(pages).collect()) == [("1", "x", 1), ("1", "x", 1), ("None", "", 0)]

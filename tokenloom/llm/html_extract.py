@@ -1,10 +1,11 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags; scripts, styles, forms and containers that name themselves boilerplate
-(menus, headers, footers, sidebars, notices, adverts, comments) are left out. The first pass classifies each block by
-stop-word density, length and link density as good, bad, near good or short. In the second pass, ambiguous blocks take
-the label of the nearest decided neighbours. Inside an article or main element, whose edges count as good neighbours,
-only link lists are bad.
+(menus, headers, footers, sidebars, notices, adverts, comments) are left out, unless they hold the article. The first
+pass classifies each block by stop-word density, length and link density as good, bad, near good or short; on a page
+whose language has no stop words here, by length and link density. In the second pass, ambiguous blocks take the label
+of the nearest decided neighbours. Inside an article or main element, whose edges count as good neighbours, only link
+lists are bad, and what belongs to them goes with them: a short line that ends no sentence heads what follows it.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ STOP_WORDS = frozenset(
 )
 LOW_DENSITY, HIGH_DENSITY = 0.15, 0.30
 SHORT, LONG, MOST_LINKS = 70, 200, 0.4
-REACH = 200
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=\s|/|$)", re.I)
@@ -40,10 +40,16 @@ _BLOCK = frozenset(
     "legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 _BAD_TAGS = frozenset("nav footer aside form menu dialog select button head label input fieldset datalist".split())
-_BAD_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|topbar|footer\w*|sidebar\w*|aside|widget\w*|cookie\w*|consent|gdpr|"
-    r"notice\w*|popup\w*|modal|overlay|newsletter|subscri\w*|signup|login|comment\w*|disqus|replies|reply|respond|share|sharing|social\w*|related|recommend\w*|search\w*|pagination|pager|toolbar|skip\w*)(?=$|[\s_-])",
-    re.I,
+#: Words in a class or id that name boilerplate, and words that say no more than that something is a container.
+_BAD_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored sponsors promo promos promotion nav navbar navigation navlinks menu menus menubar "
+    "breadcrumb breadcrumbs header masthead topbar footer footers sidebar sidebars aside widget widgets cookie cookies consent gdpr notice notices popup popups modal overlay newsletter newsletters "
+    "subscribe subscription subscriptions signup login comment comments commentlist disqus replies reply respond share sharing shares social socials related recommend recommended recommendation "
+    "recommendations search searchbar searchbox searchform pagination pager toolbar skip skiplink skiplinks".split()
+)
+_BOX_WORDS = frozenset(
+    "area articles bar block body bottom box button buttons container content form group holder icon icons inner item items left link links list listing main media outer page panel posts right row section "
+    "site slot stories text the top unit wrap wrapper".split()
 )
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 _INSIDE = frozenset(("article", "main"))
@@ -52,6 +58,16 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _STOPS = frozenset("article main footer header nav aside section body html".split())
 
 
+def _names_boilerplate(value: str, inside: bool) -> bool:
+    """Whether one of the names has a word for boilerplate; inside an article, no other telling word beside it."""
+    for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+        words = re.findall(r"[^\W\d_]+", name)
+        bad = [w in _BAD_WORDS for w in words]
+        if any(bad) and (not inside or all(b or w in _BOX_WORDS for w, b in zip(words, bad))):
+            return True
+    return False
+
+
 def _is_bad(tag: str, attributes: str, inside: bool) -> bool:
     if tag in _BAD_TAGS or tag == "header" and not inside:
         return True
@@ -59,7 +75,7 @@ def _is_bad(tag: str, attributes: str, inside: bool) -> bool:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name in ("class", "id") and _BAD_NAMES.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value)):
+        if name in ("class", "id") and _names_boilerplate(value, inside):
             return True
         if name == "role" and value.lower() in _BAD_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -95,6 +111,16 @@ def _end_of(tags: list, i: int, end: int) -> tuple[int, int]:
     return next(((k - 1, tags[k][0]) for k in range(i + 1, len(tags)) if tags[k][3] in _STOPS), (len(tags) - 1, end))
 
 
+def _holds_text(tags: list, html: str, i: int, last: int) -> bool:
+    """Whether a container that would be left out holds an article, or is a form that holds most of the page's text."""
+    if any(t[3] in _INSIDE and not t[2] for t in tags[i : last + 1]):
+        return True
+    if tags[i][3] != "form":
+        return False
+    sizes = [len(html[t[1] : n[0]].strip()) for t, n in zip(tags, [*tags[1:], (len(html),)])]
+    return 2 * sum(sizes[i:last]) > sum(sizes)
+
+
 def blocks(html: str) -> list[tuple[str, float, bool]]:
     """(text, link density, inside an article or main element) of each block in page order."""
     tags = list(_tags(html))
@@ -130,7 +156,9 @@ def blocks(html: str) -> list[tuple[str, float, bool]]:
         elif not closing and name not in _VOID and _is_bad(name, attributes, inside > 0):
             if name in _BLOCK:
                 close()
-            i, at = _end_of(tags, i, len(html))
+            last, after = _end_of(tags, i, len(html))
+            if not _holds_text(tags, html, i, last):
+                i, at = last, after
         elif name in _BLOCK:
             close()
             link = False
@@ -142,43 +170,70 @@ def blocks(html: str) -> list[tuple[str, float, bool]]:
     return out
 
 
-def first_pass(text: str, density: float, inside: bool) -> str:
+def _stops(text: str) -> tuple[int, int]:
+    """Stop words and words of a text."""
+    words = [w.strip(".,;:!?\"'()[]{}*#%&$|-").lower() for w in text.split()]
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def first_pass(text: str, density: float, inside: bool, foreign: bool = False) -> str:
     if density > MOST_LINKS:
         return "bad"
-    words = [w.strip(".,;:!?\"'()[]{}*#%&$|-").lower() for w in text.split()]
-    stops = sum(w in STOP_WORDS for w in words) / len(words)
     if len(text) < SHORT:
         return "bad" if density and not inside else "short"
-    if stops >= HIGH_DENSITY:
+    stops, words = _stops(text)
+    if foreign or stops >= HIGH_DENSITY * words:
         return "good" if len(text) > LONG else "near"
-    if stops >= LOW_DENSITY:
+    if stops >= LOW_DENSITY * words:
         return "near"
     return "short" if inside else "bad"
 
 
-def second_pass(labels: list[str], inside: list[bool]) -> list[bool]:
-    """Whether each block is main text. Near-good blocks need one good neighbour, short ones two; neighbours are the
-    nearest decided blocks, and the edge of an article counts as good, the page's edge as bad."""
+def is_foreign(found: list[tuple[str, float, bool]]) -> bool:
+    """Whether the longer blocks of a page have too few stop words for any of the languages known here."""
+    stops, words = map(sum, zip((0, 0), *(_stops(text) for text, density, _ in found if len(text) >= SHORT and density <= MOST_LINKS)))
+    return stops < LOW_DENSITY * words
+
+
+def second_pass(labels: list[str], inside: list[bool], ends: list[bool]) -> list[bool]:
+    """Whether each block is main text. ends: whether it ends as a sentence does.
+
+    The edge of an article counts as good, the page's as bad. Near-good blocks need one good neighbour among the nearest
+    decided ones, short ones outside an article two. Inside, a short block between a good and a bad one takes the label
+    of the nearer if it ends a sentence, good where both are as near, else of the one that follows. Where a page without
+    an article has no good block, the near-good ones are good.
+    """
     n = len(labels)
-    before, after = ["bad"] * n, ["bad"] * n
-    for order, into, step in ((range(n), before, -1), (range(n - 1, -1, -1), after, 1)):
-        last = "bad"
+    if "good" not in labels and not any(inside):
+        labels = ["good" if x == "near" else x for x in labels]
+    sides = []
+    for order, step in ((range(n), -1), (range(n - 1, -1, -1), 1)):
+        side, last, far = [("bad", 0)] * n, "bad", 0
         for i in order:
             k = i + step
-            if inside[i] and not (0 <= k < n and inside[k]):
-                last = "good"
-            elif not inside[i] and 0 <= k < n and inside[k]:
-                last = "bad"
-            into[i] = last
-            if labels[i] in ("good", "bad") and not (labels[i] == "bad" and inside[i]):
-                last = labels[i]
-    keep = {"good": lambda a, b: True, "bad": lambda a, b: False, "near": lambda a, b: "good" in (a, b), "short": lambda a, b: a == b == "good"}
-    return [keep[x](a, b) for x, a, b in zip(labels, before, after)]
+            if not (0 <= k < n and inside[k] == inside[i]):
+                last, far = "good" if inside[i] else "bad", 0
+            far += 1
+            side[i] = last, far
+            if labels[i] in ("good", "bad"):
+                last, far = labels[i], 0
+        sides.append(side)
+    out = []
+    for label, within, ended, (before, a), (after, b) in zip(labels, inside, ends, *sides):
+        if label == "near":
+            out.append("good" in (before, after))
+        elif label == "short" and within and before != after:
+            out.append((before == "good" if a < b else after == "good" if b < a else True) if ended else after == "good")
+        else:
+            out.append(label == "good" or label == "short" and before == after == "good")
+    return out
 
 
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
-    kept = second_pass([first_pass(*b) for b in found], [b[2] for b in found])
+    foreign = is_foreign(found)
+    labels = [first_pass(*b, foreign) for b in found]
+    kept = second_pass(labels, [b[2] for b in found], [b[0].rstrip("\"')]»”’").endswith((".", "!", "?", "…", ":")) for b in found])
     return "\n".join(b[0] for b, k in zip(found, kept) if k)
 
 
@@ -191,7 +246,7 @@ def _extract(batches):
 def html_extract(pages: DataFrame) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
-    Null and empty html, and pages without main text, give an empty text. Null ids and addresses are returned as they
+    Null and empty html, and pages without main text, give an empty text. Pages of any length are read whole. Null ids and addresses are returned as they
     are, repeated rows each give a row, an empty table gives no rows, other columns are ignored.
     """
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
