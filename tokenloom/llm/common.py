@@ -116,6 +116,23 @@ def dealt_join(left: DataFrame, right: DataFrame, key: str, by: str, hot: list[t
     return left.join(right, [key, *also, "__salt"], how).drop("__salt")
 
 
+#: Bits of a filter; a full one lets all rows through.
+FILTER_BITS = 1 << 23
+
+
+def bit_filter(df: DataFrame, h: str) -> DataFrame:
+    """(__word, __bits): which values of a 64-bit hash df has; FILTER_BITS / 64 rows at most, for split_by."""
+    return df.groupBy(F.pmod(F.shiftright(h, 6), F.lit(FILTER_BITS // 64)).alias("__word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{h}` & 63 AS int))")).alias("__bits"))
+
+
+def split_by(df: DataFrame, h: str, filter_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of df whose hash the filter may have, and those whose it has not, without a shuffle."""
+    word = F.pmod(F.shiftright(h, 6), F.lit(FILTER_BITS // 64))
+    met = F.coalesce(F.col("__bits").bitwiseAND(F.expr(f"shiftleft(1L, cast(`{h}` & 63 AS int))")) != 0, F.lit(False))
+    held = df.withColumn("__word", word).join(F.broadcast(filter_), "__word", "left")
+    return held.where(met).drop("__word", "__bits"), held.where(~met).drop("__word", "__bits")
+
+
 def most_frequent(counts: DataFrame, key: str, n: str, limit: int) -> list[tuple]:
     """(key, n) of the most frequent keys, most frequent first, then by key: at most limit.
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import dealt_join, discard, hot_keys, materialize, most_frequent, same_files, table
+from tokenloom.llm.common import bit_filter, dealt_join, discard, hot_keys, materialize, most_frequent, same_files, split_by, table
 
 SHINGLE, PERCENT = 5, 75
 HOT_SHINGLES, HOT_FROM = 65_536, 32
@@ -45,9 +45,8 @@ SLICES, GAIN = 8, 0.5
 #: Hashes below this share of all values are counted; prefixes are the least quarter of a set, and some more for the order.
 KNOWN = 3 / 8
 _LIMIT = np.uint64(int(KNOWN * 2**64))
-#: Bits of the filter of repeated shingles, and of the one that decides which texts are read again. A full filter lets
-#: all through: what follows is exact without it.
-REPEAT_BITS, FILTER_BITS = 1 << 26, 1 << 23
+#: Bits of the filter of repeated shingles. A full filter lets all through: what follows is exact without it.
+REPEAT_BITS = 1 << 26
 #: Just over 4/3, so that sizes that can link are at most one band apart in spite of rounding.
 BAND = math.log(100 / PERCENT) * (1 + 1e-9)
 #: Pairs are looked at in blocks of so many rows by as many; a tile of more rows or shingles than these is split.
@@ -407,16 +406,8 @@ class _Sets:
             nodes = nodes.join(self.items.select("node"), "node", "left_anti")
         needed = materialize(nodes.join(self.classes, "node").select("node", "seen"))
         if self.items is None or not needed.isEmpty():
-            word = lambda h: F.pmod(F.shiftright(h, 6), F.lit(FILTER_BITS // 64))
-            bit = lambda h: F.expr(f"shiftleft(1L, cast({h} & 63 AS int))")
-            filter_ = needed.groupBy(word(F.col("seen")).alias("w")).agg(F.bit_or(bit("seen")).alias("m"))  # FILTER_BITS / 64 rows at most
-            again = (
-                self.docs.withColumn("h", F.xxhash64("text"))
-                .withColumn("w", word(F.col("h")))
-                .join(F.broadcast(filter_), "w")
-                .where(F.col("m").bitwiseAND(bit("h")) != 0)
-                .select("text")
-            )
+            again, _ = split_by(self.docs.withColumn("h", F.xxhash64("text")), "h", bit_filter(needed, "seen"))
+            again = again.select("text")
             items = again.mapInArrow(_arrays, "node binary, items binary").join(needed.select("node"), "node", "left_semi")
             items = materialize(items.groupBy("node").agg(F.any_value("items").alias("items")))
             self.items = items if self.items is None else self.items.unionByName(items)

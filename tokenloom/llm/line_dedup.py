@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import HOT_ROWS, SPACES, SPREAD, dealt_join, discard, hot_keys, materialize, table
+from tokenloom.llm.common import HOT_ROWS, SPACES, SPREAD, bit_filter, dealt_join, discard, hot_keys, materialize, split_by, table
 
 #: Leading tokens on the path to a leaf; lines without a further token have their tokens as they are for a template.
 LEAD = 3
@@ -27,63 +27,58 @@ SPLIT_FROM, BANDS, EQUAL = 10, 3, 0.8
 CONSTANT = 0.5
 #: Documents that keep less than this share of their bytes are dropped by drop_documents.
 LEAST_KEPT = 0.2
-VARIABLE = r"(^|[\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*"
 FIELD = "<*>"
 
 
 def _words(line: Column) -> Column:
-    for c in SPACES[1:]:
-        line = F.replace(line, F.lit(c), F.lit(" "))
-    return F.array_remove(F.split(line, " "), "")
+    plain = F.when(line.rlike(r"[\t\x0B\f\r]"), F.translate(line, SPACES, " " * len(SPACES))).otherwise(line)
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def template_lines(docs: DataFrame) -> DataFrame:
-    """For rows (doc_id, text, same): doc_id, same, at (line from 0), tokens (64-bit hashes, all fields alike), of each line with tokens."""
+    """For rows (doc_id, text, same): doc_id, same, at (line from 0), tokens (fields as FIELD), of each line with tokens."""
     texts = docs.where("text IS NOT NULL").select("doc_id", "same", F.split("text", "\n").alias("lines"))
-    lines = texts.select("doc_id", "same", F.posexplode("lines").alias("at", "line"))
-    lines = lines.select("doc_id", "same", "at", _words(F.col("line")).alias("w"), F.when(F.col("line").rlike("[0-9]"), _words(F.regexp_replace("line", VARIABLE, f"$1{FIELD}"))).alias("g"))
-    general = (F.size("w") > LEAD) & (F.size(F.array_remove("g", FIELD)) >= CONSTANT * F.size("w"))
-    hashes = lambda c: F.transform(c, lambda x: F.xxhash64(x))
-    return lines.where(F.size("w") > 0).select("doc_id", "same", "at", F.when(general, hashes("g")).otherwise(hashes("w")).alias("tokens"))
+    lines = texts.select("doc_id", "same", F.posexplode("lines").alias("at", "line")).withColumn("w", _words(F.col("line"))).where(F.size("w") > 0)
+    field = F.transform("w", lambda x: F.when(x.rlike("[0-9]"), F.lit(FIELD)).otherwise(x))
+    lines = lines.withColumn("g", F.when((F.size("w") > LEAD) & F.col("line").rlike("[0-9]"), field))
+    general = F.size(F.array_remove("g", FIELD)) >= CONSTANT * F.size("w")
+    return lines.select("doc_id", "same", "at", F.when(general, F.col("g")).otherwise(F.col("w")).alias("tokens"))
 
 
 def _keys(lines: DataFrame) -> DataFrame:
-    """doc_id, same, at, kind, key: kind 0 is a line's template, the others are the leaves of its bands."""
-    t, n = F.col("tokens"), F.size("tokens")
-    cut = [F.floor(n * k / F.lit(BANDS)).cast("int") for k in range(BANDS + 1)]
-
-    def key(kind: int, *kept: Column) -> Column:
-        path = [F.lit(kind), n, *kept]
-        return F.struct(F.lit(kind).alias("kind"), F.struct(F.xxhash64(*path).alias("a"), F.xxhash64(F.lit(1), *path).alias("b")).alias("key"))
-
-    whole = key(0, t)
-    leaves = [key(k + 1, F.slice(t, 1, LEAD), F.slice(t, cut[k] + 1, cut[k + 1] - cut[k])) for k in range(BANDS)]
-    return lines.select("doc_id", "same", "at", F.explode(F.when(n >= SPLIT_FROM, F.array(whole, *leaves)).otherwise(F.array(whole))).alias("k")).select("doc_id", "same", "at", "k.*")
+    """doc_id, same, at, kind, a, b (the key): kind 0 is a line's template, the others are the leaves of its bands."""
+    n, kind = F.size("tokens"), F.col("kind")
+    each = lines.withColumn("kind", F.explode(F.when(n >= SPLIT_FROM, F.array(*map(F.lit, range(BANDS + 1)))).otherwise(F.array(F.lit(0)))))
+    cut = lambda k: F.floor(k * n / F.lit(BANDS)).cast("int")
+    begin, end = F.when(kind == 0, 0).otherwise(cut(kind - 1)), F.when(kind == 0, n).otherwise(cut(kind))
+    path = [kind, n, F.slice("tokens", 1, F.when(kind == 0, 0).otherwise(LEAD)), F.slice("tokens", begin + 1, end - begin)]
+    return each.select("doc_id", "same", "at", "kind", F.xxhash64(*path).alias("a"), F.xxhash64(F.lit(1), *path).alias("b"))
 
 
 def _drops(lines: DataFrame) -> DataFrame:
     """doc_id, same, at of the lines to drop, some of them more than once."""
     each = _keys(lines)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "same")
-    first = each.groupBy("key").agg(F.min(F.struct(place.alias("place"), "at")).alias("first"), F.count("*").alias("c"))
-    first = materialize(first.where("c > 1"))
+    first = materialize(each.groupBy("a", "b").agg(F.min(F.struct(place.alias("place"), "at")).alias("first"), F.count("*").alias("c")).where("c > 1"))
     least = max(HOT_ROWS, lines.count() // SPREAD)
-    hot = [(r["key"], math.ceil(r["c"] / least)) for r in first.where(F.col("c") > least).collect()]  # (BANDS + 1) * SPREAD at most
-    again = dealt_join(each, first.select("key", "first"), "key", "at", hot).where(F.col("first.place") < place)
+    hot = [(r["a"], math.ceil(r["c"] / least)) for r in first.where(F.col("c") > least).groupBy("a").agg(F.max("c").alias("c")).collect()]  # (BANDS + 1) * SPREAD at most
+    again = dealt_join(each, first.drop("c"), "a", "same", hot, also=("b",)).where(F.col("first.place") < place)
     its = F.struct(F.col("first.place.same").alias("same"), F.col("first.at").alias("at"))
     again = materialize(again.select("doc_id", F.struct("same", "at").alias("line"), "kind", its.alias("its")))
     discard(first)
     exact = again.where("kind = 0").select("doc_id", "line")
-    grouped = again.where("kind > 0").join(exact.select("line"), "line", "left_anti").select("doc_id", "line", "its").distinct()
-    grouped = materialize(grouped)
-    needed = grouped.select(F.explode(F.array("line", "its")).alias("line")).distinct()
-    tokens = lines.select(F.struct("same", "at").alias("line"), "tokens").join(needed, "line", "left_semi").groupBy("line").agg(F.any_value("tokens").alias("tokens"))
-    tokens = materialize(tokens)
+    grouped = materialize(again.where("kind > 0").join(exact.select("line"), "line", "left_anti").select("doc_id", "line", "its").distinct())
+    needed = grouped.select(F.explode(F.array("line", "its")).alias("line")).distinct().withColumn("h", F.xxhash64("line"))
+    tokens, _ = split_by(lines.withColumn("line", F.struct("same", "at")).withColumn("h", F.xxhash64("line")), "h", bit_filter(needed, "h"))
+    tokens = materialize(tokens.join(needed.select("line"), "line", "left_semi").groupBy("line").agg(F.any_value("tokens").alias("tokens")))
     pairs = grouped.join(tokens, "line")
     pairs = dealt_join(pairs, tokens.select(F.col("line").alias("its"), F.col("tokens").alias("others")), "its", "line", hot_keys(grouped, "its"))
     equal = F.size(F.filter(F.zip_with("tokens", "others", lambda a, b: a == b), lambda x: x))
     alike = pairs.where(equal >= EQUAL * F.size("tokens")).select("doc_id", "line")
-    return exact.unionAll(alike).select("doc_id", "line.*")
+    out = materialize(exact.unionAll(alike).select("doc_id", "line.*"))
+    for x in (again, grouped, tokens):
+        discard(x)
+    return out
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -100,15 +95,20 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     # the row as one value, so that no name of its columns can clash
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("same"))
-    drops = _drops(materialize(template_lines(rows))).groupBy("doc_id", "same").agg(F.array_sort(F.collect_set("at")).alias("drops"))  # at most the lines of a document
-    drops = drops.toDF("its_id", "its_same", "drops")
-    out = rows.join(drops, (F.col("same") == F.col("its_same")) & F.col("doc_id").eqNullSafe(F.col("its_id")), "left")
+    lines = materialize(template_lines(rows))
+    drops = _drops(lines)
+    discard(lines)
+    # only texts that may lose a line are moved to their drops
+    moved, stay = split_by(rows, "same", bit_filter(drops, "same"))
+    drops = drops.groupBy("doc_id", "same").agg(F.array_sort(F.collect_set("at")).alias("drops")).toDF("its_id", "its_same", "drops")  # at most the lines of a document
+    moved = moved.join(drops, (F.col("same") == F.col("its_same")) & F.col("doc_id").eqNullSafe(F.col("its_id")), "left").drop("its_id", "its_same")
+    out = moved.unionByName(stay.withColumn("drops", F.lit(None).cast("array<int>")))
     out = out.withColumn("drops", F.coalesce("drops", F.array().cast("array<int>")))
     breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
-    stay = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("drops", i)), "\n")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("drops", i)), "\n")
     out = out.select(
         "row", "text", F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"), F.size("drops").cast("long").alias("n_dropped"),
-        F.when(F.size("drops") == 0, F.col("text")).otherwise(stay).alias("stay"),
+        F.when(F.size("drops") == 0, F.col("text")).otherwise(left).alias("stay"),
     )
     share = F.when(F.col("n_dropped") == 0, 1.0).otherwise(F.octet_length("stay") / F.octet_length("text"))
     return out.select(*(F.col("stay").alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in columns), "n_lines", "n_dropped", share.alias("kept_share"))
