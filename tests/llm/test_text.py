@@ -114,6 +114,46 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def brute_quality(text):
+    """word_chars, n_symbols, n_dup_lines and the verdict, by the definitions."""
+    import zstandard
+
+    data, limit = (text or "").encode(), lambda n: [b for b in quality_rules.BANDS if b[0] <= n][-1][1:]
+    ratio = lambda x: len(zstandard.ZstdCompressor(level=3).compress(x)) / len(x)
+    lines = (text or "").split("\n")
+    out = sum(not c.isspace() or c not in " \t\n\x0b\x0c\r" for c in text or ""), sum(c in "#*$%&|<>" for c in text or ""), sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) and x in lines[:k] for k, x in enumerate(lines))
+    if not data:
+        return *out, "empty"
+    least, most = limit(len(data))
+    chunks = [data[k : k + 4096] for k in range(0, len(data), 4096)] if len(data) > 4096 else []
+    bad = sum(len(c) for c in chunks if not limit(len(c))[0] <= ratio(c) <= limit(len(c))[1])
+    return *out, "repetitive" if ratio(data) < least else "incompressible" if ratio(data) > most else "bad chunks" if 2 * bad > len(data) else "ok"
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    noise = lambda n: "".join(chr(rng.randint(33, 126)) for _ in range(n))
+    prose = "\n".join(t for _, t in rows() if t)
+    texts = [t for _, t in rows()] + [noise(n) for n in (40, 90, 200, 700, 5000, 30_000)] + ["ab " * n for n in (5, 20, 60, 300, 3000)] + [prose, prose * 3, prose[:4000] + noise(9000), prose + "#x |\n" * 900, "é#" * 70_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].verdict) == brute_quality(t)
+        assert got[i].kept == (not got[i].base_failed and got[i].verdict == "ok")
+    assert {r.verdict for r in got.values()} == {"ok", "empty", "repetitive", "incompressible", "bad chunks"}
+
+
+def test_compression_bands_on_labelled_texts(spark):
+    """Texts labelled good pass the bands, and some of the bad ones that the base rule keeps do not."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    got = quality_rules.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).join(labels, "doc_id").where("NOT base_failed").collect()
+    good, bad = ([r.kept for r in got if r.quality == q] for q in (1, 0))
+    assert sum(good) >= 0.995 * len(good) and sum(bad) <= 0.85 * len(bad)
+
+
 # --- language-model scores
 
 
@@ -138,6 +178,53 @@ def test_base_scores_equal_brute_force(spark):
     assert [r.n_known for r in lm_scoring.lm_scores(only_held, own=20, shared=8, frequent=40).collect()] == [0, 0, 0]
 
 
+def test_scores_equal_brute_force(spark):
+    """score by the sum over all paths of states, and each word's share of its symbol; long texts in packs of their own."""
+    import itertools
+    import zlib
+
+    import numpy as np
+
+    own, shared, states = 6, 3, 2
+    data = [(i, " ".join("abcdefghij"[(i * 7 + k * k) % 10] for k in range(i % 7))) for i in range(60)] + [(70, "zz a yy"), (71, None), (None, "b zz")]
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(spark.createDataFrame(data, "doc_id long, text string"), own=own, shared=shared, frequent=500, states=states, rounds=2, pack=25).collect()}
+    texts = [(t or "").split() for _, t in data]
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in data]
+    c = Counter(w for t, h in zip(texts, held) if not h for w in t)
+    top = [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:own]]
+    kind = lambda w: zlib.crc32(w.encode()) % shared
+    symbol = lambda w: top.index(w) if w in top else own + kind(w)
+    rest = {k: [n for w, n in c.items() if w not in top and kind(w) == k] for k in range(shared)}
+    ends = sum(not h for h in held)
+    unigram = np.array([c[w] for w in top] + [sum(rest[k]) for k in range(shared)] + [ends]) + 0.1
+    codes = [[*map(symbol, t), own + shared] for t in texts]
+    rows_ = [(k, np.array(x, "<u2").tobytes(), h) for k, (x, h) in enumerate(zip(codes, held))]
+    (start, move, emit), _ = lm_scoring.train(spark.createDataFrame(rows_, "row long, symbols binary, held_out boolean"), unigram / unigram.sum(), states, 2)
+    for (i, _), words, x in zip(data, texts, codes):
+        total = 0.0
+        for path in itertools.product(range(states), repeat=len(x)):
+            p = start[path[0]] * emit[path[0], x[0]]
+            for a, b, o in zip(path, path[1:], x[1:]):
+                p *= move[a, b] * emit[b, o]
+            total += p
+        within = sum(math.log10((c[w] + 0.1) / (sum(rest[kind(w)]) + 0.1 * (len(rest[kind(w)]) + 1))) for w in words if w not in top)
+        assert got[i] == pytest.approx(math.log10(total) + within, abs=1e-9)
+
+
+def test_a_flat_vocabulary_gives_own_words_too(spark):
+    from tokenloom.llm.common import most_frequent
+
+    counts = spark.createDataFrame([(f"w{i}", 5) for i in range(3000)] + [("top", 99)], "word string, n long")
+    got = most_frequent(counts, "word", "n", 500)
+    assert got[0] == ("top", 99) and 400 <= len(got) <= 500
+
+
+def test_long_texts_are_scored_whole(spark):
+    df = spark.createDataFrame([(1, "a b " * 20_000), (2, "a b"), (3, "b a c")], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    got = {r.doc_id: r for r in lm_scoring.lm_scores(df, own=4, shared=2, frequent=8, states=2, rounds=1, pack=1000).collect()}
+    assert got[1].n_tokens == 40_001 and math.isfinite(got[1].score) and got[1].score < 1000 * got[2].score
+
+
 def test_recursions_equal_brute_force():
     import itertools
 

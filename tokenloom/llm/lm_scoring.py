@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import materialize, most_frequent, table
+from tokenloom.llm.common import materialize, most_frequent, small_batches, table
 
 OWN, SHARED, FREQUENT = 4096, 1024, 65_536
 STATES, ROUNDS, SEED = 6, 4, 7
@@ -201,7 +201,8 @@ def train(encoded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds:
     fields = ", ".join(["key int", *(f"{s} double" for s in names)])
     for _ in range(rounds):
         sums = encoded.where("NOT held_out").select("symbols").mapInArrow(_expectation(model, pack), fields)
-        rows = sums.groupBy("key").agg(*(F.sum(s).alias(s) for s in names)).collect()  # at most a row a symbol and state
+        with small_batches(encoded.sparkSession):
+            rows = sums.groupBy("key").agg(*(F.sum(s).alias(s) for s in names)).collect()  # at most a row a symbol and state
         got = {r[0]: np.array(r[1:]) for r in rows}
         if not got:
             break
@@ -234,7 +235,8 @@ def lm_scores(docs: DataFrame, own: int = OWN, shared: int = SHARED, frequent: i
 
     Rows whose crc32 of doc_id (as text; null counts as "") divided by 10 leaves 0 are held out; the others train.
     Null and empty texts have one token, the end. Without training rows all probabilities come from the smoothing.
-    Repeated rows are trained on and scored as often as they occur. An empty table gives no rows.
+    Repeated rows are trained on and scored as often as they occur. An empty table gives no rows; other columns are
+    ignored. Texts are scored whole, a long one as a pack of its own.
     """
     assert own <= frequent and own + shared < 65_535
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
