@@ -19,19 +19,47 @@ def texts(spark):
     return spark.createDataFrame(rows, "id long, text string")
 
 
-@pytest.mark.parametrize("method", kernels.METHODS)
-def test_native_equals_arrow(spark, texts, method):
-    lexicon = q.toy(spark)
-    arrow = {r.id: r.tokens for r in segment._split(texts, "text", method, lexicon, segment.Options()).collect()}
-    for r in native.split(texts, "text", method, lexicon, segment.Options()).collect():
-        if r.text is None:
-            assert r.tokens is None and arrow[r.id] is None
-            continue
-        off = kernels.byte_offsets(r.text).tolist()
-        back = {b: k for k, b in enumerate(off)}
-        spans = [(back[t.start], back[t.end]) for t in r.tokens]
-        words, joined, pos = kernels.mark([t.word for t in r.tokens], spans, [t.pos for t in r.tokens])
-        assert [(off[a], off[b], p) for (a, b), p in zip(joined, pos)] == [(t.start, t.end, t.pos) for t in arrow[r.id]]
+OTHER = segment.Options(compat=True, extended_time=True, split_len=5, max_len=40)
+
+
+@pytest.mark.parametrize("method, options", [*((m, segment.Options()) for m in (*kernels.METHODS, "tagging")), ("full", OTHER), ("tagging", OTHER)])
+def test_native_equals_arrow(spark, texts, method, options):
+    """Tokens of both engines are the same, typed, merged and tagged, also where rows repeat."""
+    lexicon = q.toy(spark).unionByName(spark.createDataFrame([("中国", "ns", 7), ("和", "c", 4), ("二十", "n", 3), ("十三", "n", 2)], q.lex.SCHEMA))
+    numbers = [(200, "中国人民3.14二十"), (201, "二十三和3.14.15 2015年12月"), (202, "18:21和2015/03/17"), (203, "3.14" * 30 + "。二十"), (204, "1 2。3"), (200, "中国人民3.14二十")]
+    moves = spark.createDataFrame([("n", "n", 3), ("n", "c", 9), ("ns", "c", 2), ("c", "n", 5)], "prev string, next string, freq long") if method == "tagging" else None
+    df = texts.unionByName(spark.createDataFrame(numbers, "id long, text string"))
+    name = "unigram" if method == "tagging" else method
+    got, want = (sorted(segment._split(df, "text", name, lexicon, options, moves, engine).select("id", "tokens").collect(), key=repr) for engine in ("native", "arrow"))
+    assert got == want
+
+
+def test_tokenize_goes_native_beyond_the_check(spark, texts, monkeypatch):
+    few = texts.where("id < 6")
+    want = {m: sorted(segment.tokenize(few, "text", q.toy(spark), m).collect()) for m in ("forward", "tagging")}
+    monkeypatch.setattr(segment, "load", lambda *a, **k: (_ for _ in ()).throw(segment.LexiconTooLarge("too large")))
+    assert {m: sorted(segment.tokenize(few, "text", q.toy(spark), m).collect()) for m in want} == want
+    with pytest.raises(segment.LexiconTooLarge):
+        segment.forward_split(few, "text", q.toy(spark))
+
+
+def test_small_inputs_are_spread_over_the_cores(spark, tmp_path):
+    df = spark.range(3000).selectExpr("id", "repeat(sha2(cast(id AS string), 256), 20) AS text").coalesce(1)
+    df.write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert segment.spread(one).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert segment.spread(one.limit(1)).rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_digests_are_those_of_the_tokens(spark, texts):
+    import hashlib
+    import struct
+
+    for method in ("smart", "full"):
+        got = {r.id: (r.n_tokens, r.digest) for r in segment.digests(texts, "text", q.toy(spark), method).collect()}
+        for r in segment.tokenize(texts, "text", q.toy(spark), method).collect():
+            data = None if r.tokens is None else b"".join(struct.pack("<3i", t.start, t.end, t.pos) for t in r.tokens)
+            assert got[r.id] == ((None, None) if data is None else (len(r.tokens), hashlib.sha256(data).hexdigest()))
 
 
 def test_byte_offsets_tile_and_typing_overrides(spark):

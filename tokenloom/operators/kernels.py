@@ -32,6 +32,7 @@ class Lexicon:
     total: int | None = None
     reach: dict[str, int] = field(init=False)
     costs: dict[str, float] = field(init=False)
+    turned: Lexicon | None = field(init=False, default=None, repr=False)
 
     def __post_init__(self):
         self.reach = {}
@@ -46,8 +47,13 @@ class Lexicon:
         self.start = re.compile(f"[{re.escape(outside)}]") if outside else re.compile(r"(?!)")
         self.first = re.compile(f"[{re.escape(''.join(self.reach))}]") if self.reach else re.compile(r"(?!)")
 
+    def __reduce__(self):
+        return Lexicon, (self.words, self.total)  # what the words give is worked out again by each worker
+
     def reversed(self) -> Lexicon:
-        return Lexicon({w[::-1]: f for w, f in self.words.items()}, self.total)
+        if self.turned is None:
+            self.turned = Lexicon({w[::-1]: f for w, f in self.words.items()}, self.total)
+        return self.turned
 
 
 def byte_offsets(text: str) -> np.ndarray:
@@ -222,7 +228,7 @@ def n_best_text(text: str, lexicon: Lexicon, n: int = 6, split_len=60, max_len=8
     return out
 
 
-def number_tag(t: str, following: str | None, extended_time: bool = False) -> int:
+def number_tag(t: str, following: str | None) -> int:
     """The tag of a token of the number class."""
     n = len(t)
     if n == 11 and t[0] == "1" and "3" <= t[1] <= "8":
@@ -311,6 +317,9 @@ class HiddenModel:
     sums: dict[int, int]
     total: int
     prior: list[tuple[int, int]]  # (tag, weight) of unknown words
+    def __reduce__(self):
+        return HiddenModel, (self.emissions, self.moves, self.sums, self.total, self.prior)
+
     _seen: dict = field(default_factory=dict, repr=False)
     _steps: dict = field(default_factory=dict, repr=False)
     _memory: dict = field(default_factory=dict, repr=False)

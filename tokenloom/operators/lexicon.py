@@ -10,8 +10,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "word string, tag string, freq long"
+#: Ranges that with_ids numbers one by one.
+RANGES = 256
 #: Most characters of words that may be sent to the executors as one table.
-BROADCAST_CHARS = 64_000_000
+BROADCAST_CHARS = 8_000_000
+
+
+class LexiconTooLarge(ValueError):
+    """The lexicon is beyond what may be sent to the workers."""
+
+
+def gathered(table: DataFrame, word: str = "word", limit: int = BROADCAST_CHARS) -> list:
+    """The rows of a lexicon table, evaluated once; their size is checked before they are gathered."""
+    held = table.persist()
+    try:
+        size = held.agg(F.coalesce(F.sum(F.char_length(word) + 16), F.lit(0))).first()[0]
+        if size > limit:
+            raise LexiconTooLarge(f"the lexicon has {size} characters, more than {limit}: use engine='native'")
+        return held.collect()
+    finally:
+        held.unpersist()
 
 
 def empty(spark: SparkSession) -> DataFrame:
@@ -27,11 +45,20 @@ def union(*lexicons: DataFrame) -> DataFrame:
 
 
 def with_ids(lexicon: DataFrame, order_by: str, after: int = 0) -> DataFrame:
-    """(word, word_id) with ids after `after` by first occurrence of order_by; numbered by ranges, not in one task."""
+    """(word, word_id) with ids after `after` by first occurrence of order_by; numbered by ranges, not in one task.
+
+    The ranges are of the values themselves, cut where the first evaluation finds them, so that another evaluation of
+    the lexicon gives the same ids.
+    """
     first = lexicon.groupBy("word").agg(F.min(order_by).alias("__at"))
-    parts = first.repartitionByRange("__at", "word").sortWithinPartitions("__at", "word").withColumn("__part", F.spark_partition_id())
+    at = F.struct("__at", "word")
+    cuts = [tuple(r[0]) for r in first.sample(0.1, 7).select(F.struct("__at", "word")).orderBy(F.xxhash64("word")).limit(RANGES).collect()]  # RANGES rows
+    kind = first.select(at.alias("x")).schema["x"].dataType.simpleString()
+    bounds = F.array_sort(F.array(*(F.struct(F.lit(a).alias("__at"), F.lit(w).alias("word")) for a, w in cuts)).cast(f"array<{kind}>")) if cuts else None
+    part = F.size(F.filter(bounds, lambda x: x < at)) if cuts else F.lit(0)
+    parts = first.withColumn("__part", part)
     sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")  # one row a partition
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")  # RANGES + 1 rows
     inside = Window.partitionBy("__part").orderBy("__at", "word")
     return parts.withColumn("__k", F.row_number().over(inside)).join(F.broadcast(before), "__part").select("word", (F.col("__before") + F.col("__k") + after).alias("word_id"))
 
@@ -45,7 +72,10 @@ def exist(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def add_if_absent(lexicon: DataFrame, new: DataFrame) -> DataFrame:
-    return lexicon.unionByName(new.select("word", "tag", "freq").join(lexicon.select("word"), "word", "left_anti").dropDuplicates(["word"]))
+    """lexicon with the words of new that it does not have; of a word given twice, the first by tag (none last) and frequency."""
+    absent = new.select("word", "tag", "freq").join(lexicon.select("word"), "word", "left_anti")
+    best = absent.groupBy("word").agg(F.min_by(F.struct("tag", "freq"), F.struct(F.col("tag").isNull(), F.col("tag"), F.col("freq"))).alias("x"))
+    return lexicon.select("word", "tag", "freq").unionByName(best.select("word", "x.tag", "x.freq"))
 
 
 def remove(lexicon: DataFrame, words: DataFrame) -> DataFrame:
@@ -57,6 +87,19 @@ def add_attribute(lexicon: DataFrame, more: DataFrame) -> DataFrame:
     return union(lexicon, more.join(lexicon.select("word"), "word", "left_semi"))
 
 
+def set_attribute(lexicon: DataFrame, more: DataFrame) -> DataFrame:
+    """lexicon with the frequencies of more (word, tag, freq) in place of its own, where the word is known."""
+    more = union(more.join(lexicon.select("word"), "word", "left_semi"))
+    return lexicon.select("word", "tag", "freq").join(more.select("word", "tag"), ["word", "tag"], "left_anti").unionByName(more)
+
+
+def remove_attribute(lexicon: DataFrame, which: DataFrame) -> DataFrame:
+    """lexicon without the entries of which (word, tag); a word that loses its last one stays without frequency information."""
+    left = lexicon.select("word", "tag", "freq").join(which.select("word", "tag"), ["word", "tag"], "left_anti")
+    bare = lexicon.select("word").distinct().join(left.select("word"), "word", "left_anti")
+    return left.unionByName(bare.select("word", F.lit(None).cast("string").alias("tag"), F.lit(None).cast("long").alias("freq")))
+
+
 def attribute_frequency(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """words (word, tag) with freq, 0 where absent."""
     return words.join(lexicon.groupBy("word", "tag").agg(F.sum("freq").alias("freq")), ["word", "tag"], "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
@@ -100,6 +143,7 @@ def lookup(lexicon: DataFrame, word: str, reverse: bool = False) -> DataFrame:
 
 def derived(texts: DataFrame, least: int = 2) -> DataFrame:
     """A lexicon of what a text column repeats: 2 to 4 characters from a non-ASCII one on, found so many times; tag n."""
+    texts = texts.where(F.octet_length("text") > F.char_length("text"))  # without others no word begins
     chars = texts.select(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)).alias("c")).where(F.size("c") > 1)
     starts = F.filter(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.octet_length(F.get("c", i - 1)) > 1)
     spots = chars.select("c", F.explode(starts).alias("i"))

@@ -6,12 +6,12 @@ positions with the hits as a map. Positions are characters from 0 within the chu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import tags
 from tokenloom.functions.chars import ALNUM, ATOM
-from tokenloom.operators import kernels
+from tokenloom.operators import kernels, typing
 from tokenloom.operators import lexicon as lex
 
 _PIECES = "struct<b:int,i:int,s:int,si:int,cur:int,out:array<struct<start:int,end:int,delimiter:boolean>>>"
@@ -20,7 +20,6 @@ _PIECES = "struct<b:int,i:int,s:int,si:int,cur:int,out:array<struct<start:int,en
 def chunk_pieces(text: Column, split_len: int = 60, max_len: int = 890, delimiters: str = kernels.DELIMITERS) -> Column:
     """array<struct<start, end, delimiter>> of a text's pieces, in characters; the same as kernels.chunks."""
     chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    start = F.lit(None).cast(_PIECES)
     zero = F.struct(
         F.lit(0).alias("b"), F.lit(0).alias("i"), F.lit(0).alias("s"), F.lit(0).alias("si"), F.lit(split_len).alias("cur"),
         F.array().cast("array<struct<start:int,end:int,delimiter:boolean>>").alias("out"),
@@ -42,7 +41,6 @@ def chunk_pieces(text: Column, split_len: int = 60, max_len: int = 890, delimite
             .cast(_PIECES)
         )
 
-    del start
     tail = lambda x: F.when(x["si"] < x["i"], F.concat(x["out"], F.array(piece(x["si"], x["i"], False)))).otherwise(x["out"])
     return F.aggregate(chars, zero.cast(_PIECES), step, tail)
 
@@ -156,23 +154,62 @@ def unigram_paths(pieces: DataFrame, lexicon: DataFrame, total: int | None = Non
     return solved.select(key, F.get("best", F.col("n"))["c"].alias("cost"), path.alias("words"))
 
 
-def split(df: DataFrame, column: str, method: str, lexicon: DataFrame, options) -> DataFrame:
-    """df with tokens, as the arrow engine gives them but without typing and merging, which typing.py does on rows."""
-    rows = df.drop("tokens").withColumn("__row", F.monotonically_increasing_id())
-    pieces = rows.select("__row", F.col(column).alias("__text"), F.posexplode(chunk_pieces(F.col(column), options.split_len, options.max_len)).alias("__k", "p"))
-    pieces = pieces.select("__row", F.struct("__row", "__k").alias("key"), "p", F.substring("__text", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("text"))
-    inner, marks = pieces.where("NOT p.delimiter"), pieces.where("p.delimiter")
+def _tags(words: DataFrame, lexicon: DataFrame, transitions: DataFrame, key: str = "key") -> DataFrame:
+    """(key, tags): the cheapest tag of each of words (key, words), by a join with the lexicon and a fold."""
+    from tokenloom.operators import segment, tagging
+
+    ids = tags.TAG_IDS
+    moves = {(ids[a], ids[b]): f for a, b, f in segment.known_moves(transitions, ids)}
+    sums: dict[int, int] = {}
+    for (a, _), f in moves.items():
+        sums[a] = sums.get(a, 0) + f
+    mapped = lambda d, kind: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]).cast(kind) if d else F.create_map().cast(kind)
+    known = lexicon.where(F.col("tag").isin(*ids)).groupBy("word", "tag").agg(F.sum("freq").alias("f"))
+    total = known.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    tag = F.element_at(mapped(ids, "map<string,int>"), F.col("tag"))
+    cands = known.groupBy("word").agg(F.array_sort(F.collect_list(F.struct(tag.alias("tag"), "f"))).alias("o"))  # at most a row a tag
+    unknown = F.array(*(F.struct(F.lit(t).alias("tag"), F.lit(f).cast("long").alias("f")) for t, f in segment.prior(sums, ("n", "a", "v", "c", "u", "p"))))
+    each = words.select(key, F.posexplode("words").alias("i", "word")).join(cands, "word", "left").withColumn("o", F.coalesce("o", unknown))
+    lists = each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "o"))), lambda x: x["o"]).alias("obs"))
+    best = tagging.viterbi_fold(F.col("obs"), mapped({f"{a}>{b}": f for (a, b), f in moves.items()}, "map<string,bigint>"), mapped(sums, "map<int,bigint>"), F.lit(total))
+    return lists.select(key, best["path"].alias("tags"))
+
+
+def split(df: DataFrame, column: str, method: str, lexicon: DataFrame, options, transitions: DataFrame | None = None) -> DataFrame:
+    """df with tokens, the same as the arrow engine gives: typed, merged, and tagged where there are transitions.
+
+    Each distinct text is split once and met again by a 128-bit hash of it, so that any task may be run again. Byte
+    offsets are running sums over chunks, so that the work is in proportion to a text's length.
+    """
+    text, rows = F.col(column), df.drop("tokens")
+    rows = rows.withColumn("__key", F.when(text.isNotNull(), F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))))
+    texts = rows.where(text.isNotNull()).select("__key", text.alias("__text")).dropDuplicates(["__key"])
+    chars = F.regexp_extract_all("__text", F.lit("(?s)."), F.lit(0))
+    cut = lambda c: F.transform(chunk_pieces(F.col("__text"), options.split_len, options.max_len), lambda p: F.struct(F.array_join(F.slice(c, p["start"] + 1, p["end"] - p["start"]), "").alias("text"), p["delimiter"].alias("delimiter"), p["start"].alias("chars")))
+    pieces = texts.withColumn("__chars", chars).select("__key", F.posexplode(cut(F.col("__chars"))).alias("__k", "p")).select("__key", "__k", F.struct("__key", "__k").alias("key"), "p.*")
+    before = Window.partitionBy("__key").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    bases = pieces.select("key", "chars", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("int").alias("bytes"))
+    inner, marks = pieces.where("NOT delimiter").select("key", "text"), pieces.where("delimiter").select("key", "text")
     if method == "unigram":
-        words = inner.join(unigram_paths(inner.select("key", "text"), lexicon, options.total), "key").select("__row", "p", "words")
-        cut = lambda s, w: F.array_append(s, F.struct(F.coalesce(F.try_element_at(s, F.lit(-1))["end"], F.lit(0)).alias("start"), (F.coalesce(F.try_element_at(s, F.lit(-1))["end"], F.lit(0)) + F.char_length(w)).alias("end")))
-        spans = words.withColumn("spans", F.aggregate("words", F.array().cast(_SPANS), cut))
+        words = unigram_paths(inner, lexicon, options.total).select("key", "words")
+        ends = lambda s, w: F.array_append(s, F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + F.char_length(w))
+        spans = words.withColumn("e", F.aggregate("words", F.array().cast("array<int>"), ends))
+        spans = spans.withColumn("spans", F.transform("e", lambda e, i: F.struct(F.coalesce(F.get("e", i - 1), F.lit(0)).alias("start"), e.alias("end"))))
+        spans = inner.join(spans.join(_tags(words, lexicon, transitions), "key", "left") if transitions is not None else spans.withColumn("tags", F.lit(None).cast("array<int>")), "key")
     else:
-        spans = {"forward": forward_spans, "backward": backward_spans, "full": full_spans}[method](inner, lexicon)
-    found = spans.select("__row", F.col("p.start").alias("base"), "spans", F.lit(tags.NONE).alias("pos"))
-    found = found.unionByName(marks.select("__row", F.col("p.start").alias("base"), F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"))).cast(_SPANS).alias("spans"), F.lit(tags.W).alias("pos")))
-    lists = found.groupBy("__row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("base", "spans", "pos"))), lambda x: F.transform(x["spans"], lambda s: F.struct((x["base"] + s["start"]).alias("s"), (x["base"] + s["end"]).alias("e"), x["pos"].alias("pos"))))).alias("t"))
-    text = F.col(column)
-    byte = lambda k: F.octet_length(F.substring(text, F.lit(1), k))
-    tokens = F.transform("t", lambda t: F.struct(byte(t["s"]).alias("start"), byte(t["e"]).alias("end"), t["pos"].alias("pos"), F.substring(text, t["s"] + 1, t["e"] - t["s"]).alias("word")))
-    none = F.array().cast("array<struct<start:int,end:int,pos:int,word:string>>")
-    return rows.join(lists, "__row", "left").withColumn("tokens", F.when(text.isNotNull(), F.coalesce(tokens, none))).drop("__row", "t")
+        spans = {"forward": forward_spans, "backward": backward_spans, "full": full_spans}[method](inner, lexicon).withColumn("tags", F.lit(None).cast("array<int>"))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"))).cast(_SPANS)
+    found = spans.select("key", "text", "spans", "tags").unionByName(marks.select("key", "text", whole.alias("spans"), F.array(F.lit(tags.W)).alias("tags")))
+    found = found.join(bases, "key").select("key", "text", "tags", "chars", "bytes", F.posexplode("spans").alias("i", "s"))
+    byte = lambda k: F.col("bytes") + F.octet_length(F.substring("text", F.lit(1), k))
+    tokens = found.select(
+        F.col("key.__key").alias("__key"), F.struct(F.col("key.__k").alias("piece"), "i").alias("k"), byte(F.col("s.start")).alias("start"), byte(F.col("s.end")).alias("end"),
+        (F.col("chars") + F.col("s.start")).alias("char_start"), (F.col("chars") + F.col("s.end")).alias("char_end"),
+        F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("word"), F.coalesce(F.get("tags", F.col("i")), F.lit(tags.NONE)).alias("pos"),
+    )
+    tokens = typing.merged(typing.typed(tokens, "__key", options.extended_time), "__key", options.compat)
+    item = F.struct("start", "end", "pos", "word")
+    lists = tokens.groupBy("__key").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", item.alias("t")))), lambda x: x["t"]).alias("tokens"))
+    kind = "array<struct<start:int,end:int,pos:int,word:string>>"
+    out = rows.join(lists, "__key", "left").drop("__key")
+    return out.withColumn("tokens", F.when(text.isNotNull(), F.coalesce(F.col("tokens").cast(kind), F.array().cast(kind))))

@@ -1,12 +1,13 @@
 """Segmentation and tagging over DataFrames.
 
 Two engines with one contract. "arrow" runs the kernels in Arrow batches over a lexicon that every worker holds; its
-size is checked first. "native" joins candidate spans with the lexicon in Spark and folds the choice per text; it has no
-limit on the lexicon, and is the way to go beyond the check.
+size is checked first. "native" joins candidate spans with the lexicon in Spark, folds the choice per chunk and types and
+merges over rows; it has no limit on the lexicon, and tokenize() turns to it beyond the check.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,13 +22,10 @@ from tokenloom.operators import kernels
 from tokenloom.operators import lexicon as lex
 
 TOKENS = "array<struct<start:int,end:int,pos:int,word:string>>"
+LexiconTooLarge = lex.LexiconTooLarge
 _TOKENS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pos", pa.int32()), ("word", pa.string())]))
 
 
-class LexiconTooLarge(ValueError):
-    """The lexicon is beyond what may be sent to the workers."""
-
-
 @dataclass(frozen=True)
 class Options:
     """split_len and max_len: the chunker's bytes. compat: repeat the model implementation's tag shift after merging.
@@ -40,23 +38,38 @@ class Options:
     total: int | None = None
 
 
+#: Bytes of input a core from which its own splits are enough tasks, and in all up to which one task will do.
+SPREAD_BYTES, LEAST_BYTES = 32 << 20, 256 << 10
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over twice as many tasks as there are cores, where it is too small to fill them by its own splits: a small
+    file is often one row group, and so one task."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(2 * cores) if LEAST_BYTES < size < cores * SPREAD_BYTES else df
+
+
 def load(lexicon: DataFrame, limit: int = lex.BROADCAST_CHARS, total: int | None = None) -> kernels.Lexicon:
     """The lexicon as an object for workers; its size is checked before it is gathered."""
-    size = lexicon.agg(F.coalesce(F.sum(F.char_length("word") + 16), F.lit(0))).first()[0]
-    if size > limit:
-        raise LexiconTooLarge(f"the lexicon has {size} characters, more than {limit}: use engine='native'")
-    return kernels.Lexicon({w: f for w, f in lex.word_frequency(lexicon).collect()}, total)
+    return kernels.Lexicon({w: f for w, f in lex.gathered(lex.word_frequency(lexicon), limit=limit)}, total)
+
+
+def known_moves(transitions: DataFrame, ids: dict) -> list:
+    """(prev, next, freq) between the tags of ids: as many rows as there are pairs of them, at most."""
+    return transitions.where(F.col("prev").isin(*ids) & F.col("next").isin(*ids)).groupBy("prev", "next").agg(F.sum("freq")).collect()
 
 
-def hidden_model(lexicon: DataFrame, transitions: DataFrame, corpus_total: int | None = None, prior_tags=("n", "a", "v", "c", "u", "p")) -> kernels.HiddenModel:
-    """Tagging counts from a lexicon with tags and transitions (prev, next, freq). Unknown words get the prior tags,
-    weighted by their share of outgoing transitions."""
+def hidden_model(lexicon: DataFrame, transitions: DataFrame, corpus_total: int | None = None, prior_tags=("n", "a", "v", "c", "u", "p"), limit: int = lex.BROADCAST_CHARS) -> kernels.HiddenModel:
+    """Tagging counts from a lexicon with tags and transitions (prev, next, freq); the size is checked before they are
+    gathered. Unknown words get the prior tags, weighted by their share of outgoing transitions."""
     ids = tags.TAG_IDS
     emissions: dict[str, dict[int, int]] = {}
-    for w, t, f in lexicon.where("tag IS NOT NULL").groupBy("word", "tag").agg(F.sum("freq")).collect():
-        if t in ids:
-            emissions.setdefault(w, {})[ids[t]] = f
-    moves = {(ids[a], ids[b]): f for a, b, f in transitions.groupBy("prev", "next").agg(F.sum("freq")).collect() if a in ids and b in ids}
+    for w, t, f in lex.gathered(lexicon.where(F.col("tag").isin(*ids)).groupBy("word", "tag").agg(F.sum("freq")), limit=limit):
+        emissions.setdefault(w, {})[ids[t]] = f
+    moves = {(ids[a], ids[b]): f for a, b, f in known_moves(transitions, ids)}
     sums: dict[int, int] = {}
     for (a, _), f in moves.items():
         sums[a] = sums.get(a, 0) + f
@@ -71,17 +84,36 @@ def prior(sums: dict[int, int], names) -> list[tuple[int, int]]:
     return [(i, (sums.get(i, 0) + 1) * 1000 // whole) for i in ids]
 
 
-def _run(method: str, lexicon: kernels.Lexicon, model, options: Options, column: str):
+def _run(method: str, lexicon, model, options: Options, column: str, digest: bool = False):
+    """lexicon and model are broadcast variables, model of None where there are no tags."""
+
+    def texts(batch):
+        held, found_by = lexicon.value, model.value
+        backwards = held.reversed() if method == "backward" else None
+        for x in batch.column(column):
+            text = x.as_py()
+            if text is None:
+                yield None
+                continue
+            found, spans, pos = kernels.segment(text, method, held, backwards, found_by, options.compat, options.extended_time, options.split_len, options.max_len)
+            yield (*kernels.token_bytes(text, found, spans), pos, found)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, sums = [], []
+            for x in texts(b):
+                sizes.append(None if x is None else len(x[2]))
+                sums.append(None if x is None else hashlib.sha256(np.column_stack([np.asarray(c) for c in x[:3]]).astype("<i4").tobytes()).hexdigest())
+            keep = [n for n in b.schema.names if n != column]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())], [*keep, "n_tokens", "digest"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        backwards = lexicon.reversed() if method == "backward" else None
         for b in batches:
             ends, starts, stops, kinds, words, valid = [0], [], [], [], [], []
-            for x in b.column(column):
-                text = x.as_py()
-                valid.append(text is not None)
-                if text is not None:
-                    found, spans, pos = kernels.segment(text, method, lexicon, backwards, model, options.compat, options.extended_time, options.split_len, options.max_len)
-                    begin, end = kernels.token_bytes(text, found, spans)
+            for x in texts(b):
+                valid.append(x is not None)
+                if x is not None:
+                    begin, end, pos, found = x
                     starts.append(begin)
                     stops.append(end)
                     kinds += pos
@@ -92,17 +124,27 @@ def _run(method: str, lexicon: kernels.Lexicon, model, options: Options, column:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs, mask=pa.array([not v for v in valid], pa.bool_()) if valid else None)
             yield pa.RecordBatch.from_arrays([*b.columns, lists.cast(_TOKENS)], [*b.schema.names, "tokens"])
 
-    return run
+    return digests if digest else run
 
 
-def _split(df: DataFrame, column: str, method: str, lexicon: DataFrame, options: Options, model=None, engine: str = "arrow") -> DataFrame:
-    if engine == "native":
-        from tokenloom.operators import native
+def _split(df: DataFrame, column: str, method: str, lexicon: DataFrame, options: Options, transitions: DataFrame | None = None, engine: str = "arrow", digest: bool = False) -> DataFrame:
+    """engine: arrow, native, or auto, which is arrow unless the lexicon is too large for it."""
+    from tokenloom.operators import native
 
-        return native.split(df, column, method, lexicon, options)
-    held = load(lexicon, total=options.total)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "tokens")
-    return df.drop("tokens").mapInArrow(_run(method, held, model, options, column), f"{fields}, tokens {TOKENS}")
+    if engine == "native":
+        return native.split(df, column, method, lexicon, options, transitions)
+    try:
+        held = load(lexicon, total=options.total)
+        model = None if transitions is None else hidden_model(lexicon, transitions)
+    except lex.LexiconTooLarge:
+        if engine != "auto" or df.isStreaming:
+            raise
+        return native.split(df, column, method, lexicon, options, transitions)
+    send = df.sparkSession.sparkContext.broadcast
+    run = _run(method, send(held), send(model), options, column, digest)
+    names = [f for f in df.schema.fields if f.name not in (("tokens", "n_tokens", "digest", column) if digest else ("tokens",))]
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in names), "n_tokens long, digest string" if digest else f"tokens {TOKENS}"])
+    return spread(df.drop("tokens", *(("n_tokens", "digest") if digest else ()))).mapInArrow(run, fields)
 
 
 def forward_split(df, column, lexicon, options=Options(), engine="arrow"):
@@ -122,17 +164,34 @@ def smart_split(df, column, lexicon, options=Options(), engine="arrow"):
     return _split(df, column, "unigram", lexicon, options, engine=engine)
 
 
-def tagging(df, column, lexicon, transitions, options=Options()):
+def tagging(df, column, lexicon, transitions, options=Options(), engine="arrow"):
     """smart_split with a part of speech for each token; forms (numbers, addresses, ...) override it."""
-    return _split(df, column, "unigram", lexicon, options, hidden_model(lexicon, transitions))
+    return _split(df, column, "unigram", lexicon, options, transitions, engine)
+
 
+#: Methods by name; other names mean full.
+BY_NAME = {"FORWARD": "forward", "BACKWARD": "backward", "SMART": "unigram", "TAGGING": "unigram"}
 
-def tokenize(df, column, lexicon, method: str = "full", transitions: DataFrame | None = None, options=Options()):
-    """By name: FORWARD, BACKWARD, SMART, TAGGING or FULL in any case; unknown names mean FULL."""
+
+def _by_name(df, method: str, transitions):
     name = method.upper()
-    if name == "TAGGING":
-        return tagging(df, column, lexicon, transitions if transitions is not None else df.sparkSession.createDataFrame([], "prev string, next string, freq long"), options)
-    return _split(df, column, {"FORWARD": "forward", "BACKWARD": "backward", "SMART": "unigram"}.get(name, "full"), lexicon, options)
+    if name == "TAGGING" and transitions is None:
+        transitions = df.sparkSession.createDataFrame([], "prev string, next string, freq long")
+    return BY_NAME.get(name, "full"), transitions if name == "TAGGING" else None
+
+
+def tokenize(df, column, lexicon, method: str = "full", transitions: DataFrame | None = None, options=Options(), engine="auto"):
+    """By name: FORWARD, BACKWARD, SMART, TAGGING or FULL in any case; unknown names mean FULL. Beyond the size of a lexicon
+    that workers may hold, by the native engine."""
+    name, moves = _by_name(df, method, transitions)
+    return _split(df, column, name, lexicon, options, moves, engine)
+
+
+def digests(df, column, lexicon, method: str = "full", transitions: DataFrame | None = None, options=Options()):
+    """df without the text, with n_tokens and digest: what tokenize gives, as sha256 of (start, end, pos) of all tokens as
+    little-endian 32-bit numbers, worked out where the tokens are."""
+    name, moves = _by_name(df, method, transitions)
+    return _split(df, column, name, lexicon, options, moves, digest=True)
 
 
 def explode_tokens(df: DataFrame, *keep: str) -> DataFrame:

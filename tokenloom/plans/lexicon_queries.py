@@ -107,17 +107,14 @@ def full_split(spark, sf_dir):
     return _spans(native.full_spans(_benchmark(spark, sf_dir), derived(spark, sf_dir)))
 
 
-def _split_documents(spark, sf_dir, method: str) -> DataFrame:
-    out = segment.tokenize(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", derived(spark, sf_dir), method)
-    t = F.col("tokens")
-    return out.select(
-        "doc_id", F.size(t).cast("long").alias("n_tokens"), F.sha2(F.array_join(F.transform(t, lambda x: F.concat_ws(":", x["start"], x["end"], x["pos"])), " "), 256).alias("digest")
-    )
+def _split_documents(spark, sf_dir, method: str, lexicon: DataFrame | None = None, transitions: DataFrame | None = None) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return segment.digests(docs, "text", derived(spark, sf_dir) if lexicon is None else lexicon, method, transitions)
 
 
 @query()
 def forward_documents(spark, sf_dir):
-    """Whole documents through the Arrow engine; tested against the native engine and brute force."""
+    """Tokens of whole documents, as a digest, by the Arrow engine; tested against the native engine and brute force."""
     return _split_documents(spark, sf_dir, "forward")
 
 
@@ -136,9 +133,38 @@ def unigram_documents(spark, sf_dir):
     return _split_documents(spark, sf_dir, "smart")
 
 
+#: Words of conversations with a tag that depends on their length, role and end, so that most words have several tags.
+_ANNOTATED_TAGS = ("n", "v", "a", "d", "u", "p", "c")
+_ANNOTATED_SQL = f"""annotated AS (SELECT conv_id, turn, k, w, ['{"', '".join(_ANNOTATED_TAGS)}'][(length(w) + 2 * (role = 'user')::INTEGER + 3 * (turn % 2 = 1)::INTEGER) % {len(_ANNOTATED_TAGS)} + 1] AS tag
+  FROM (SELECT *, unnest(l) AS w, generate_subscripts(l, 1) AS k FROM (SELECT *, regexp_extract_all(text, '[A-Za-zÀ-ÿ]+') AS l FROM conversations)))"""
+
+
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line_id, line): an annotated corpus of word/tag lines, one a turn of conversations."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))
+    shift = F.when(F.col("role") == "user", 2).otherwise(0) + F.when(F.col("turn") % 2 == 1, 3).otherwise(0)
+    tag = lambda w: F.get(F.array(*map(F.lit, _ANNOTATED_TAGS)), (F.char_length(w) + shift) % len(_ANNOTATED_TAGS))
+    line = F.array_join(F.transform(words, lambda w: F.concat(w, F.lit("/"), tag(w))), " ")
+    return _table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("line_id"), line.alias("line"))
+
+
+@query(f"WITH {_ANNOTATED_SQL} SELECT w AS word, tag, count(*) AS freq FROM annotated GROUP BY ALL")
+def corpus_word_tag(spark, sf_dir):
+    """Training over a whole table of annotated lines: words by tag."""
+    return training.train(annotated(spark, sf_dir))["lexicon"]
+
+
+@query(f"""WITH {_ANNOTATED_SQL} SELECT prev, tag AS next, count(*) AS freq FROM (SELECT tag, lag(tag) OVER (PARTITION BY conv_id, turn ORDER BY k) AS prev FROM annotated)
+WHERE prev IS NOT NULL GROUP BY ALL""")
+def corpus_tag_bigram(spark, sf_dir):
+    return training.train(annotated(spark, sf_dir))["transition"]
+
+
 @query()
 def tagging_documents(spark, sf_dir):
-    return _split_documents(spark, sf_dir, "tagging")
+    """Tags of whole documents by a model trained on annotated lines, in which most words have several tags."""
+    trained = training.train(annotated(spark, sf_dir))
+    return _split_documents(spark, sf_dir, "tagging", lex.union(trained["lexicon"], derived(spark, sf_dir)), trained["transition"])
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import chars, tags
 from tokenloom.operators import native, typing
-from tokenloom.operators.segment import atoms
+from tokenloom.operators.segment import atoms, spread
 from tokenloom.plans.registry import query
 from tokenloom.sources import text as sources
 
@@ -40,7 +40,7 @@ def _atom_rows(df: DataFrame, text: str, *keep: str) -> DataFrame:
   len(list_distinct(regexp_extract_all(text, '{ATOM_SQL}'))) AS n_kinds FROM documents WHERE text IS NOT NULL""")
 def atoms_tokenize(spark, sf_dir):
     a = atoms(F.col("text"))
-    return _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.size(a).cast("long").alias("n_atoms"), F.size(F.array_distinct(a)).cast("long").alias("n_kinds"))
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).where("text IS NOT NULL").select("doc_id", F.size(a).cast("long").alias("n_atoms"), F.size(F.array_distinct(a)).cast("long").alias("n_kinds"))
 
 
 @query(rf"SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{ATOM_SQL}')) AS w FROM documents) GROUP BY w")
@@ -77,8 +77,10 @@ def _typed_sql(source: str) -> str:
 
 @query(f"""SELECT lang, pos, count(*) AS n FROM ({_typed_sql(rf"SELECT lang, unnest(regexp_extract_all(text, '{ATOM_SQL}')) AS w, NULL::VARCHAR AS f FROM documents")}) GROUP BY lang, pos""")
 def token_typing(spark, sf_dir):
-    """Types of all atoms; without units of time in the text, no token needs its successor."""
-    return _atom_rows(_table(spark, sf_dir, "documents"), "text", "lang").withColumn("pos", typing.type_of(F.col("word"))).groupBy("lang", "pos").agg(F.count("*").alias("n"))
+    """Types of all atoms; without units of time in the text, no token needs its successor. Each distinct atom is typed once."""
+    docs = spread(_table(spark, sf_dir, "documents").select("lang", "text"))
+    kinds = _atom_rows(docs, "text", "lang").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    return kinds.withColumn("pos", typing.type_of(F.col("word"))).groupBy("lang", "pos").agg(F.sum("n").alias("n"))
 
 
 def _tokens_of(kind: int, table: str, column: str):
@@ -86,8 +88,8 @@ def _tokens_of(kind: int, table: str, column: str):
 
 
 def _typed_words(spark, sf_dir, table, column, kind):
-    rows = _atom_rows(_table(spark, sf_dir, table), column).where(typing.type_of(F.col("word")) == kind)
-    return rows.groupBy("word").agg(F.count("*").alias("n"))
+    rows = _atom_rows(spread(_table(spark, sf_dir, table).select(column)), column).groupBy("word").agg(F.count("*").alias("n"))
+    return rows.where(typing.type_of(F.col("word")) == kind)
 
 
 @query(_tokens_of(tags.URL, "pages", "html"))
