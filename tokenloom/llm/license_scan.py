@@ -91,7 +91,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     # one more word in front, so that each text has a row that meets the templates' own, and is read once only
     words = F.concat(F.array(F.lit("")), F.col("w"))
     grams = F.arrays_zip(words.alias("x"), F.col("w").alias("y"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("z"))
-    grams = texts.select("doc_id", "same", F.size("w").alias("n"), F.posexplode(grams).alias("at", "g")).select("doc_id", "same", "n", "at", "g.*")
+    grams = texts.select("doc_id", "same", F.size("w").alias("n"), F.posexplode_outer(grams).alias("at", "g")).select("doc_id", "same", "n", "at", "g.*")
     grams = grams.toDF("doc_id", "same", "n", "at", "x", "y", "z").where("y IS NOT NULL OR at = 0")
     grams = grams.withColumn("h", F.when(F.col("at") == 0, F.lit(0).cast("long")).otherwise(F.xxhash64("x", "y")))
     places = templates(docs.sparkSession).withColumn("h", F.when(F.col("template") < 0, F.lit(0).cast("long")).otherwise(F.xxhash64("tx", "ty")))

@@ -38,7 +38,9 @@ def _words(line: Column) -> Column:
 def template_lines(docs: DataFrame) -> DataFrame:
     """For rows (doc_id, text, same): doc_id, same, at (line from 0), tokens (fields as FIELD), of each line with tokens."""
     texts = docs.where("text IS NOT NULL").select("doc_id", "same", F.split("text", "\n").alias("lines"))
-    lines = texts.select("doc_id", "same", F.posexplode("lines").alias("at", "line")).withColumn("w", _words(F.col("line"))).where(F.size("w") > 0)
+    # outer, and blank lines told by themselves, as a filter on an array would have it worked out twice; no text has no line
+    lines = texts.select("doc_id", "same", F.posexplode_outer("lines").alias("at", "line")).where(F.btrim("line", F.lit(SPACES)) != "")
+    lines = lines.withColumn("w", _words(F.col("line")))
     field = F.transform("w", lambda x: F.when(x.rlike("[0-9]"), F.lit(FIELD)).otherwise(x))
     lines = lines.withColumn("g", F.when((F.size("w") > LEAD) & F.col("line").rlike("[0-9]"), field))
     general = F.size(F.array_remove("g", FIELD)) >= CONSTANT * F.size("w")
@@ -62,7 +64,8 @@ def _drops(lines: DataFrame) -> DataFrame:
     first = materialize(each.groupBy("a", "b").agg(F.min(F.struct(place.alias("place"), "at")).alias("first"), F.count("*").alias("c")).where("c > 1"))
     least = max(HOT_ROWS, lines.count() // SPREAD)
     hot = [(r["a"], math.ceil(r["c"] / least)) for r in first.where(F.col("c") > least).groupBy("a").agg(F.max("c").alias("c")).collect()]  # (BANDS + 1) * SPREAD at most
-    again = dealt_join(each, first.drop("c"), "a", "same", hot, also=("b",)).where(F.col("first.place") < place)
+    several, _ = split_by(each, "a", bit_filter(first, "a"))  # most lines have no key that another one has
+    again = dealt_join(several, first.drop("c"), "a", "same", hot, also=("b",)).where(F.col("first.place") < place)
     its = F.struct(F.col("first.place.same").alias("same"), F.col("first.at").alias("at"))
     again = materialize(again.select("doc_id", F.struct("same", "at").alias("line"), "kind", its.alias("its")))
     discard(first)
