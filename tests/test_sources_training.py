@@ -68,3 +68,94 @@ def test_requests_and_log(spark):
     post, get = got.collect()
     assert (post.method, post.ip, post.key, post.referer, post.data) == ("POST", "1.2.3.4", "k", "r", "中 a") and get.data is None
     assert sinks.access_log(got).collect()[0].value.endswith("\t0.500000\t1.2.3.4\t-")
+
+
+def test_roles_lead_into_names(spark):
+    lines = spark.createDataFrame([(i, "他/r 说/v 王小明/nr 来/v") for i in range(50)] + [(50, "王/nr 说/v")], "line_id long, line string")
+    got = {k: {r[:2]: r[2] for r in map(tuple, df.collect())} for k, df in t.train(lines).items() if k.startswith("person")}
+    assert got["person_transition"][("O", "S")] == got["person_transition"][("O", "B")] == 50
+    assert got["person_role"][("王", "B")] == 51 and got["person_role"][("王", "S")] == 1
+    names = {tuple(r) for r in t.listed_roles(spark.createDataFrame([("王",), ("李小龙",)], "word string")).collect()}
+    assert names == {("王", "nr", 1), ("王", "B", 1), ("李小龙", "nr", 1), ("李", "B", 1), ("小", "C", 1), ("龙", "D", 1)}
+
+
+def test_names_in_the_middle_of_a_text(spark):
+    from tokenloom.api import Segmenter
+
+    lines = spark.createDataFrame([(i, "他/r 说/v 王小明/nr 来/v 了/u") for i in range(20)] + [(30, "他/r 和/c 李龙/nr 说/v")], "line_id long, line string")
+    tables = t.train(lines)
+    s_ = Segmenter(tables["lexicon"].where("tag <> 'nr'"), tables["transition"], roles=tables["person_role"], role_transitions=tables["person_transition"])
+    texts = spark.createDataFrame([(1, "他说王小明来了"), (2, "他和李小龙说"), (3, None), (4, "")], "id long, text string")
+    got = {r.id: r for r in s_.recognize(texts).collect()}
+    assert [n.word for n in got[1].names] == ["王小明"] and [x.word for x in got[1].tokens] == ["他", "说", "王小明", "来", "了"]
+    assert [x.pos for x in got[1].tokens][2] == 108 and (got[1].names[0].start, got[1].names[0].end) == (6, 15)
+    assert [n.word for n in got[2].names] == ["李小龙"] and got[3].tokens is None and got[3].names is None and got[4].names == []
+    assert [x.word for x in s_.analyse(texts.where("id = 1"), flags=2).first().tokens][2] == "王小明" and s_.analyse(texts.where("id = 1"), flags=1).first().tokens[0].pos > 0
+
+
+def test_recognize_equals_the_kernel(spark):
+    import random
+
+    from tokenloom.operators import kernels, segment, tagging
+
+    rng = random.Random(5)
+    roles = spark.createDataFrame([(c, r, rng.randint(1, 9)) for c in "王李小明龙说" for r in rng.sample("BCDEOS", 3)], "unit string, role string, freq long")
+    bigrams = spark.createDataFrame([(a, b, rng.randint(1, 50)) for a in "BCDEOS" for b in "BCDEOS" if rng.random() < 0.7], "prev string, next string, freq long")
+    texts = spark.createDataFrame([(i, "".join(rng.choice("王李小明龙说x。") for _ in range(rng.randint(1, 60)))) for i in range(40)], "id long, text string")
+    lexicon = spark.createDataFrame([("小明", "n", 3)], "word string, tag string, freq long")
+    split = segment.smart_split(texts, "text", lexicon).withColumn("w", segment.words_of(segment.F.col("tokens")))
+    got = {r.id: [(x.start, x.end, x.pos) for x in r.tokens] for r in tagging.recognize(texts, "text", lexicon, roles, bigrams, max_len=12).collect()}
+    found = 0
+    for r in tagging.role_tags(split, "w", roles, bigrams).collect():
+        want = kernels.recognize([(x.start, x.end, x.pos) for x in r.tokens], r.roles, 108, 12)
+        assert got[r.id] == want
+        found += sum(p == 108 for *_, p in want)
+    assert found > 10
+
+
+def test_from_a_folder_to_a_segmenter(spark, tmp_path):
+    from tokenloom.api import open_segmenter
+    from tokenloom.functions.chars import SEED_DELIMITERS
+    from tokenloom.operators import builder
+    from tokenloom.sources import config
+
+    (tmp_path / "corpus").mkdir()
+    (tmp_path / "corpus" / "a.txt").write_text("他/r 说/v 王小明/nr 来/v\n中国/ns 人民/n\n坏行\n")
+    (tmp_path / "corpus" / "b.txt").write_text("他/r 来/v\n")
+    (tmp_path / "corpus" / "notes.md").write_text("no/n\n")
+    for name, text in {"udf": "中国\n未知词\n", "names": "李小龙\n王\n", "firms": "中国银行\n"}.items():
+        (tmp_path / name).write_text(text)
+    lists = {"UDF": f"{tmp_path}/udf", "nr": f"{tmp_path}/names", "nt": f"{tmp_path}/firms"}
+    tables = builder.build(spark, f"{tmp_path}/corpus", lists, f"{tmp_path}/out")
+    lexicon = {(r.word, r.tag): r.freq for r in tables["lexicon"].collect()}
+    assert lexicon["来", "v"] == 2 and lexicon["中国", "UDF"] == 1 and ("未知词", "UDF") not in lexicon and lexicon["李小龙", "nr"] == 1 and lexicon["中国银行", "nt"] == 1 and lexicon["，", "w"] == 10_000
+    assert {(r.unit, r.role): r.freq for r in tables["person_role"].collect()}["王", "B"] == 2
+    assert tables["stats"].first() == (8 + len(SEED_DELIMITERS), 8 + len(SEED_DELIMITERS)) and tables["errors"].first().n_errors == 1
+    assert {r.word: r.freq for r in tables["inverse"].collect()}["明小王"] == 1
+
+    (tmp_path / "user").mkdir()
+    (tmp_path / "user" / "mine.txt").write_text("新词\t5\tn\n")
+    (tmp_path / "conf").write_text(f"# settings\nDICT_ROOT = nowhere\nDICT_ROOT = {tmp_path}/out\nUSER_DICT_DIR={tmp_path}/user\nMAX_LEN=100x\nCOMPAT=TRUE\nRATIO= 2.5 \n")
+    settings = config.load(spark, f"{tmp_path}/conf")
+    assert (settings.integer("MAX_LEN"), settings.real("RATIO"), settings.flag("COMPAT"), settings.flag("IS_LOAD_INVS"), settings.integer("NONE", 7), settings.text("CORE_DICT_NAME")) == (100, 2.5, True, False, 7, "core")
+    assert settings.options().max_len == 100 and settings.options().compat and settings.options().split_len == 60
+    s_ = open_segmenter(spark, settings)
+    assert s_.options.total == 8 + len(SEED_DELIMITERS)
+    (r,) = s_.tagging(spark.createDataFrame([("中国人民说新词",)], "text string")).collect()
+    assert [x.word for x in r.tokens] == ["中国", "人民", "说", "新词"] and r.tokens[2].pos == 103
+    assert [n.word for n in s_.recognize(spark.createDataFrame([("他说王小明来",)], "text string")).first().names] == ["王小明"]
+
+
+def test_gold_corpus(spark):
+    lines = spark.createDataFrame([(1, "[中央/n 电视台/n]nt 记者/n"), (2, "坏行")], "line_id long, line string")
+    (r,) = t.gold_sentences(t.entities(t.parse_corpus(lines))).collect()
+    assert (r.sentence, r.words, r.tagged_words, r.tags) == ("中央电视台记者", ["中央电视台", "记者"], ["中央", "电视台", "记者"], ["n", "n", "n"])
+
+
+def test_attributes(spark):
+    from tokenloom.operators import lexicon as lex
+
+    words = spark.createDataFrame([("a", "n", 3), ("a", "v", 2), ("b", "n", 1)], lex.SCHEMA)
+    more = spark.createDataFrame([("a", "n", 9), ("b", "v", 4), ("c", "n", 1)], lex.SCHEMA)
+    assert {tuple(r) for r in lex.set_attribute(words, more).collect()} == {("a", "n", 9), ("a", "v", 2), ("b", "n", 1), ("b", "v", 4)}
+    assert {tuple(r) for r in lex.remove_attribute(words, more.select("word", "tag").union(spark.createDataFrame([("b", "n")], "word string, tag string"))).collect()} == {("a", "v", 2), ("b", None, None)}

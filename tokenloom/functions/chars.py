@@ -16,6 +16,7 @@ NUMERALS = "〇一二三四五六七八九十零壹贰叁肆伍陆柒捌玖拾
 TIME_UNITS = ("年", "月", "日", "时", "分", "秒", "点")
 PUNCTUATION = ("(", ")", "（", "）", "《", "》", "【", "】", "，", "、", "！", ",", "。", "!", "；", "：")
 TRIMMED = " \n\t\r"
+SEED_DELIMITERS = ",.?<>[]()（），。？；：’”“‘【】《》！、|·~;'\"@$^&=-+{}! \r\n\t"
 
 #: An alnum run, or any other single character.
 ATOM = f"(?s){ALNUM}+|."

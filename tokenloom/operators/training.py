@@ -154,8 +154,8 @@ def _characters(word):
 
 
 def name_roles(words: DataFrame) -> DataFrame:
-    """(unit, role) of each character of names (word): B the first, D the last, C between."""
-    chars = words.select(_characters(F.col("word")).alias("c")).where(F.size("c") > 1)
+    """(unit, role) of each character of names (word): B the first, also where it is the only one, D the last, C between."""
+    chars = words.select(_characters(F.col("word")).alias("c"))
     role = lambda c, i: F.struct(c.alias("unit"), F.when(i == 0, "B").when(i == F.size("c") - 1, "D").otherwise("C").alias("role"))
     return chars.select(F.explode(F.transform("c", role)).alias("x")).select("x.*")
 
@@ -175,8 +175,9 @@ def person_roles(found: DataFrame, key: str = "line_id") -> DataFrame:
 
 
 def role_bigrams(found: DataFrame, key: str = "line_id") -> DataFrame:
-    """(prev, next, freq): of word roles, once more from D after a name, and within names."""
-    pairs = word_roles(found, key).where("prev_role IS NOT NULL").select(F.col("prev_role").alias("prev"), F.col("role").alias("next"))
+    """(prev, next, freq): of word roles, into B of each name, within names, and all that follows a name from D too."""
+    roles = word_roles(found, key).where("prev_role IS NOT NULL")
+    pairs = roles.select(F.col("prev_role").alias("prev"), F.explode(F.when(F.col("pos") == "nr", F.array("role", F.lit("B"))).otherwise(F.array("role"))).alias("next"))
     after = pairs.where("prev = 'S'").select(F.lit("D").alias("prev"), "next")
     n = F.char_length("word")
     names = found.where(F.col("pos") == "nr").where(n > 1)
@@ -191,8 +192,18 @@ def name_shapes(found: DataFrame) -> DataFrame:
 
 
 def listed_roles(names: DataFrame) -> DataFrame:
-    """(unit, role, freq) of a list of names (word)."""
-    return name_roles(names).groupBy("unit", "role").agg(F.count("*").alias("freq"))
+    """(unit, role, freq) of a list of names (word): each name itself as nr, and its characters."""
+    whole = names.select(F.col("word").alias("unit"), F.lit("nr").alias("role"))
+    return whole.unionByName(name_roles(names)).groupBy("unit", "role").agg(F.count("*").alias("freq"))
+
+
+def gold_sentences(found: DataFrame, key: str = "line_id") -> DataFrame:
+    """(key, sentence, words, tagged_words, tags) of parsed lines: the words that a segmenter should find, composites whole,
+    and what a tagger should, composites by their parts."""
+    parts = F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array(F.struct("word", "pos")))
+    lists = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "word", parts.alias("parts")))).alias("e"))  # a line's entities
+    words, each = F.transform("e", lambda x: x["word"]), F.flatten(F.transform("e", lambda x: x["parts"]))
+    return lists.select(key, F.array_join(words, "").alias("sentence"), words.alias("words"), F.transform(each, lambda x: x["word"]).alias("tagged_words"), F.transform(each, lambda x: x["pos"]).alias("tags"))
 
 
 def parse_errors(parsed: DataFrame) -> DataFrame:

@@ -133,9 +133,10 @@ def unigram_documents(spark, sf_dir):
     return _split_documents(spark, sf_dir, "smart")
 
 
-#: Words of conversations with a tag that depends on their length, role and end, so that most words have several tags.
+#: Words of conversations with a tag that depends on their length, role and turn, so that most words have several tags;
+#: longer capitalised words within a line are names.
 _ANNOTATED_TAGS = ("n", "v", "a", "d", "u", "p", "c")
-_ANNOTATED_SQL = f"""annotated AS (SELECT conv_id, turn, k, w, ['{"', '".join(_ANNOTATED_TAGS)}'][(length(w) + 2 * (role = 'user')::INTEGER + 3 * (turn % 2 = 1)::INTEGER) % {len(_ANNOTATED_TAGS)} + 1] AS tag
+_ANNOTATED_SQL = f"""annotated AS (SELECT conv_id, turn, k, w, CASE WHEN k > 1 AND strlen(w) > 3 AND regexp_matches(w, '^[A-Z]') THEN 'nr' ELSE ['{"', '".join(_ANNOTATED_TAGS)}'][(length(w) + 2 * (role = 'user')::INTEGER + 3 * (turn % 2 = 1)::INTEGER) % {len(_ANNOTATED_TAGS)} + 1] END AS tag
   FROM (SELECT *, unnest(l) AS w, generate_subscripts(l, 1) AS k FROM (SELECT *, regexp_extract_all(text, '[A-Za-zÀ-ÿ]+') AS l FROM conversations)))"""
 
 
@@ -143,8 +144,9 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line_id, line): an annotated corpus of word/tag lines, one a turn of conversations."""
     words = F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))
     shift = F.when(F.col("role") == "user", 2).otherwise(0) + F.when(F.col("turn") % 2 == 1, 3).otherwise(0)
-    tag = lambda w: F.get(F.array(*map(F.lit, _ANNOTATED_TAGS)), (F.char_length(w) + shift) % len(_ANNOTATED_TAGS))
-    line = F.array_join(F.transform(words, lambda w: F.concat(w, F.lit("/"), tag(w))), " ")
+    other = lambda w: F.get(F.array(*map(F.lit, _ANNOTATED_TAGS)), (F.char_length(w) + shift) % len(_ANNOTATED_TAGS))
+    tag = lambda w, k: F.when((k > 0) & (F.octet_length(w) > 3) & w.rlike("^[A-Z]"), "nr").otherwise(other(w))
+    line = F.array_join(F.transform(words, lambda w, k: F.concat(w, F.lit("/"), tag(w, k))), " ")
     return _table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("line_id"), line.alias("line"))
 
 
@@ -160,6 +162,53 @@ def corpus_tag_bigram(spark, sf_dir):
     return training.train(annotated(spark, sf_dir))["transition"]
 
 
+_ANNOTATED_ROLES_SQL = f"""WITH {_ANNOTATED_SQL}, before AS (SELECT *, lag(tag) OVER (PARTITION BY conv_id, turn ORDER BY k) AS b FROM annotated),
+roles AS (SELECT conv_id, turn, k, w, CASE WHEN tag = 'nr' THEN 'S' WHEN b = 'nr' THEN 'E' ELSE 'O' END AS role FROM before)"""
+
+
+@query(f"""{_ANNOTATED_ROLES_SQL}, c AS (SELECT w, unnest(range(1, length(w)::BIGINT + 1)) AS i FROM roles WHERE role = 'S')
+SELECT unit, role, count(*) AS freq FROM (SELECT w AS unit, role FROM roles
+  UNION ALL SELECT substr(w, i, 1), CASE WHEN i = 1 THEN 'B' WHEN i = length(w) THEN 'D' ELSE 'C' END FROM c) GROUP BY ALL""")
+def corpus_person_roles(spark, sf_dir):
+    return training.train(annotated(spark, sf_dir))["person_role"]
+
+
+@query(f"""{_ANNOTATED_ROLES_SQL}, units AS (  -- all roles in a row: a name's characters, then the name
+  SELECT conv_id, turn, k, 1000000 AS i, role FROM roles
+  UNION ALL SELECT conv_id, turn, k, i, CASE WHEN i = 1 THEN 'B' WHEN i = n THEN 'D' ELSE 'C' END
+  FROM (SELECT conv_id, turn, k, length(w) AS n, unnest(range(1, length(w)::BIGINT + 1)) AS i FROM roles WHERE role = 'S')),
+p AS (SELECT *, lag(role) OVER (PARTITION BY conv_id, turn, i = 1000000 ORDER BY k, i) AS same FROM units),
+words AS (SELECT conv_id, turn, k, lag(role) OVER (PARTITION BY conv_id, turn ORDER BY k) AS word FROM roles),
+pairs AS (SELECT CASE WHEN i = 1 OR i = 1000000 THEN word ELSE same END AS prev, role AS next FROM p JOIN words USING (conv_id, turn, k))
+SELECT prev, next, count(*) AS freq FROM (SELECT * FROM pairs WHERE prev IS NOT NULL UNION ALL SELECT 'D', next FROM pairs WHERE prev = 'S') GROUP BY ALL""")
+def corpus_role_bigrams(spark, sf_dir):
+    return training.train(annotated(spark, sf_dir))["person_transition"]
+
+
+@query()
+def names_documents(spark, sf_dir):
+    """Names in whole documents, by roles learnt from annotated lines; tested against the kernel."""
+    trained = training.train(annotated(spark, sf_dir))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = tagging.recognize(docs, "text", derived(spark, sf_dir), trained["person_role"], trained["person_transition"])
+    return found.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.size("names").cast("long").alias("n_names"))
+
+
+@query("""WITH names(word) AS (SELECT DISTINCT n_name FROM nation), c AS (SELECT word, unnest(range(1, length(word)::BIGINT + 1)) AS i FROM names)
+SELECT unit, role, count(*) AS freq FROM (SELECT word AS unit, 'nr' AS role FROM names
+  UNION ALL SELECT substr(word, i, 1), CASE WHEN i = 1 THEN 'B' WHEN i = length(word) THEN 'D' ELSE 'C' END FROM c) GROUP BY ALL""")
+def train_listed_roles(spark, sf_dir):
+    """A list of names, each a name itself and its characters by their place."""
+    return training.listed_roles(_table(spark, sf_dir, "nation").select(F.col("n_name").alias("word")).distinct())
+
+
+@query(f"""WITH {_ANNOTATED_SQL} SELECT conv_id, turn, string_agg(w, '' ORDER BY k) AS sentence, count(*) AS n_words, string_agg(tag, ' ' ORDER BY k) AS tags FROM annotated GROUP BY conv_id, turn""")
+def gold_corpus(spark, sf_dir):
+    """What the estimators compare with: sentences, words and tags of annotated lines."""
+    gold = training.gold_sentences(training.entities(training.parse_corpus(annotated(spark, sf_dir))))
+    return gold.select("line_id.*", "sentence", F.size("words").cast("long").alias("n_words"), F.array_join("tags", " ").alias("tags"))
+
+
 @query()
 def tagging_documents(spark, sf_dir):
     """Tags of whole documents by a model trained on annotated lines, in which most words have several tags."""
@@ -312,7 +361,7 @@ def ner_entities(spark, sf_dir):
 
 
 # training over plain annotated lines; composites and errors are in the tests
-CORPUS = ("中央/n 电视台/n 报道/v 。/w", "王/nr 小明/nr 说/v 中国/ns 和/c 人民/n", "人民/n 说/v 中国/ns", "李小龙/nr 来/v 了/u", "中国/ns 人民/n", "坏行", "和/p 人民/n")
+CORPUS = ("中央/n 电视台/n 报道/v 。/w", "王/nr 小明/nr 说/v 中国/ns 和/c 人民/n", "他/r 说/v 王小明/nr 来/v", "他/r 和/c 王/nr 说/v", "人民/n 说/v 中国/ns", "李小龙/nr 来/v 了/u", "中国/ns 人民/n", "坏行", "和/p 人民/n")
 _CORPUS_VALUES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(CORPUS, 1))
 # a pair of names, a surname of 3 bytes and a given name of up to 6, is one entity with two parts
 _TRAIN_SQL = f"""lines(line_id, line) AS (VALUES {_CORPUS_VALUES}),
@@ -347,7 +396,7 @@ def train_inverse(spark, sf_dir):
     return training.inverse_words(training.entities(_trained(spark)))
 
 
-@query(f"""WITH {_TRAIN_SQL}, ch AS (SELECT word, unnest(range(1, length(word)::BIGINT + 1)) AS i FROM whole WHERE tag = 'nr' AND length(word) > 1)
+@query(f"""WITH {_TRAIN_SQL}, ch AS (SELECT word, unnest(range(1, length(word)::BIGINT + 1)) AS i FROM whole WHERE tag = 'nr')
 SELECT unit, role, count(*) AS freq FROM (
   SELECT word AS unit, CASE WHEN tag = 'nr' THEN 'S' WHEN before = 'nr' THEN 'E' ELSE 'O' END AS role FROM (SELECT *, lag(tag) OVER (PARTITION BY line_id ORDER BY k) AS before FROM whole)
   UNION ALL SELECT substr(word, i, 1), CASE WHEN i = 1 THEN 'B' WHEN i = length(word) THEN 'D' ELSE 'C' END FROM ch) GROUP BY ALL""")
@@ -364,6 +413,7 @@ def name_shapes(spark, sf_dir):
   SELECT *, CASE WHEN tag = 'nr' THEN 'S' WHEN lag(tag) OVER (PARTITION BY line_id ORDER BY k) = 'nr' THEN 'E' ELSE 'O' END AS role FROM whole)),
 ch AS (SELECT length(word) AS n, unnest(range(1, length(word)::BIGINT)) AS i FROM whole WHERE tag = 'nr' AND length(word) > 1)
 SELECT prev, next, count(*) AS freq FROM (SELECT prev, role AS next FROM r WHERE prev IS NOT NULL UNION ALL SELECT 'D', role FROM r WHERE prev = 'S'
+  UNION ALL SELECT prev, 'B' FROM r WHERE prev IS NOT NULL AND role = 'S' UNION ALL SELECT 'D', 'B' FROM r WHERE prev = 'S' AND role = 'S'
   UNION ALL SELECT CASE WHEN i = 1 THEN 'B' ELSE 'C' END, CASE WHEN i = n - 1 THEN 'D' ELSE 'C' END FROM ch) GROUP BY ALL""")
 def train_role_bigrams(spark, sf_dir):
     return training.role_bigrams(training.entities(_trained(spark)))
@@ -426,11 +476,12 @@ def lexicon_ids(spark, sf_dir):
     return lex.with_ids(_parts(spark, sf_dir), "freq", after=200)
 
 
-@query(f"WITH {_PART_SQL} SELECT n_name AS word, CASE WHEN n_name IN (SELECT word FROM lexicon) THEN 1 ELSE -1 END AS word_id FROM nation UNION ALL SELECT 'STANDARD', 1")
+@query(f"""WITH {_PART_SQL}, ids AS (SELECT word, row_number() OVER (ORDER BY min(freq), word) AS word_id FROM lexicon GROUP BY word)
+SELECT w.word, coalesce(word_id, -1) AS word_id FROM (SELECT n_name AS word FROM nation UNION ALL SELECT DISTINCT word FROM lexicon WHERE tag = 'n') w LEFT JOIN ids ON ids.word = w.word""")
 def lexicon_lookup_ids(spark, sf_dir):
-    words = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("word")).unionByName(spark.sql("SELECT 'STANDARD' AS word"))
-    ids = _parts(spark, sf_dir).select("word", F.lit(1).alias("word_id")).distinct()
-    return lex.lookup_ids(words, ids)
+    parts = _parts(spark, sf_dir)
+    words = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("word")).unionByName(parts.where("tag = 'n'").select("word").distinct())
+    return lex.lookup_ids(words, lex.with_ids(parts, "freq"))
 
 
 @query(f"WITH {_PART_SQL} SELECT word FROM lexicon WHERE word IN (SELECT unnest(string_split(p_name, ' ')) FROM part WHERE p_size < 5)")

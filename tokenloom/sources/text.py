@@ -21,8 +21,8 @@ def read_lines(spark: SparkSession, path: str, glob: str | None = None, recursiv
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(file, value): the lines of the *.txt files of a folder."""
-    return read_lines(spark, path, glob="*.txt")
+    """(line_id, file, value): the lines of the *.txt files of a folder, ready for training."""
+    return read_lines(spark, path, glob="*.txt").select(F.monotonically_increasing_id().alias("line_id"), "file", "value")
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
