@@ -118,6 +118,8 @@ def test_output_forms(spark):
     (r,) = t.select(segment.tagged_text(F.col("tokens")).alias("a"), segment.java_offsets(F.col("tokens")).alias("b"), q.sinks.formatted_tokens(F.col("tokens")).alias("c")).collect()
     assert r.a == "中国/-1  /-1 1.5/ma" and [tuple(x) for x in r.b] == [(0, 2), (2, 3), (3, 6)]
     assert r.c == "(0,6,-1,0)(6,7,-1,0)(7,10,30,0)"
+    (r,) = t.select(q.sinks.token_text(F.col("tokens")).alias("a"), q.sinks.token_lengths(F.col("tokens")).alias("b"), tagging.tag_names(F.transform("tokens", lambda x: x["pos"])).alias("c")).collect()
+    assert r.a == ["(0,6,中国)", "(6,7, )", "(7,10,1.5/ma)"] and r.b == [6, 1, 3] and r.c == ["-1", "-1", "ma"]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -127,4 +129,20 @@ def test_stream_equals_batch(spark, tmp_path):
     stream.write_tokens(tokens, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     batch = segment.tokenize(df, "text", q.toy(spark), "forward")
     assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(batch.collect())
-    assert stream.word_counts(tokens).isStreaming
+    counts = stream.word_counts(tokens).writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
+    counts.awaitTermination()
+    got = {r.word: r["count"] for r in spark.table("counted").collect()}
+    assert got == {"结婚": 10, "的": 10, "和尚": 5, "未": 5, " ": 5, "abc": 5}
+
+
+def test_windowed_counts_on_a_stream(spark, tmp_path):
+    import datetime
+
+    at = lambda m: datetime.datetime(2024, 1, 1, 10, m)
+    df = spark.createDataFrame([(at(1), "中国 人民"), (at(9), "中国"), (at(12), "中国")], "at timestamp, text string")
+    df.write.parquet(str(tmp_path / "in"))
+    texts = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    counts = stream.word_counts(stream.segment_stream(texts, "text", q.toy(spark), "smart"), "at")
+    counts.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.window.start.minute, r.word, r["count"]) for r in spark.table("windows").collect())
+    assert got == [(0, " ", 1), (0, "中国", 2), (0, "人民", 1), (10, "中国", 1)]

@@ -159,3 +159,44 @@ def test_attributes(spark):
     more = spark.createDataFrame([("a", "n", 9), ("b", "v", 4), ("c", "n", 1)], lex.SCHEMA)
     assert {tuple(r) for r in lex.set_attribute(words, more).collect()} == {("a", "n", 9), ("a", "v", 2), ("b", "n", 1), ("b", "v", 4)}
     assert {tuple(r) for r in lex.remove_attribute(words, more.select("word", "tag").union(spark.createDataFrame([("b", "n")], "word string, tag string"))).collect()} == {("a", "v", 2), ("b", None, None)}
+
+
+def test_lookup_metadata_and_compat_frequency(spark, tmp_path):
+    from tokenloom.operators import lexicon as lex
+
+    words = spark.createDataFrame([("n", "n", 3), ("ab", "v", 2), ("ab", "n", 5), ("c", None, None)], lex.SCHEMA)
+    ids = spark.createDataFrame([("n", 201), ("ab", 202), ("c", 203)], "word string, word_id long")
+    asked = spark.createDataFrame([("ab",), ("c",), ("zz",)], "word string")
+    answers = {r.word: r.answer for r in lex.lookup_text(words, ids, asked).collect()}
+    assert answers == {"ab": "ab(id=202, total=7) n:5 v:2 ", "c": "c(id=203, total=0) null", "zz": "not found in dict"}
+    assert lex.lookup_text(words, ids, spark.createDataFrame([("ba",)], "word string"), reverse=True).first().answer.startswith("ab(id=202")
+    moves = spark.createDataFrame([("n", "v", 10), ("v", "n", 4)], "prev string, next string, freq long")
+    assert {tuple(r) for r in lex.compat_frequency(words, moves).collect()} == {("n", 13), ("ab", 7), ("c", None), ("v", 4)}
+    sinks.save_dictionary(str(tmp_path), "core", lexicon=words)
+    assert sinks.name_dictionary(str(tmp_path), spark, "core", "the core", 200).first()[:2] == ("core", "the core")
+    assert sinks.open_dictionary(spark, str(tmp_path), "metadata")[0].first()[3:] == (3, 203)
+
+
+def test_ids_are_the_same_in_each_evaluation(spark):
+    from tokenloom.operators import lexicon as lex
+
+    words = spark.range(5000).selectExpr("concat('w', id * 7919 % 5000) AS word", "id AS freq")
+    ids = lex.with_ids(words, "freq", after=200)
+    got = sorted(tuple(r) for r in ids.join(ids.withColumnRenamed("word_id", "again"), "word").collect())
+    assert sorted(r[1] for r in got) == list(range(201, 5201)) and all(r[1] == r[2] for r in got)
+    assert [w for w, _, _ in sorted(got, key=lambda r: r[1])[:3]] == ["w0", "w2919", "w838"]
+
+
+def test_requests_with_parameters(spark):
+    df = spark.createDataFrame([("a", "x"), ("", "y"), (None, "z")], "data string, key string")
+    assert [r.key for r in s.with_parameter(df, "data", "key").collect()] == ["x"]
+
+
+def test_other_string_functions(spark):
+    from pyspark.sql import functions as F
+
+    from tokenloom.functions import chars
+
+    df = spark.createDataFrame([("a::b::c", "中a国b"), ("::x", "é")], "x string, y string")
+    got = df.select(chars.split_mark(F.col("x"), "::").alias("a"), chars.split_mark(F.col("x"), "::", 2).alias("b"), chars.truncated(F.col("y"), 5).alias("c"), chars.truncated(F.col("y"), 1).alias("d"), chars.upcase(F.col("y")).alias("e"), chars.is_whitespace(F.lit(" \t")).alias("f"), chars.is_whitespace(F.col("x")).alias("g"))
+    assert [tuple(r) for r in got.collect()] == [(["a", "b", "c"], ["a", "b::c"], "中a", "", "中A国B", True, False), (["", "x"], ["", "x"], "é", "", "é", True, False)]

@@ -5,6 +5,8 @@ Offsets are UTF-8 byte offsets unless a name says otherwise.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,3 +118,32 @@ def ensure_dir(path: Column) -> Column:
 
 def combine_path(folder: Column, name: Column) -> Column:
     return F.concat(ensure_dir(inner_path(folder)), name)
+
+
+def split_mark(text: Column, mark: str, most: int = -1) -> Column:
+    """array<string> of what lies between marks of one or more characters, a leading empty piece too; with most, the last of
+    so many pieces holds the rest."""
+    return F.split(text, re.escape(mark), most)
+
+
+def truncated(text: Column, size: int) -> Column:
+    """The longest beginning of at most so many bytes; no character is cut."""
+    state = "struct<bytes:int,chars:int>"
+    zero = F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("chars")).cast(state)
+
+    def step(x, c):
+        after = x["bytes"] + F.octet_length(c)
+        more = F.struct(after.alias("bytes"), F.when(after <= size, x["chars"] + 1).otherwise(x["chars"]).alias("chars")).cast(state)
+        return F.when(x["bytes"] > size, x).otherwise(more)
+
+    return F.substring(text, F.lit(1), F.aggregate(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), zero, step, lambda x: x["chars"]))
+
+
+def upcase(text: Column) -> Column:
+    """ASCII letters in upper case, all else as it is."""
+    return F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def is_whitespace(text: Column) -> Column:
+    """Whether a text is white space of ASCII only, and not empty."""
+    return text.rlike(r"^[\x20\x09-\x0D]+$")

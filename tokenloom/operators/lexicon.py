@@ -110,6 +110,13 @@ def word_frequency(lexicon: DataFrame) -> DataFrame:
     return lexicon.groupBy("word").agg(F.sum("freq").alias("freq"))
 
 
+def compat_frequency(lexicon: DataFrame, transitions: DataFrame) -> DataFrame:
+    """(word, freq) as the model implementation has it, which keeps words and tags in one table: the frequency of a word
+    that is the name of a tag includes the transitions from that tag."""
+    moves = transitions.groupBy(F.col("prev").alias("word")).agg(F.sum("freq").alias("freq"))
+    return word_frequency(lexicon).unionByName(moves).groupBy("word").agg(F.sum("freq").alias("freq"))
+
+
 def frequency_map(lexicon: DataFrame) -> DataFrame:
     """(word, info map<tag, freq>) without zero frequencies; null without frequency information."""
     entries = F.collect_list(F.when(F.col("tag").isNotNull() & (F.col("freq") != 0), F.struct("tag", "freq")))
@@ -141,6 +148,17 @@ def lookup(lexicon: DataFrame, word: str, reverse: bool = False) -> DataFrame:
     return out.withColumn("total", F.sum("freq").over(Window.partitionBy("word"))).select("word", "total", "tag", "freq")
 
 
+def lookup_text(lexicon: DataFrame, ids: DataFrame, words: DataFrame, reverse: bool = False) -> DataFrame:
+    """words (word) with answer: `word(id=1, total=2) tag:freq tag:freq `, null for frequencies where a word has none, and
+    what is said of unknown words."""
+    asked = words.select(F.col("word").alias("__asked"), (F.reverse("word") if reverse else F.col("word")).alias("word"))
+    known = frequency_map(lexicon).join(ids, "word")
+    total = F.aggregate(F.coalesce(F.map_values("info"), F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    entries = F.array_join(F.transform(F.array_sort(F.map_entries("info")), lambda e: F.concat_ws(":", e["key"], e["value"])), " ")
+    said = F.concat(F.format_string("%s(id=%d, total=%d) ", "word", "word_id", total), F.coalesce(F.concat(entries, F.lit(" ")), F.lit("null")))
+    return asked.join(known, "word", "left").select(F.col("__asked").alias("word"), F.coalesce(F.when(F.col("word_id").isNotNull(), said), F.lit("not found in dict")).alias("answer"))
+
+
 def derived(texts: DataFrame, least: int = 2) -> DataFrame:
     """A lexicon of what a text column repeats: 2 to 4 characters from a non-ASCII one on, found so many times; tag n."""
     texts = texts.where(F.octet_length("text") > F.char_length("text"))  # without others no word begins

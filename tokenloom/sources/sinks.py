@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.functions import tags
 from tokenloom.operators import segment
 
 
@@ -32,3 +33,25 @@ def access_log(requests: DataFrame, seconds: str = "seconds") -> DataFrame:
 def formatted_tokens(tokens):
     """(start,end,pos,0) of each token, as text."""
     return F.array_join(F.transform(tokens, lambda t: F.format_string("(%d,%d,%d,0)", t["start"], t["end"], t["pos"])), "")
+
+
+def token_text(tokens):
+    """(start,end,word/nature) of each token, as an array of texts; without nature where a token has no named one."""
+    names = F.create_map(*[F.lit(x) for name, i in tags.TAG_IDS.items() for x in (i, name)])
+    nature = lambda t: F.coalesce(F.concat(F.lit("/"), F.try_element_at(names, t["pos"])), F.lit(""))
+    return F.transform(tokens, lambda t: F.format_string("(%d,%d,%s%s)", t["start"], t["end"], t["word"], nature(t)))
+
+
+def token_lengths(tokens):
+    """Bytes of each token."""
+    return F.transform(tokens, lambda t: t["end"] - t["start"])
+
+
+def name_dictionary(path: str, spark: SparkSession, name: str, title: str, after: int = 0) -> DataFrame:
+    """Writes and returns the metadata of a saved dictionary: name, title, path, words and the greatest word id, ids
+    being numbered after `after`."""
+    (words,) = open_dictionary(spark, path, "lexicon", name=name)
+    n = F.count_distinct("word")
+    out = words.agg(n.alias("words"), (n + after).alias("max_word_id")).select(F.lit(name).alias("name"), F.lit(title).alias("title"), F.lit(path).alias("path"), "words", "max_word_id")
+    save_dictionary(path, name, metadata=out)
+    return open_dictionary(spark, path, "metadata", name=name)[0]

@@ -91,3 +91,10 @@ def requests(raw: DataFrame, column: str = "raw") -> DataFrame:
         "referer": F.nullif(F.regexp_extract(c, r"(?i)\r\nReferer: *([^\r\n]*)", 1), F.lit("")),
         "data": F.when(method == "POST", F.nullif(F.try_url_decode(body), F.lit(""))),
     })
+
+
+def with_parameter(requests: DataFrame, *names: str) -> DataFrame:
+    """The requests in which each of the parameters is there and not empty."""
+    for name in names:
+        requests = requests.where(F.coalesce(F.length(name), F.lit(0)) > 0)
+    return requests
