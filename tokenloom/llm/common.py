@@ -142,14 +142,16 @@ def most_frequent(counts: DataFrame, key: str, n: str, limit: int) -> list[tuple
     """
     kind, most = F.floor(F.log2(F.col(n)) * 16), 1 << 20
     sizes = sorted(map(tuple, counts.groupBy(kind.alias("k")).agg(F.count("*")).collect()), reverse=True)  # some 1,000 at most
-    chosen, total = F.lit(False), 0
-    for k, size in sizes:
-        if total + size > limit:
-            chosen |= (kind == k) & (F.pmod(F.xxhash64(key), F.lit(most)) < (limit - total) * most // size)
-            break
-        chosen |= kind == k
+    total, at, share = 0, None, 0
+    for at, size in sizes:
+        share = min(most, (limit - total) * most // size)
         total += size
-    rows = [(r[0], r[1]) for r in counts.where(chosen).select(key, n).collect()] if sizes else []
+        if total >= limit:
+            break
+    if at is None:
+        return []
+    drawn = F.pmod(F.xxhash64(key), F.lit(most)) < share
+    rows = [(r[0], r[1]) for r in counts.where((kind > at) | ((kind == at) & drawn)).select(key, n).collect()]
     return sorted(rows, key=lambda r: (-r[1], r[0]))[:limit]
 
 
