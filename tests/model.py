@@ -70,26 +70,20 @@ def unigram(text, freq, total):
 
 
 def chunks(text, split_len=60, max_len=890):
-    data = text.encode()
-    lead = [i for i in range(len(data) + 1) if i == len(data) or data[i] & 0xC0 != 0x80]
-    out, start, cur = [], 0, split_len
-    while cur < len(data):
-        if cur not in lead:
-            cur += 1
-            continue
-        width = lead[lead.index(cur) + 1] - cur
-        if cur - start > max_len:
-            out.append((start, cur, False))
-            start, cur = cur, cur + split_len
-        elif data[cur : cur + width].decode() in "。， \n\t":
-            if cur > start:
-                out.append((start, cur, False))
-            out.append((cur, cur + width, True))
-            start, cur = cur + width, cur + split_len
-        cur += width
-    if start < len(data):
-        out.append((start, len(data), False))
-    return [(lead.index(a), lead.index(b), d) for a, b, d in out]
+    """Each cut by a search for it: the first character from byte `least` on before which more than max_len bytes have
+    gathered, or else that is a delimiter, which is then a piece of its own."""
+    at = [len(text[:i].encode()) for i in range(len(text) + 1)]
+    too_long = lambda i: at[i] - at[start] > max_len
+    out, start, least = [], 0, split_len
+    while (cut := next((i for i in range(len(text)) if at[i] >= least and (too_long(i) or text[i] in "。， \n\t")), None)) is not None:
+        out += [(start, cut, False)] * (cut > start)
+        least = at[cut + 1] + split_len
+        if too_long(cut):
+            start = cut
+        else:
+            out.append((cut, cut + 1, True))
+            start = cut + 1
+    return out + [(start, len(text), False)] * (start < len(text))
 
 
 def viterbi(words, emissions, moves, sums, total, prior):
