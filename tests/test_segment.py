@@ -34,6 +34,28 @@ def test_native_equals_arrow(spark, texts, method, options):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["forward", "backward", "full", "smart", "tagging"])
+def test_document_queries_equal_their_native_twins(spark, name):
+    """The registered queries over a whole real table against the native engine, token by token."""
+    import hashlib
+    import struct
+
+    sf = "/root/testdata/sf0.001"
+    query = q.unigram_documents if name == "smart" else getattr(q, f"{name}_documents")
+    got = {r.doc_id: (r.n_tokens, r.digest) for r in query(spark, sf).collect()}
+    lexicon, moves = q.derived(spark, sf), None
+    if name == "tagging":
+        trained = q.training.train(q.annotated(spark, sf))
+        lexicon, moves = q.lex.union(trained["lexicon"], lexicon), trained["transition"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(4)
+    n = 0
+    for r in segment.tokenize(docs, "text", lexicon.persist(), name, moves, engine="native").collect():
+        data = None if r.tokens is None else b"".join(struct.pack("<3i", t.start, t.end, t.pos) for t in r.tokens)
+        assert got[r.doc_id] == ((None, None) if data is None else (len(r.tokens), hashlib.sha256(data).hexdigest()))
+        n += 1
+    assert n == len(got)
+
+
 def test_tokenize_goes_native_beyond_the_check(spark, texts, monkeypatch):
     few = texts.where("id < 6")
     want = {m: sorted(segment.tokenize(few, "text", q.toy(spark), m).collect()) for m in ("forward", "tagging")}

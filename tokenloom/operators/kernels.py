@@ -156,8 +156,17 @@ def lattice(text: str, lexicon: Lexicon) -> tuple[list[int], list[tuple[int, int
     return at, edges
 
 
+#: Costs are multiples of 1 / GRID, so that sums of them are exact, equal paths cost the same in whatever order they are
+#: added, and both engines choose alike among them.
+GRID = 2.0**36
+
+
+def rounded(x: float) -> float:
+    return math.floor(x * GRID + 0.5) / GRID
+
+
 def cost(frequency: int, total: int) -> float:
-    return -math.log((frequency + 1) / (total + 1))
+    return rounded(-math.log((frequency + 1) / (total + 1)))
 
 
 def unigram(text: str, lexicon: Lexicon) -> tuple[list[str], float]:
@@ -330,15 +339,15 @@ class HiddenModel:
         key = word if known else None
         if (out := self._seen.get(key)) is None:
             pairs = sorted(known.items()) if known else self.prior
-            first = [-math.log((f + 1) / (self.total + 10)) for _, f in pairs]
-            later = [-math.log((f + 1) / (self.sums.get(t, 0) + 10)) for t, f in pairs]
+            first = [rounded(-math.log((f + 1) / (self.total + 10))) for _, f in pairs]
+            later = [rounded(-math.log((f + 1) / (self.sums.get(t, 0) + 10))) for t, f in pairs]
             out = self._seen[key] = (tuple(t for t, _ in pairs), tuple(first), tuple(later))
         return out
 
     def steps(self, before: tuple[int, ...], after: tuple[int, ...]) -> list[list[float]]:
         """For each tag after, the costs from each tag before."""
         if (out := self._steps.get((before, after))) is None:
-            cost = lambda a, b: -math.log((self.moves.get((a, b), 0) + 1) / (self.sums.get(a, 0) + 10))
+            cost = lambda a, b: rounded(-math.log((self.moves.get((a, b), 0) + 1) / (self.sums.get(a, 0) + 10)))
             out = self._steps[before, after] = [[cost(a, b) for a in before] for b in after]
         return out
 

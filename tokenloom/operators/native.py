@@ -45,6 +45,16 @@ def chunk_pieces(text: Column, split_len: int = 60, max_len: int = 890, delimite
     return F.aggregate(chars, zero.cast(_PIECES), step, tail)
 
 
+def rounded(x: Column) -> Column:
+    """As kernels.rounded."""
+    return F.floor(x * kernels.GRID + 0.5) / F.lit(kernels.GRID)
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with value worked out once, also where f uses it in a lambda: a column named before would be put there again."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _lexicon(lexicon: DataFrame) -> tuple[DataFrame, int]:
     """(word, freq), sent to all workers where its checked size allows, and the longest word."""
     words = lex.word_frequency(lexicon)
@@ -127,7 +137,7 @@ def atom_edges(pieces: DataFrame, lexicon: DataFrame, total: int | None = None,
     ends = F.sequence(F.col("i") + 1, F.least(F.size("atoms"), F.col("i") + max(1, longest)))
     cand = spots.select(key, "i", F.explode(ends).alias("j"), "atoms").select(key, "i", "j", F.array_join(F.slice("atoms", F.col("i") + 1, F.col("j") - F.col("i")), "").alias("word"))
     hits = cand.join(words, "word", "left").where("freq IS NOT NULL OR j = i + 1").withColumn("freq", F.coalesce("freq", F.lit(1)))
-    return hits.select(key, "i", "j", "word", "freq", (-F.log((F.col("freq") + 1) / F.lit(float(total + 1)))).alias("cost"))
+    return hits.select(key, "i", "j", "word", "freq", rounded(-F.log((F.col("freq") + 1) / F.lit(float(total + 1)))).alias("cost"))
 
 
 def unigram_paths(pieces: DataFrame, lexicon: DataFrame, total: int | None = None, key: str = "key") -> DataFrame:
@@ -142,16 +152,18 @@ def unigram_paths(pieces: DataFrame, lexicon: DataFrame, total: int | None = Non
         better = new < F.get(x, e["j"])["c"]
         return F.when(better, F.transform(x, lambda v, k: F.when(k == e["j"], F.struct(new.alias("c"), e["i"].alias("i"), e["word"].alias("w")).cast(cell)).otherwise(v))).otherwise(x)
 
-    solved = lists.withColumn("best", F.aggregate("e", first, relax))
     state = "struct<at:int,out:array<string>>"
     zero = F.struct(F.col("n").alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
 
-    def back(x, _):
-        here = F.get(F.col("best"), x["at"])
-        return F.when(x["at"] == 0, x).otherwise(F.struct(here["i"].alias("at"), F.array_append(x["out"], here["w"]).alias("out")).cast(state))
+    def path(best):
+        def back(x, _):
+            here = F.get(best, x["at"])
+            return F.when(x["at"] == 0, x).otherwise(F.struct(here["i"].alias("at"), F.array_append(x["out"], here["w"]).alias("out")).cast(state))
+
+        words = F.aggregate(F.sequence(F.lit(1), F.col("n")), zero, back, lambda x: F.reverse(x["out"]))
+        return F.struct(F.get(best, F.col("n"))["c"].alias("cost"), words.alias("words"))
 
-    path = F.aggregate(F.sequence(F.lit(1), F.col("n")), zero, back, lambda x: F.reverse(x["out"]))
-    return solved.select(key, F.get("best", F.col("n"))["c"].alias("cost"), path.alias("words"))
+    return lists.select(key, F.aggregate("e", first, relax, path).alias("best")).select(key, "best.*")
 
 
 def _tags(words: DataFrame, lexicon: DataFrame, transitions: DataFrame, key: str = "key") -> DataFrame:
@@ -186,21 +198,21 @@ def split(df: DataFrame, column: str, method: str, lexicon: DataFrame, options,
     texts = rows.where(text.isNotNull()).select("__key", text.alias("__text")).dropDuplicates(["__key"])
     chars = F.regexp_extract_all("__text", F.lit("(?s)."), F.lit(0))
     cut = lambda c: F.transform(chunk_pieces(F.col("__text"), options.split_len, options.max_len), lambda p: F.struct(F.array_join(F.slice(c, p["start"] + 1, p["end"] - p["start"]), "").alias("text"), p["delimiter"].alias("delimiter"), p["start"].alias("chars")))
-    pieces = texts.withColumn("__chars", chars).select("__key", F.posexplode(cut(F.col("__chars"))).alias("__k", "p")).select("__key", "__k", F.struct("__key", "__k").alias("key"), "p.*")
+    pieces = texts.select("__key", F.posexplode_outer(let(chars, cut)).alias("__k", "p")).where("p IS NOT NULL").select("__key", "__k", F.struct("__key", "__k").alias("key"), "p.*")
     before = Window.partitionBy("__key").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
     bases = pieces.select("key", "chars", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("int").alias("bytes"))
     inner, marks = pieces.where("NOT delimiter").select("key", "text"), pieces.where("delimiter").select("key", "text")
     if method == "unigram":
         words = unigram_paths(inner, lexicon, options.total).select("key", "words")
         ends = lambda s, w: F.array_append(s, F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + F.char_length(w))
-        spans = words.withColumn("e", F.aggregate("words", F.array().cast("array<int>"), ends))
-        spans = spans.withColumn("spans", F.transform("e", lambda e, i: F.struct(F.coalesce(F.get("e", i - 1), F.lit(0)).alias("start"), e.alias("end"))))
+        tiled = lambda e: F.transform(e, lambda x, i: F.struct(F.when(i == 0, 0).otherwise(F.get(e, i - 1)).alias("start"), x.alias("end")))
+        spans = words.withColumn("spans", F.aggregate("words", F.array().cast("array<int>"), ends, tiled))
         spans = inner.join(spans.join(_tags(words, lexicon, transitions), "key", "left") if transitions is not None else spans.withColumn("tags", F.lit(None).cast("array<int>")), "key")
     else:
         spans = {"forward": forward_spans, "backward": backward_spans, "full": full_spans}[method](inner, lexicon).withColumn("tags", F.lit(None).cast("array<int>"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"))).cast(_SPANS)
     found = spans.select("key", "text", "spans", "tags").unionByName(marks.select("key", "text", whole.alias("spans"), F.array(F.lit(tags.W)).alias("tags")))
-    found = found.join(bases, "key").select("key", "text", "tags", "chars", "bytes", F.posexplode("spans").alias("i", "s"))
+    found = found.join(bases, "key").select("key", "text", "tags", "chars", "bytes", F.posexplode_outer("spans").alias("i", "s")).where("s IS NOT NULL")
     byte = lambda k: F.col("bytes") + F.octet_length(F.substring("text", F.lit(1), k))
     tokens = found.select(
         F.col("key.__key").alias("__key"), F.struct(F.col("key.__k").alias("piece"), "i").alias("k"), byte(F.col("s.start")).alias("start"), byte(F.col("s.end")).alias("end"),
