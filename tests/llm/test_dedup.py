@@ -73,6 +73,105 @@ def test_jaccard_components_equal_brute_force(spark, seed):
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute_components(data)
 
 
+def near_copies(rng, first: int, n: int, most: int = 14):
+    base = sentence(rng, 60).split()
+    out = []
+    for k in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, most)):
+            w[rng.randrange(len(w))] = rng.choice("abcdefgh") * 3
+        out.append((first + k, " ".join(w)))
+    return out
+
+
+def test_large_groups_in_split_tiles_equal_brute_force(spark, monkeypatch):
+    """Groups of near copies, exact copies and one id for many rows, with small tiles and all hot keys dealt."""
+    import random
+
+    from tokenloom.llm import common
+
+    rng = random.Random(9)
+    data = [*near_copies(rng, 0, 150), *near_copies(rng, 1000, 90, 30), *((2000 + k, "the very same text of some ten words in each row") for k in range(120)), *rows(9)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = brute_components(data)
+    monkeypatch.setattr(common, "HOT_ROWS", 16)
+    monkeypatch.setattr(jaccard_join, "TILE_ROWS", 8)
+    for gain in (0.5, 2.0):  # with rounds of stars, and after one round by tiles alone
+        monkeypatch.setattr(jaccard_join, "GAIN", gain)
+        got = jaccard_join.jaccard_components(df, hot_from=3).collect()
+        assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == want
+
+
+def test_tiles_make_fewer_links_than_rows(spark, monkeypatch):
+    """However many pairs of a tile link: what is written of them is a forest."""
+    import random
+
+    seen = []
+    joined = jaccard_join.joined
+    monkeypatch.setattr(jaccard_join, "joined", lambda known, links: (seen.append(links.count()), joined(known, links))[1])
+    monkeypatch.setattr(jaccard_join, "GAIN", 2.0)
+    base = sentence(random.Random(2), 60)
+    data = [(k, f"{base} own{k} words{k}") for k in range(200)]  # all pairs link
+    got = jaccard_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and sum(seen) <= 2 * len(data)
+
+
+def test_jaccard_over_a_whole_table_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = jaccard_join.op6_jaccard_join(spark, sf).collect()
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute_components(data)
+
+
+def test_filters_and_what_the_driver_gathers_are_bounded(spark):
+    from tokenloom.llm import common
+
+    df = spark.range(200_000).selectExpr("xxhash64(id) AS h")
+    f = common.bit_filter(df, "h")
+    assert f.count() <= common.FILTER_BITS // 64
+    met, not_met = common.split_by(spark.range(300_000).selectExpr("id", "xxhash64(id) AS h"), "h", f)
+    assert met.where("id < 200000").count() == 200_000 and met.count() + not_met.count() == 300_000
+    hot = common.hot_keys(spark.range(100_000).selectExpr("if(id < 60000, 1, id) AS k"), "k")
+    assert [k for k, _ in hot] == [1] and len(hot) <= common.SPREAD
+
+
+def test_dealt_joins_equal_joins(spark, monkeypatch):
+    from tokenloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    left = spark.range(200).selectExpr("if(id < 120, 1, id % 7) AS k", "id AS v").unionAll(spark.sql("SELECT CAST(NULL AS bigint), 999L"))
+    right = spark.range(5).selectExpr("id AS k", "id * 10 AS x")
+    for how in ("inner", "left"):
+        got = common.dealt_join(left, right, "k", "v", common.hot_keys(left, "k"), how)
+        assert sorted(map(repr, got.select("k", "v", "x").collect())) == sorted(map(repr, left.join(right, "k", how).select("k", "v", "x").collect()))
+
+
+def test_written_tables_go_when_they_are_discarded(spark):
+    import os
+
+    from tokenloom.llm import common
+
+    df = common.materialize(spark.range(5))
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path) and df.count() == 5
+    common.discard(df)
+    assert not os.path.isdir(path)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with common.small_batches(spark):
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace as Fake
+
+    from tokenloom.llm import common
+
+    fake = Fake(conf=Fake(get=lambda *_: None), sparkContext=Fake(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.shared_dir(fake)
+
+
 def test_jaccard_without_links_or_rows(spark):
     few = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l"), (3, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(few).collect()) == [(1, 1), (2, 2), (3, 3)]
