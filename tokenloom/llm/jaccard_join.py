@@ -542,3 +542,29 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_jaccard_join": op6_jaccard_join}
+
+ORACLE = {
+    "op6_jaccard_join": rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {SHINGLE} + 2), lambda i: array_to_string(w[i:i + {SHINGLE} - 1], ' '))) END) AS s FROM words
+), classes AS (
+  SELECT s, len(s) AS n, min(doc_id) AS c, count(*) AS class_size FROM sets WHERE len(s) > 0 GROUP BY s
+), items AS (
+  SELECT c, n, unnest(s) AS g FROM classes
+), pairs AS (
+  SELECT a.c AS a, b.c AS b, a.n AS na, b.n AS nb, count(*) AS k FROM items a JOIN items b ON a.g = b.g AND a.c < b.c GROUP BY a.c, b.c, a.n, b.n
+), links AS (
+  SELECT a, b FROM pairs WHERE 100 * k >= {PERCENT} * (na + nb - k)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(c, r) AS (
+  SELECT c, c FROM classes UNION SELECT both_ways.b, reached.r FROM reached JOIN both_ways ON both_ways.a = reached.c
+), least AS (
+  SELECT c, min(r) AS component_id FROM reached GROUP BY c
+)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(class_size, 1) AS class_size
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN least ON least.c = classes.c"""
+}
