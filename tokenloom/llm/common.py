@@ -54,16 +54,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, survives lost executors. The files go with
-    discard(), release(), or the end of the JVM, whichever comes first."""
+    discard(), release(), or the end of the JVM, whichever comes first. Another codec trades space for time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tokenloom-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
     _written[path] = files, at
     with small_batches(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
     files.deleteOnExit(at)  # also where the session has been stopped before
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path

@@ -98,7 +98,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     # the row as one value, so that no name of its columns can clash
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("same"))
-    lines = materialize(template_lines(rows))
+    lines = materialize(template_lines(rows), "snappy")
     drops = _drops(lines)
     discard(lines)
     # only texts that may lose a line are moved to their drops
