@@ -11,7 +11,7 @@ from tokenloom.functions.chars import ALNUM
 from tokenloom.operators import evaluation, kernels, native, segment, tagging, training
 from tokenloom.operators import lexicon as lex
 from tokenloom.plans.registry import query
-from tokenloom.plans.text_queries import _PUNCT_SQL, ATOM_SQL, _table
+from tokenloom.plans.text_queries import _PUNCT_SQL, ATOM_SQL, TYPE_SQL, _table
 from tokenloom.sources import sinks
 from tokenloom.sources import text as sources
 
@@ -63,12 +63,12 @@ def full_split_hits(spark, sf_dir):
     return native.char_hits(c, derived(spark, sf_dir)).select("key.*", "i", "j", "freq")
 
 
-def _walk_sql(reverse: bool) -> str:
-    """Longest match from the left by a cursor over the next position of each start, over benchmark."""
+def _walk_sql(reverse: bool, table: str = "benchmark", key: str = "item_id") -> str:
+    """Longest match from the left by a cursor over the next position of each start, over a table by a key named item_id."""
     t, w = ("reverse(text)", "reverse(word)") if reverse else ("text", "word")
     span = '(n - z)::INTEGER AS "start", (n - a)::INTEGER AS "end"' if reverse else 'a::INTEGER AS "start", z::INTEGER AS "end"'
     return rf"""WITH RECURSIVE {DERIVED_SQL}, turned AS (SELECT {w} AS word FROM lexicon),
-b AS (SELECT item_id, {t} AS text, length(text)::BIGINT AS n FROM benchmark),
+b AS (SELECT {key} AS item_id, {t} AS text, length(text)::BIGINT AS n FROM {table}),
 chars AS (SELECT item_id, text, n, unnest(range(n)) AS i FROM b),
 runs AS (SELECT item_id, i, text, n, length(regexp_extract(substr(text, i + 1), '^{ALNUM}+')) AS run FROM chars),
 best AS (SELECT item_id, i, max(l.n) AS n FROM runs, (VALUES (2), (3), (4)) l(n) JOIN turned ON word = substr(text, i + 1, l.n) WHERE run = 0 AND i + l.n <= runs.n GROUP BY ALL),
@@ -95,18 +95,60 @@ def backward_max_match(spark, sf_dir):
     return _spans(native.backward_spans(_benchmark(spark, sf_dir), derived(spark, sf_dir)))
 
 
-@query(rf"""WITH {DERIVED_SQL}, chars AS (SELECT item_id, text, unnest(range(length(text)::BIGINT)) AS i FROM benchmark),
+def _full_sql(table: str = "benchmark", key: str = "item_id") -> str:
+    """All words from all starts, runs, and single characters that the last hit does not cover."""
+    return rf"""WITH {DERIVED_SQL}, chars AS (SELECT {key} AS item_id, text, unnest(range(length(text)::BIGINT)) AS i FROM {table}),
 runs AS (SELECT *, regexp_matches(substr(text, i + 1, 1), '{ALNUM}') AS a, i > 0 AND regexp_matches(substr(text, i, 1), '{ALNUM}') AS before FROM chars),
 hits AS (SELECT item_id, i, i + n AS j FROM runs, (VALUES (2), (3), (4)) l(n) JOIN lexicon ON word = substr(text, i + 1, n) WHERE NOT a AND i + n <= length(text)),
 top AS (SELECT item_id, i, max(j) AS j FROM hits GROUP BY ALL),
 last AS (SELECT runs.*, last_value(top.j IGNORE NULLS) OVER (PARTITION BY item_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS last FROM runs LEFT JOIN top USING (item_id, i))
 SELECT item_id, i::INTEGER AS "start", j::INTEGER AS "end" FROM hits
 UNION ALL SELECT item_id, i::INTEGER, (i + 1)::INTEGER FROM last WHERE NOT a AND coalesce(last, -1) <= i
-UNION ALL SELECT item_id, i::INTEGER, (i + length(regexp_extract(substr(text, i + 1), '^{ALNUM}+')))::INTEGER FROM last WHERE a AND NOT before""")
+UNION ALL SELECT item_id, i::INTEGER, (i + length(regexp_extract(substr(text, i + 1), '^{ALNUM}+')))::INTEGER FROM last WHERE a AND NOT before"""
+
+
+@query(_full_sql())
 def full_split(spark, sf_dir):
     return _spans(native.full_spans(_benchmark(spark, sf_dir), derived(spark, sf_dir)))
 
 
+_TURN = "conv_id || ':' || turn"
+
+
+def _tokens_sql(spans: str) -> str:
+    """Tokens of conversations from their spans: typed by form, runs of equal numbers merged, in bytes."""
+    return rf"""WITH spans AS ({spans}), texts AS (SELECT conv_id, turn, {_TURN} AS item_id, text FROM conversations),
+t AS (SELECT conv_id, turn, text, "start" AS a, "end" AS z, substr(text, "start" + 1, "end" - "start") AS w,
+  row_number() OVER (PARTITION BY item_id ORDER BY "start", "end") AS k FROM spans JOIN texts USING (item_id)),
+typed AS (SELECT *, {TYPE_SQL} AS pos FROM (SELECT *, lead(w) OVER (PARTITION BY conv_id, turn ORDER BY k) AS f FROM t)),
+marked AS (SELECT *, CASE WHEN pos IN ({tags.MA}, {tags.MC}) AND pos = lag(pos) OVER (PARTITION BY conv_id, turn ORDER BY k) THEN 0 ELSE 1 END AS new FROM typed),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY k) AS island FROM marked),
+tokens AS (SELECT conv_id, turn, island, any_value(text) AS text, arg_min(a, k) AS a, arg_max(z, k) AS z, min(pos) AS pos FROM islands GROUP BY conv_id, turn, island)
+SELECT conv_id, turn, (island - 1)::INTEGER AS k, strlen(substr(text, 1, a))::INTEGER AS "start", strlen(substr(text, 1, z))::INTEGER AS "end", pos, substr(text, a + 1, z - a) AS word FROM tokens"""
+
+
+def _tokens(spark, sf_dir, method: str) -> DataFrame:
+    """Tokens of conversations by the Arrow engine, each text one chunk, as SQL can follow the choice only so."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    out = segment.tokenize(turns, "text", derived(spark, sf_dir), method, options=segment.Options(split_len=1 << 30, max_len=1 << 30))
+    return segment.explode_tokens(out, "conv_id", "turn")
+
+
+@query(_tokens_sql(_walk_sql(False, "conversations", _TURN)))
+def forward_tokens(spark, sf_dir):
+    return _tokens(spark, sf_dir, "forward")
+
+
+@query(_tokens_sql(_walk_sql(True, "conversations", _TURN)))
+def backward_tokens(spark, sf_dir):
+    return _tokens(spark, sf_dir, "backward")
+
+
+@query(_tokens_sql(_full_sql("conversations", _TURN)))
+def full_tokens(spark, sf_dir):
+    return _tokens(spark, sf_dir, "full")
+
+
 def _split_documents(spark, sf_dir, method: str, lexicon: DataFrame | None = None, transitions: DataFrame | None = None) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return segment.digests(docs, "text", derived(spark, sf_dir) if lexicon is None else lexicon, method, transitions)
