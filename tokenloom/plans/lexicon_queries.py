@@ -25,10 +25,11 @@ _SENTENCE_VALUES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(SENTENCES, 1)
 _TOY_TOTAL = sum(TOY.values())
 
 #: The lexicon derived from the driver's text: repeated 2 to 4 characters that begin with a non-ASCII one.
-DERIVED_SQL = r"""texts AS (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations),
-spots AS (SELECT text, unnest(range(1, length(text)::BIGINT)) AS i FROM texts),
-grams AS (SELECT substr(text, i, n) AS word FROM spots, (VALUES (2), (3), (4)) l(n) WHERE i + n - 1 <= length(text) AND ord(substr(text, i, 1)) > 127),
-lexicon AS (SELECT word, count(*) AS freq FROM grams GROUP BY word HAVING count(*) >= 2)"""
+DERIVED_SQL = r"""texts AS (SELECT row_number() OVER () AS text_id, text FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations)),
+letters AS (SELECT text_id, unnest(l) AS c1, generate_subscripts(l, 1) AS i FROM (SELECT text_id, regexp_extract_all(text, '(?s).') AS l FROM texts)),
+fours AS (SELECT c1, lead(c1, 1) OVER o AS c2, lead(c1, 2) OVER o AS c3, lead(c1, 3) OVER o AS c4 FROM letters WINDOW o AS (PARTITION BY text_id ORDER BY i)),
+grams AS (SELECT unnest([c1 || c2, c1 || c2 || c3, c1 || c2 || c3 || c4]) AS word FROM fours WHERE ord(c1) > 127),
+lexicon AS (SELECT word, count(*) AS freq FROM grams WHERE word IS NOT NULL GROUP BY word HAVING count(*) >= 2)"""
 
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,18 +64,27 @@ def full_split_hits(spark, sf_dir):
     return native.char_hits(c, derived(spark, sf_dir)).select("key.*", "i", "j", "freq")
 
 
+def _letters_sql(table: str, key: str, text: str = "text", word: str = "word") -> str:
+    """letters of the texts of a table by a key named item_id: i, whether in an alnum run (a), where its run ends (z), and
+    hits, the words from i to j."""
+    return rf"""{DERIVED_SQL}, turned AS (SELECT {word} AS word FROM lexicon),
+lists AS (SELECT {key} AS item_id, regexp_extract_all({text}, '(?s).') AS l FROM {table}),
+singles AS (SELECT item_id, len(l) AS n, unnest(l) AS c1, generate_subscripts(l, 1) - 1 AS i FROM lists),
+kinds AS (SELECT *, regexp_matches(c1, '{ALNUM}') AS a, lead(c1, 1) OVER o AS c2, lead(c1, 2) OVER o AS c3, lead(c1, 3) OVER o AS c4 FROM singles WINDOW o AS (PARTITION BY item_id ORDER BY i)),
+ends AS (SELECT *, lag(a, 1, false) OVER (PARTITION BY item_id ORDER BY i) AS before,
+  coalesce(min(CASE WHEN NOT a THEN i END) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), n) AS z FROM kinds),
+hits AS (SELECT item_id, i, i + length(c.word) AS j FROM (SELECT item_id, i, unnest([c1 || c2, c1 || c2 || c3, c1 || c2 || c3 || c4]) AS word FROM kinds WHERE NOT a) c JOIN turned USING (word)),
+best AS (SELECT item_id, i, max(j) AS j FROM hits GROUP BY item_id, i)"""
+
+
 def _walk_sql(reverse: bool, table: str = "benchmark", key: str = "item_id") -> str:
     """Longest match from the left by a cursor over the next position of each start, over a table by a key named item_id."""
-    t, w = ("reverse(text)", "reverse(word)") if reverse else ("text", "word")
+    turned = ("reverse(text)", "reverse(word)") if reverse else ("text", "word")
     span = '(n - z)::INTEGER AS "start", (n - a)::INTEGER AS "end"' if reverse else 'a::INTEGER AS "start", z::INTEGER AS "end"'
-    return rf"""WITH RECURSIVE {DERIVED_SQL}, turned AS (SELECT {w} AS word FROM lexicon),
-b AS (SELECT {key} AS item_id, {t} AS text, length(text)::BIGINT AS n FROM {table}),
-chars AS (SELECT item_id, text, n, unnest(range(n)) AS i FROM b),
-runs AS (SELECT item_id, i, text, n, length(regexp_extract(substr(text, i + 1), '^{ALNUM}+')) AS run FROM chars),
-best AS (SELECT item_id, i, max(l.n) AS n FROM runs, (VALUES (2), (3), (4)) l(n) JOIN turned ON word = substr(text, i + 1, l.n) WHERE run = 0 AND i + l.n <= runs.n GROUP BY ALL),
-steps AS (SELECT runs.item_id, runs.i, runs.i + CASE WHEN run > 0 THEN run ELSE coalesce(best.n, 1) END AS j FROM runs LEFT JOIN best USING (item_id, i)),
-walk AS (SELECT item_id, i AS a, j AS z FROM steps WHERE i = 0 UNION ALL SELECT s.item_id, s.i, s.j FROM walk JOIN steps s ON s.item_id = walk.item_id AND s.i = walk.z)
-SELECT item_id, {span} FROM walk JOIN b USING (item_id)"""
+    return rf"""WITH RECURSIVE {_letters_sql(table, key, *turned)},
+steps AS (SELECT ends.item_id, ends.i, n, CASE WHEN a THEN z ELSE coalesce(best.j, ends.i + 1) END AS j FROM ends LEFT JOIN best USING (item_id, i)),
+walk AS (SELECT item_id, n, i AS a, j AS z FROM steps WHERE i = 0 UNION ALL SELECT s.item_id, s.n, s.i, s.j FROM walk JOIN steps s ON s.item_id = walk.item_id AND s.i = walk.z)
+SELECT item_id, {span} FROM walk"""
 
 
 def _spans(df: DataFrame) -> DataFrame:
@@ -97,14 +107,11 @@ def backward_max_match(spark, sf_dir):
 
 def _full_sql(table: str = "benchmark", key: str = "item_id") -> str:
     """All words from all starts, runs, and single characters that the last hit does not cover."""
-    return rf"""WITH {DERIVED_SQL}, chars AS (SELECT {key} AS item_id, text, unnest(range(length(text)::BIGINT)) AS i FROM {table}),
-runs AS (SELECT *, regexp_matches(substr(text, i + 1, 1), '{ALNUM}') AS a, i > 0 AND regexp_matches(substr(text, i, 1), '{ALNUM}') AS before FROM chars),
-hits AS (SELECT item_id, i, i + n AS j FROM runs, (VALUES (2), (3), (4)) l(n) JOIN lexicon ON word = substr(text, i + 1, n) WHERE NOT a AND i + n <= length(text)),
-top AS (SELECT item_id, i, max(j) AS j FROM hits GROUP BY ALL),
-last AS (SELECT runs.*, last_value(top.j IGNORE NULLS) OVER (PARTITION BY item_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS last FROM runs LEFT JOIN top USING (item_id, i))
+    return rf"""WITH {_letters_sql(table, key)},
+last AS (SELECT ends.*, last_value(best.j IGNORE NULLS) OVER (PARTITION BY ends.item_id ORDER BY ends.i ROWS UNBOUNDED PRECEDING) AS last FROM ends LEFT JOIN best USING (item_id, i))
 SELECT item_id, i::INTEGER AS "start", j::INTEGER AS "end" FROM hits
 UNION ALL SELECT item_id, i::INTEGER, (i + 1)::INTEGER FROM last WHERE NOT a AND coalesce(last, -1) <= i
-UNION ALL SELECT item_id, i::INTEGER, (i + length(regexp_extract(substr(text, i + 1), '^{ALNUM}+')))::INTEGER FROM last WHERE a AND NOT before"""
+UNION ALL SELECT item_id, i::INTEGER, z::INTEGER FROM last WHERE a AND NOT before"""
 
 
 @query(_full_sql())
@@ -149,28 +156,83 @@ def full_tokens(spark, sf_dir):
     return _tokens(spark, sf_dir, "full")
 
 
+def _unigram_sql(table: str, key: str) -> str:
+    """The cheapest path of each text: costs of the ends of atoms one after the other, and back along the best starts."""
+    return rf"""WITH RECURSIVE {DERIVED_SQL}, total AS (SELECT sum(freq) AS n FROM lexicon),
+atoms AS (SELECT item_id, unnest(l) AS w, generate_subscripts(l, 1) - 1 AS i FROM (SELECT {key} AS item_id, regexp_extract_all(text, '{ATOM_SQL}') AS l FROM {table})),
+places AS (SELECT *, sum(length(w)) OVER o - length(w) AS a, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3 FROM atoms WINDOW o AS (PARTITION BY item_id ORDER BY i)),
+joined AS (SELECT item_id, i, i + 2 AS j, w || w1 AS word FROM places UNION ALL SELECT item_id, i, i + 3, w || w1 || w2 FROM places UNION ALL SELECT item_id, i, i + 4, w || w1 || w2 || w3 FROM places),
+edges AS (SELECT item_id, i, i + 1 AS j, 1 AS freq FROM places UNION ALL SELECT item_id, i, j, freq FROM joined JOIN lexicon USING (word)),
+ends AS (SELECT item_id, j, list({{'i': i, 'c': floor(-ln((freq + 1) / (total.n + 1)) * {kernels.GRID} + 0.5) / {kernels.GRID}}}) AS es FROM edges, total GROUP BY item_id, j),
+sizes AS (SELECT item_id, count(*) AS n FROM atoms GROUP BY item_id),
+paths(item_id, j, costs, back) AS (
+  SELECT item_id, 0::BIGINT, [0.0::DOUBLE], []::BIGINT[] FROM sizes
+  UNION ALL
+  SELECT item_id, j, list_append(costs, best.c), list_append(back, best.i) FROM (
+    SELECT p.item_id, e.j, costs, back, list_sort(list_transform(es, lambda x: {{'c': costs[x.i + 1] + x.c, 'i': x.i}}))[1] AS best
+    FROM paths p JOIN ends e ON e.item_id = p.item_id AND e.j = p.j + 1)),
+solved AS (SELECT paths.item_id, n, back FROM paths JOIN sizes ON sizes.item_id = paths.item_id AND j = n),
+steps(item_id, a, z, back) AS (SELECT item_id, back[n], n, back FROM solved WHERE n > 0 UNION ALL SELECT item_id, back[a], a, back FROM steps WHERE a > 0)
+SELECT s.item_id, p.a::INTEGER AS "start", (q.a + length(q.w))::INTEGER AS "end" FROM steps s JOIN places p ON p.item_id = s.item_id AND p.i = s.a JOIN places q ON q.item_id = s.item_id AND q.i = s.z - 1"""
+
+
+def _documents_sql(spans: str) -> str:
+    """n_tokens and digest of the tokens of documents. Texts are cut into pieces first: at each step the first character
+    from byte next_b on that is a delimiter, or before which more than 890 bytes have gathered; spans are those of pieces
+    by piece_id."""
+    little = lambda x: f"printf('%02x%02x%02x%02x', {x} & 255, ({x} >> 8) & 255, ({x} >> 16) & 255, ({x} >> 24) & 255)"
+    return rf"""WITH RECURSIVE singles AS (SELECT doc_id, unnest(l) AS c, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS l FROM documents)),
+sized AS (SELECT *, strlen(c) AS w, (sum(strlen(c)) OVER o - strlen(c))::BIGINT AS b, c IN ('。', '，', ' ', chr(10), chr(9)) AS d, lag(strlen(c), 1, 0) OVER o AS w0 FROM singles WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+chars AS (SELECT *, min(CASE WHEN d THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mark FROM sized),
+-- the first character from each byte on
+from_byte AS (SELECT doc_id, i, mark, unnest(range(CASE WHEN i = 0 THEN 0 ELSE b - w0 + 1 END, b + 1)) AS byte FROM chars),
+cuts(doc_id, cut, hard, start_b, next_b) AS (
+  SELECT DISTINCT doc_id, NULL::BIGINT, false, 0::BIGINT, 60::BIGINT FROM singles
+  UNION ALL
+  SELECT k.doc_id, k.i, coalesce(k.i = greatest(x.i, h.i) AND h.i IS NOT NULL, false) AS hard,
+    CASE WHEN coalesce(k.i = greatest(x.i, h.i) AND h.i IS NOT NULL, false) THEN k.b ELSE k.b + k.w END, k.b + 60 + k.w
+  FROM cuts JOIN from_byte x ON x.doc_id = cuts.doc_id AND x.byte = cuts.next_b LEFT JOIN from_byte h ON h.doc_id = cuts.doc_id AND h.byte = cuts.start_b + 891
+  JOIN chars k ON k.doc_id = cuts.doc_id AND k.i = CASE WHEN h.i IS NULL THEN x.mark WHEN x.mark IS NULL THEN greatest(x.i, h.i) ELSE least(x.mark, greatest(x.i, h.i)) END),
+begins AS (SELECT doc_id, cut AS i, NOT hard AS alone FROM cuts WHERE cut IS NOT NULL UNION ALL SELECT doc_id, cut + 1, false FROM cuts WHERE cut IS NOT NULL AND NOT hard),
+flags AS (SELECT doc_id, i, bool_or(alone) AS alone FROM begins GROUP BY doc_id, i),
+parts AS (SELECT chars.*, coalesce(alone, false) AS alone, sum(CASE WHEN flags.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY chars.doc_id ORDER BY chars.i) AS part
+  FROM chars LEFT JOIN flags ON flags.doc_id = chars.doc_id AND flags.i = chars.i),
+pieces AS (SELECT doc_id, doc_id || ':' || part AS piece_id, part, string_agg(c, '' ORDER BY i) AS text, min(b) AS b, bool_or(alone) AS alone FROM parts GROUP BY doc_id, part),
+inner_pieces AS (SELECT piece_id, text FROM pieces WHERE NOT alone),
+spans AS (SELECT * FROM ({spans}) UNION ALL SELECT piece_id, 0, 1 FROM pieces WHERE alone),
+t AS (SELECT doc_id, b + strlen(substr(text, 1, "start")) AS s, b + strlen(substr(text, 1, "end")) AS z, substr(text, "start" + 1, "end" - "start") AS w, alone,
+  row_number() OVER (PARTITION BY doc_id ORDER BY part, "start", "end") AS k FROM spans JOIN pieces ON piece_id = item_id),
+formed AS (SELECT *, {TYPE_SQL} AS form FROM (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY k) AS f FROM t)),
+typed AS (SELECT *, CASE WHEN form <> {tags.NONE} THEN form WHEN alone THEN {tags.W} ELSE {tags.NONE} END AS pos FROM formed),
+marked AS (SELECT *, CASE WHEN pos IN ({tags.MA}, {tags.MC}) AND pos = lag(pos) OVER (PARTITION BY doc_id ORDER BY k) THEN 0 ELSE 1 END AS new FROM typed),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM marked),
+tokens AS (SELECT doc_id, island, arg_min(s, k)::BIGINT AS s, arg_max(z, k)::BIGINT AS z, min(pos)::BIGINT AS pos FROM islands GROUP BY doc_id, island),
+sums AS (SELECT doc_id, count(*) AS n_tokens, sha256(unhex(string_agg({little("s")} || {little("z")} || {little("pos")}, '' ORDER BY island))) AS digest FROM tokens GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(n_tokens, 0) END AS n_tokens, CASE WHEN text IS NOT NULL THEN coalesce(digest, sha256('')) END AS digest FROM documents LEFT JOIN sums USING (doc_id)"""
+
+
 def _split_documents(spark, sf_dir, method: str, lexicon: DataFrame | None = None, transitions: DataFrame | None = None) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return segment.digests(docs, "text", derived(spark, sf_dir) if lexicon is None else lexicon, method, transitions)
 
 
-@query()
+@query(_documents_sql(_walk_sql(False, "inner_pieces", "piece_id")))
 def forward_documents(spark, sf_dir):
     """Tokens of whole documents, as a digest, by the Arrow engine; tested against the native engine and brute force."""
     return _split_documents(spark, sf_dir, "forward")
 
 
-@query()
+@query(_documents_sql(_walk_sql(True, "inner_pieces", "piece_id")))
 def backward_documents(spark, sf_dir):
     return _split_documents(spark, sf_dir, "backward")
 
 
-@query()
+@query(_documents_sql(_full_sql("inner_pieces", "piece_id")))
 def full_documents(spark, sf_dir):
     return _split_documents(spark, sf_dir, "full")
 
 
-@query()
+@query(_documents_sql(_unigram_sql("inner_pieces", "piece_id")))
 def unigram_documents(spark, sf_dir):
     return _split_documents(spark, sf_dir, "smart")
 
