@@ -335,6 +335,15 @@ def test_language_fusion_equals_brute_force(spark):
         assert got[i][0] == name and got[i][1] == pytest.approx(p, rel=1e-6)
 
 
+def test_held_out_language_accuracy(spark):
+    """Documents whose declared language is hidden, by text and source alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hidden = F.crc32(F.col("id").cast("string")) % 10 == 0
+    rows_ = language_id.document_rows(docs).withColumn("declared", F.when(~hidden, F.col("declared")))
+    got = language_id.language_id(rows_).where(hidden).join(docs.select(F.col("doc_id").alias("id"), "lang"), "id").collect()
+    assert len(got) > 50 and sum(r.predicted == r.lang and r.kept for r in got) >= 0.98 * len(got)
+
+
 def test_pages_give_all_evidence(spark):
     pages = spark.createDataFrame([(1, "https://u@www.example.fr:80/x?y", "<html lang='FR-ca'><script>var x</script><p>la ville</p>"), (2, None, None)], "page_id long, url string, html string")
     a, b = language_id.page_rows(pages).collect()

@@ -133,6 +133,9 @@ def test_segmenter_and_sql_functions(spark):
     df.createOrReplaceTempView("texts")
     got = spark.sql("SELECT transform(smart_split(text), t -> t.word) AS w, transform(tagging(text), t -> t.pos) AS p FROM texts").collect()
     assert got[0].w == ["结婚", "的", "和", "尚未", "结婚", "的"] and got[0].p == [100] * 6 and got[1].w is None
+    for name in ("forward_split", "backward_split", "full_split"):
+        split = getattr(s, name)(df).select("tokens").collect()
+        assert [r.t and [tuple(x) for x in r.t] for r in spark.sql(f"SELECT {name}(text) AS t FROM texts").collect()] == [r.tokens and [tuple(x) for x in r.tokens] for r in split]
 
 
 def test_output_forms(spark):
