@@ -156,6 +156,22 @@ def full_tokens(spark, sf_dir):
     return _tokens(spark, sf_dir, "full")
 
 
+_NAMES_SQL = "CASE pos " + " ".join(f"WHEN {i} THEN '{name}'" for name, i in tags.TAG_IDS.items()) + " END"
+
+
+@query(f"""SELECT conv_id, turn, string_agg(word || '/' || coalesce({_NAMES_SQL}, pos::VARCHAR), ' ' ORDER BY k) AS tagged,
+  string_agg('(' || "start" || ',' || "end" || ',' || pos || ',0)', '' ORDER BY k) AS printed, sum("end" - "start")::BIGINT AS n_bytes,
+  string_agg('(' || "start" || ',' || "end" || ',' || word || coalesce('/' || {_NAMES_SQL}, '') || ')', '' ORDER BY k) AS shown
+FROM ({_tokens_sql(_walk_sql(False, "conversations", _TURN))}) GROUP BY conv_id, turn""")
+def token_texts(spark, sf_dir):
+    """The printed forms of the tokens of conversations, and their lengths."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    t = F.col("tokens")
+    out = segment.forward_split(turns, "text", derived(spark, sf_dir), segment.Options(split_len=1 << 30, max_len=1 << 30)).where(F.size("tokens") > 0)
+    lengths = F.aggregate(sinks.token_lengths(t), F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("conv_id", "turn", segment.tagged_text(t).alias("tagged"), sinks.formatted_tokens(t).alias("printed"), lengths.alias("n_bytes"), F.array_join(sinks.token_text(t), "").alias("shown"))
+
+
 def _unigram_sql(table: str, key: str) -> str:
     """The cheapest path of each text: costs of the ends of atoms one after the other, and back along the best starts."""
     return rf"""WITH RECURSIVE {DERIVED_SQL}, total AS (SELECT sum(freq) AS n FROM lexicon),
@@ -624,6 +640,42 @@ def word_frequency(spark, sf_dir):
     return lex.word_frequency(_parts(spark, sf_dir))
 
 
+_MOVES_SQL = "moves(prev, next, freq) AS (VALUES ('BRASS', 'STEEL', 7), ('BRASS', 'BRASS', 2), ('zz', 'BRASS', 1))"
+
+
+def _moves(spark):
+    return spark.createDataFrame([("BRASS", "STEEL", 7), ("BRASS", "BRASS", 2), ("zz", "BRASS", 1)], "prev string, next string, freq long")
+
+
+@query(f"WITH {_PART_SQL}, {_MOVES_SQL} SELECT word, sum(freq)::BIGINT AS freq FROM (SELECT word, freq FROM lexicon UNION ALL SELECT prev, freq FROM moves) GROUP BY word")
+def compat_frequency(spark, sf_dir):
+    return lex.compat_frequency(_parts(spark, sf_dir), _moves(spark))
+
+
+@query(f"""WITH {_PART_SQL}, ids AS (SELECT word, row_number() OVER (ORDER BY min(freq), word) AS word_id, sum(freq) AS total,
+  string_agg(tag || ':' || freq, ' ' ORDER BY tag) AS info FROM lexicon GROUP BY word), asked AS (SELECT n_name AS word FROM nation UNION ALL SELECT word FROM ids)
+SELECT a.word, coalesce(ids.word || '(id=' || word_id || ', total=' || total || ') ' || info || ' ', 'not found in dict') AS answer FROM asked a LEFT JOIN ids ON ids.word = a.word""")
+def lexicon_answers(spark, sf_dir):
+    """What the lookup tool says of words."""
+    parts = _parts(spark, sf_dir)
+    asked = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("word")).unionByName(parts.select("word").distinct())
+    return lex.lookup_text(parts, lex.with_ids(parts, "freq"), asked)
+
+
+@query(f"""WITH {_PART_SQL}, more AS (SELECT word, 'n' AS tag, 1::BIGINT AS freq FROM lexicon WHERE tag = 'a' UNION ALL SELECT 'unknown', 'n', 1)
+SELECT word, tag, freq FROM lexicon WHERE (word, tag) NOT IN (SELECT word, tag FROM more) UNION ALL SELECT word, tag, freq FROM more WHERE word <> 'unknown'""")
+def lexicon_set_attribute(spark, sf_dir):
+    parts = _parts(spark, sf_dir)
+    more = parts.where("tag = 'a'").select("word", F.lit("n").alias("tag"), F.lit(1).cast("long").alias("freq"))
+    return lex.set_attribute(parts, more.unionByName(spark.createDataFrame([("unknown", "n", 1)], lex.SCHEMA)))
+
+
+@query(f"WITH {_PART_SQL} SELECT word, CASE WHEN tag = 'n' THEN tag END AS tag, CASE WHEN tag = 'n' THEN freq END AS freq FROM lexicon")
+def lexicon_remove_attribute(spark, sf_dir):
+    parts = _parts(spark, sf_dir)
+    return lex.remove_attribute(parts, parts.where("tag = 'a'"))
+
+
 @query(f"WITH {_PART_SQL} SELECT sum(freq)::BIGINT AS total FROM lexicon")
 def lexicon_totals(spark, sf_dir):
     return lex.totals(_parts(spark, sf_dir))

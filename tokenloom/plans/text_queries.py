@@ -142,6 +142,26 @@ def chinese_number_merge(spark, sf_dir):
     return typing.merged(_sequences(spark))
 
 
+@query(f"""SELECT CASE WHEN regexp_full_match(w, '[0-9]{{1,2}}:[0-9]{{2}}(:[0-9]{{2}})?|[0-9]{{4}}/[01][0-9]/[0-3][0-9]') AND pos <> {tags.MA} THEN {tags.T} ELSE pos END AS pos, count(*) AS n
+FROM ({_typed_sql(rf"SELECT unnest(regexp_extract_all(props || ' ' || strftime(ts, '%H:%M:%S') || ' ' || strftime(ts, '%Y/%m/%d'), '{ATOM_SQL}')) AS w, NULL::VARCHAR AS f FROM events")}) GROUP BY 1""")
+def extended_times(spark, sf_dir):
+    """Types of the atoms of events' records, clock times and slash dates among them."""
+    e = _table(spark, sf_dir, "events")
+    text = F.concat_ws(" ", "props", F.date_format("ts", "HH:mm:ss"), F.date_format("ts", "yyyy/MM/dd"))
+    kinds = _atom_rows(e.select(text.alias("text")), "text").groupBy("word").agg(F.count("*").alias("n"))
+    return kinds.groupBy(typing.type_of(F.col("word"), extended_time=True).alias("pos")).agg(F.sum("n").alias("n"))
+
+
+@query("""SELECT p_partkey, string_split(p_type, ' ')[1] AS first_piece, len(string_split(p_name, 'al')) AS n_pieces, substr(p_name, 1, 7) AS beginning, upper(p_name) AS upcase,
+  regexp_full_match(p_name, '[ \t]+') AS blank FROM part""")
+def string_pieces(spark, sf_dir):
+    p = _table(spark, sf_dir, "part")
+    return p.select(
+        "p_partkey", F.get(chars.split_mark(F.col("p_type"), " ", 2), F.lit(0)).alias("first_piece"), F.size(chars.split_mark(F.col("p_name"), "al")).cast("long").alias("n_pieces"),
+        chars.truncated(F.col("p_name"), 7).alias("beginning"), chars.upcase(F.col("p_name")).alias("upcase"), chars.is_whitespace(F.col("p_name")).alias("blank"),
+    )
+
+
 _PUNCT_SQL = ", ".join(f"'{c}'" for c in chars.PUNCTUATION)
 
 
