@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import HOT_ROWS, SPACES, SPREAD, bit_filter, dealt_join, discard, hot_keys, materialize, split_by, table
+from tokenloom.llm.common import HOT_ROWS, SPREAD, bit_filter, dealt_join, discard, hot_keys, materialize, split_by, table
 
 #: Leading tokens on the path to a leaf; lines without a further token have their tokens as they are for a template.
 LEAD = 3
@@ -28,43 +28,47 @@ CONSTANT = 0.5
 #: Documents that keep less than this share of their bytes are dropped by drop_documents.
 LEAST_KEPT = 0.2
 FIELD = "<*>"
-
-
-def _words(line: Column) -> Column:
-    plain = F.when(line.rlike(r"[\t\x0B\f\r]"), F.translate(line, SPACES, " " * len(SPACES))).otherwise(line)
-    return F.array_remove(F.split(plain, " "), "")
+#: The white space of [\x20\x09-\x0D] but for the space and the end of a line.
+OTHER_SPACES = "\t\x0b\x0c\r"
 
 
 def template_lines(docs: DataFrame) -> DataFrame:
     """For rows (doc_id, text, same): doc_id, same, at (line from 0), tokens (fields as FIELD), of each line with tokens."""
-    texts = docs.where("text IS NOT NULL").select("doc_id", "same", F.split("text", "\n").alias("lines"))
+    plain = F.when(F.col("text").rlike(r"[\t\x0B\f\r]"), F.translate("text", OTHER_SPACES, " " * len(OTHER_SPACES))).otherwise(F.col("text"))
+    texts = docs.where("text IS NOT NULL").select("doc_id", "same", F.split(plain, "\n").alias("lines"))
     # outer, and blank lines told by themselves, as a filter on an array would have it worked out twice; no text has no line
-    lines = texts.select("doc_id", "same", F.posexplode_outer("lines").alias("at", "line")).where(F.btrim("line", F.lit(SPACES)) != "")
-    lines = lines.withColumn("w", _words(F.col("line")))
+    lines = texts.select("doc_id", "same", F.posexplode_outer("lines").alias("at", "line")).where(F.trim("line") != "")
+    lines = lines.withColumn("w", F.array_remove(F.split("line", " "), ""))
     field = F.transform("w", lambda x: F.when(x.rlike("[0-9]"), F.lit(FIELD)).otherwise(x))
     lines = lines.withColumn("g", F.when((F.size("w") > LEAD) & F.col("line").rlike("[0-9]"), field))
     general = F.size(F.array_remove("g", FIELD)) >= CONSTANT * F.size("w")
     return lines.select("doc_id", "same", "at", F.when(general, F.col("g")).otherwise(F.col("w")).alias("tokens"))
 
 
-def _keys(lines: DataFrame) -> DataFrame:
-    """doc_id, same, at, kind, a, b (the key): kind 0 is a line's template, the others are the leaves of its bands."""
+def _kinds(lines: DataFrame) -> DataFrame:
+    """lines once for each kind of key: 0 is a line's template, the others are the leaves of its bands."""
+    kinds = F.when(F.size("tokens") >= SPLIT_FROM, F.array(*map(F.lit, range(BANDS + 1)))).otherwise(F.array(F.lit(0)))
+    return lines.select("doc_id", "same", "at", "tokens", F.explode_outer(kinds).alias("kind"))
+
+
+def _key(*before) -> Column:
+    """A 64-bit hash of what makes a key; with something before it, another one."""
     n, kind = F.size("tokens"), F.col("kind")
-    each = lines.withColumn("kind", F.explode(F.when(n >= SPLIT_FROM, F.array(*map(F.lit, range(BANDS + 1)))).otherwise(F.array(F.lit(0)))))
     cut = lambda k: F.floor(k * n / F.lit(BANDS)).cast("int")
     begin, end = F.when(kind == 0, 0).otherwise(cut(kind - 1)), F.when(kind == 0, n).otherwise(cut(kind))
-    path = [kind, n, F.slice("tokens", 1, F.when(kind == 0, 0).otherwise(LEAD)), F.slice("tokens", begin + 1, end - begin)]
-    return each.select("doc_id", "same", "at", "kind", F.xxhash64(*path).alias("a"), F.xxhash64(F.lit(1), *path).alias("b"))
+    return F.xxhash64(*before, kind, n, F.slice("tokens", 1, F.when(kind == 0, 0).otherwise(LEAD)), F.slice("tokens", begin + 1, end - begin))
 
 
 def _drops(lines: DataFrame) -> DataFrame:
     """doc_id, same, at of the lines to drop, some of them more than once."""
-    each = _keys(lines)
+    each = _kinds(lines).withColumn("a", _key())
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "same")
-    first = materialize(each.groupBy("a", "b").agg(F.min(F.struct(place.alias("place"), "at")).alias("first"), F.count("*").alias("c")).where("c > 1"))
+    first = each.select("doc_id", "same", "at", "a", _key(F.lit(1)).alias("b")).groupBy("a", "b")
+    first = materialize(first.agg(F.min(F.struct(place.alias("place"), "at")).alias("first"), F.count("*").alias("c")).where("c > 1"))
     least = max(HOT_ROWS, lines.count() // SPREAD)
     hot = [(r["a"], math.ceil(r["c"] / least)) for r in first.where(F.col("c") > least).groupBy("a").agg(F.max("c").alias("c")).collect()]  # (BANDS + 1) * SPREAD at most
     several, _ = split_by(each, "a", bit_filter(first, "a"))  # most lines have no key that another one has
+    several = several.select("doc_id", "same", "at", "kind", "a", _key(F.lit(1)).alias("b"))
     again = dealt_join(several, first.drop("c"), "a", "same", hot, also=("b",)).where(F.col("first.place") < place)
     its = F.struct(F.col("first.place.same").alias("same"), F.col("first.at").alias("at"))
     again = materialize(again.select("doc_id", F.struct("same", "at").alias("line"), "kind", its.alias("its")))
