@@ -102,6 +102,43 @@ def test_large_groups_in_split_tiles_equal_brute_force(spark, monkeypatch):
         assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == want
 
 
+@pytest.mark.parametrize("small", [0, 1 << 17])
+def test_small_tables_of_links_and_large_ones_give_the_same(spark, monkeypatch, small):
+    """Links of up to SMALL rows are contracted in one task, without rounds of stars over them; of what pairs look up, only
+    the rows that they name go through a shuffle, whether pairs are sent to the workers or a filter of them."""
+    import random
+
+    rng = random.Random(4)
+    data = [*near_copies(rng, 0, 60), *near_copies(rng, 1000, 60, 30), *rows(4), *((2000 + k, sentence(rng, 70)) for k in range(300))]
+    large, narrowed = [], []
+    for name, seen in (("components", large), ("_narrowed", narrowed)):
+        f = getattr(jaccard_join, name)
+        monkeypatch.setattr(jaccard_join, name, lambda *a, f=f, seen=seen: (out := f(*a), seen.append((a[0].columns, out.count())))[0])
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "TILE_ROWS", 8)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string"), hot_from=3)
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got.collect()) == brute_components(data)
+    assert bool(large) == (small == 0)
+    classes = [n for columns, n in narrowed if "bbits" in columns]
+    assert classes and max(classes) < len(data) / 2
+
+
+def test_links_of_one_task_are_contracted_to_the_least_nodes(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    nodes = [b"%03d" % k for k in range(120)]
+    for _ in range(3):
+        links = [tuple(rng.choices(nodes, k=2)) for _ in range(70)] + [(nodes[5], nodes[5])]
+        df = spark.createDataFrame(links, "a binary, b binary")
+        got = []
+        for small in (1 << 17, 0):
+            monkeypatch.setattr(jaccard_join, "SMALL", small)
+            known = jaccard_join.joined(None, df.where("a < '060'"))
+            got.append(sorted((bytes(r.u), bytes(r.root)) for r in jaccard_join.joined(known, df.where("a >= '060'")).collect()))
+        assert got[0] == got[1] and all(root < u for u, root in got[0])
+
+
 def test_tiles_make_fewer_links_than_rows(spark, monkeypatch):
     """However many pairs of a tile link: what is written of them is a forest."""
     import random

@@ -98,8 +98,15 @@ def release() -> None:
 
 def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> list[tuple]:
     """(key, parts) of the keys that a join of df, of so many rows, should deal over several tasks: at most SPREAD."""
-    least = max(HOT_ROWS, (df.count() if rows is None else rows) // SPREAD)
-    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("c"))
+    rows = df.count() if rows is None else rows
+    if rows <= HOT_ROWS:
+        return []
+    return hot_counts(df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("c")), rows)
+
+
+def hot_counts(counts: DataFrame, rows: int) -> list[tuple]:
+    """hot_keys() where the rows of each key are counted already: (k, c)."""
+    least = max(HOT_ROWS, rows // SPREAD)
     return [(r["k"], math.ceil(r["c"] / least)) for r in counts.where(F.col("c") > least).collect()]
 
 

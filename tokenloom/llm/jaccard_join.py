@@ -20,8 +20,10 @@ Tiles are read twice, first with bitmaps, which tells the classes that may have
 arrays. There pairs are verified, and each link found joins two components at once, so that a tile makes fewer links than
 it has rows, however many of its pairs link.
 
-Components are contracted by alternating large and small stars over written tables, new links between the roots known
-before. Keys that hold many rows are dealt over several tasks in every join.
+Components of up to SMALL links are contracted in one task, larger ones by alternating large and small stars over written
+tables, new links between the roots known before. Keys that hold many rows are dealt over several tasks in every join.
+Bitmaps, sorted arrays and posts are shuffled only where a pair, a tile or a component needs them: a table of pairs of up
+to SMALL rows is sent to the workers, of a larger one a bit filter of fixed size.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import bit_filter, dealt_join, discard, hot_keys, materialize, most_frequent, same_files, split_by, table
+from tokenloom.llm.common import bit_filter, dealt_join, discard, hot_counts, hot_keys, materialize, most_frequent, same_files, split_by, table
 
 SHINGLE, PERCENT = 5, 75
 HOT_SHINGLES, HOT_FROM = 65_536, 32
@@ -53,6 +55,8 @@ BAND = math.log(100 / PERCENT) * (1 + 1e-9)
 BLOCK, TILE_ROWS, TILE_SHINGLES = 256, 1024, 1 << 21
 #: Class keys that a worker remembers to skip copies, bytes of text that it hashes at once, and rows that it holds.
 REMEMBERED, AT_ONCE, ROWS = 200_000, 1 << 18, 1000
+#: Links or pairs of class keys, some 10 MB, that are sent to all workers or contracted in one task. More are shuffled.
+SMALL = 1 << 17
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -352,6 +356,29 @@ def _tile_links(batches):
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.binary()) for i in (0, 1)], ["a", "b"])
 
 
+def _forest(batches):
+    """components() of the edges of one task."""
+    up, kind = {}, None
+
+    def root(x):
+        top = x
+        while top in up:
+            top = up[top]
+        while x != top:
+            up[x], x = top, up[x]
+        return top
+
+    for b in batches:
+        kind = b.column("a").type
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    if up:
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(map(root, nodes), kind)], ["u", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) for every node of edges (a, b) but the roots, which are the least nodes reachable.
 
@@ -378,6 +405,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
     """components() of all links so far, from the (u, root) of those before and new links; known is discarded."""
+    if links.count() + (known.count() if known else 0) <= SMALL:
+        edges = links.select("a", "b").unionAll(known.select("u", "root")) if known else links.select("a", "b")
+        out = materialize(edges.coalesce(1).mapInArrow(_forest, "u binary, root binary"))
+        discard(known)
+        return out
     if known is None:
         return components(links)
     hot = hot_keys(links, "b")
@@ -392,53 +424,82 @@ def joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
     return out
 
 
+def _narrowed(df: DataFrame, key: str, few: DataFrame, small: bool) -> DataFrame:
+    """Rows of df whose key is in few, or where few is not small those that may be: what a join has to shuffle."""
+    if small:
+        return df.join(F.broadcast(few.select(key)), key, "left_semi")
+    met, _ = split_by(df.withColumn("h", F.xxhash64(key)), "h", bit_filter(few.select(F.xxhash64(key).alias("h")), "h"))
+    return met.drop("h")
+
+
+def _looked_up(few: DataFrame, df: DataFrame, key: str, small: bool) -> DataFrame:
+    """few.join(df, key)"""
+    return df.join(F.broadcast(few), key) if small else few.join(_narrowed(df, key, few, small), key)
+
+
 class _Sets:
     """Sorted arrays of classes, read again from the texts that may be needed only, once each."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame):
         self.docs, self.classes = docs, classes
         self.items: DataFrame | None = None
+        self.n = 0
 
-    def read(self, nodes: DataFrame) -> DataFrame:
+    def read(self, nodes: DataFrame, small: bool) -> DataFrame:
         """(node, items) with at least the nodes of (node)."""
-        nodes = nodes.distinct()
+        needed = self.classes.select("node", "seen")
+        needed = _narrowed(needed, "node", nodes, True) if small else _looked_up(nodes.distinct(), needed, "node", False)
         if self.items is not None:
-            nodes = nodes.join(self.items.select("node"), "node", "left_anti")
-        needed = materialize(nodes.join(self.classes, "node").select("node", "seen"))
-        if self.items is None or not needed.isEmpty():
-            again, _ = split_by(self.docs.withColumn("h", F.xxhash64("text")), "h", bit_filter(needed, "seen"))
-            again = again.select("text")
-            items = again.mapInArrow(_arrays, "node binary, items binary").join(needed.select("node"), "node", "left_semi")
+            there = self.items.select("node")
+            needed = needed.join(F.broadcast(there) if self.n <= SMALL else there, "node", "left_anti")
+        needed = materialize(needed)
+        n = needed.count()
+        if self.items is None or n:
+            again = _narrowed(self.docs.withColumn("seen", F.xxhash64("text")), "seen", needed, n <= SMALL).select("text")
+            items = _narrowed(again.mapInArrow(_arrays, "node binary, items binary"), "node", needed, n <= SMALL)
+            if n > SMALL:
+                items = items.join(needed.select("node"), "node", "left_semi")
             items = materialize(items.groupBy("node").agg(F.any_value("items").alias("items")))
             self.items = items if self.items is None else self.items.unionByName(items)
+            self.n += n
         return self.items
 
 
 def _labelled(posts: DataFrame, known: DataFrame | None) -> DataFrame:
     if known is None:
         return posts.withColumn("component", F.col("node"))
-    return posts.drop("component").join(known.withColumnRenamed("u", "node"), "node", "left").select("hash", "node", "n", F.coalesce("root", "node").alias("component"))
+    roots = known.withColumnRenamed("u", "node")
+    named = lambda x: x.select("hash", "node", "n", F.coalesce("root", "node").alias("component"))
+    if known.count() <= SMALL:
+        return named(posts.join(F.broadcast(roots), "node", "left"))
+    met, rest = split_by(posts.withColumn("h", F.xxhash64("node")), "h", bit_filter(known.select(F.xxhash64("u").alias("h")), "h"))
+    return named(met.join(roots, "node", "left")).unionAll(rest.select("hash", "node", "n", F.col("node").alias("component")))
 
 
 def _star_pairs(posts: DataFrame, turn: int, hot: list[tuple]) -> DataFrame:
     """For each class one head (a, b) of another component: of each shingle the class that a hash of this turn draws."""
     draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "component")
     heads = posts.groupBy("hash").agg(F.min(draw).alias("head")).select("hash", "head.node", "head.component").toDF("hash", "head", "of")
-    stars = dealt_join(posts, heads, "hash", "node", hot).where("component <> of").groupBy("node", "head").agg(F.count("*").alias("shared"))
+    stars = dealt_join(posts, heads, "hash", "node", hot).where("component <> of").select("node", "head")
+    stars = stars.repartition("node").groupBy("node", "head").agg(F.count("*").alias("shared"))  # at most a document's prefix
     return stars.groupBy("node").agg(F.max_by("head", F.struct("shared", F.xxhash64("head", F.lit(turn)))).alias("b")).withColumnRenamed("node", "a")
 
 
 def _stars(posts: DataFrame, turn: int, hot: list[tuple], classes: DataFrame, sets: _Sets) -> tuple[int, DataFrame]:
     """How many pairs of a round of stars the bitmaps leave, and those that link."""
     tried = materialize(_star_pairs(posts, turn, hot))
-    heads = hot_keys(tried, "b")
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"{x}bits"))
-    pairs = dealt_join(tried.join(side("a"), "a"), side("b"), "b", "a", heads)
-    pairs = materialize(pairs.mapInArrow(_bounded, "a binary, b binary"))
-    items = sets.read(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    side = lambda x: items.select(F.col("node").alias(x), F.col("items").alias(f"{x}items"))
-    found = materialize(dealt_join(pairs.join(side("a"), "a"), side("b"), "b", "a", heads).mapInArrow(_exact, "a binary, b binary"))
+    n = tried.count()
+    heads = hot_keys(tried, "b", n)
+
+    def both(pairs: DataFrame, n: int, side: Callable[[str], DataFrame]) -> DataFrame:
+        return dealt_join(_looked_up(pairs, side("a"), "a", n <= SMALL), _narrowed(side("b"), "b", pairs, n <= SMALL), "b", "a", heads)
+
+    bits = both(tried, n, lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"{x}bits")))
+    pairs = materialize(bits.mapInArrow(_bounded, "a binary, b binary"))
     n = pairs.count()
+    items = sets.read(pairs.select(F.explode(F.array("a", "b")).alias("node")), 2 * n <= SMALL)
+    arrays = both(pairs, n, lambda x: items.select(F.col("node").alias(x), F.col("items").alias(f"{x}items")))
+    found = materialize(arrays.mapInArrow(_exact, "a binary, b binary"))
     for x in (tried, pairs):
         discard(x)
     return n, found
@@ -456,8 +517,13 @@ def _tiles(posts: DataFrame, hot: list[tuple]) -> DataFrame:
     )
     sizes = rows.groupBy("tile").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
     parts = F.ceil(F.greatest(F.col("rows") / TILE_ROWS, F.least(F.col("rows"), F.col("shingles") / TILE_SHINGLES))).cast("int")
-    sizes = sizes.where((F.col("rows") > TILE_ROWS) | (F.col("shingles") > TILE_SHINGLES)).select("tile", parts.alias("parts"))
-    rows = dealt_join(rows, sizes, "tile", "node", hot_keys(rows, "tile"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    sizes = materialize(sizes.where((F.col("rows") > TILE_ROWS) | (F.col("shingles") > TILE_SHINGLES)).select("tile", "rows", parts.alias("parts")))
+    large = sizes.select("tile", "parts")
+    if sizes.count() <= SMALL:
+        rows = rows.join(F.broadcast(large), "tile", "left")
+    else:
+        rows = dealt_join(rows, large, "tile", "node", hot_counts(sizes.select(F.col("tile").alias("k"), F.col("rows").alias("c")), rows.count()), "left")
+    rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return rows.withColumn("i", F.least("part", "with")).withColumn("j", F.greatest("part", "with")).select(*_TILE)
 
@@ -471,7 +537,9 @@ def _tile_rounds(posts: DataFrame, hot: list[tuple], classes: DataFrame, sets: _
     marked = materialize(dealt(tiles).mapInArrow(_marked_rows, kinds))
     if marked.isEmpty():
         return None
-    items = sets.read(marked.select("node"))
+    nodes = marked.select("node")
+    small = marked.count() <= SMALL
+    items = _narrowed(sets.read(nodes, small), "node", nodes, small)
     return materialize(dealt(marked.join(items, "node")).mapInArrow(_tile_links, "a binary, b binary"))
 
 
@@ -511,10 +579,11 @@ def jaccard_components(docs: DataFrame, hot_shingles: int = HOT_SHINGLES, hot_fr
     shared = docs.sparkSession.sparkContext.broadcast(repeats)
     prefixes = docs.select("text").mapInArrow(partial(_prefix_rows, shared, frequent), "hash long, node binary, n int")
     posts = materialize(prefixes.repartition("hash", "node").dropDuplicates(["hash", "node"]))
-    hot = hot_keys(posts, "hash")
-    several = posts.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
-    alone, posts = posts, materialize(dealt_join(posts, several, "hash", "node", hot))
-    discard(alone)
+    several = materialize(posts.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1"))
+    hot = hot_counts(several.withColumnRenamed("hash", "k"), posts.count())
+    alone, posts = posts, materialize(dealt_join(posts, several.select("hash"), "hash", "node", hot))
+    for x in (alone, several):
+        discard(x)
     sets, known, turn, going = _Sets(docs, classes), None, 0, True
     while going:
         tried, found = _stars(_labelled(posts.where(F.pmod("hash", F.lit(SLICES)) == turn % SLICES), known), turn, hot, classes, sets)
@@ -530,10 +599,12 @@ def jaccard_components(docs: DataFrame, hot_shingles: int = HOT_SHINGLES, hot_fr
     roots = known if known is not None else classes.select(F.col("node").alias("u"), F.col("node").alias("root")).limit(0)
 
     n = classes.count()
-    named = classes.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = roots.withColumnRenamed("u", "node")
+    named = classes.join(F.broadcast(roots) if known is None or known.count() <= SMALL else roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("first").alias("first"))
     named = dealt_join(named.drop("first"), least, "root", "node", hot_keys(named, "root", n)).select("node", "component_id", "class_size", "first")
-    out = dealt_join(rows, named, "node", "seen", hot_keys(rows, "node")).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size", F.col("seen").alias("text_hash"), "first")
+    hot = hot_counts(classes.select(F.col("node").alias("k"), F.col("class_size").alias("c")), rows.count())
+    out = dealt_join(rows, named, "node", "seen", hot).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size", F.col("seen").alias("text_hash"), "first")
     return out.union(first.where("n = 0").select("doc_id", "n", "doc_id", F.lit(1).cast("long"), "seen", F.lit(None).cast(out.schema["first"].dataType)))
 
 
