@@ -344,6 +344,26 @@ def test_held_out_language_accuracy(spark):
     assert len(got) > 50 and sum(r.predicted == r.lang and r.kept for r in got) >= 0.98 * len(got)
 
 
+@pytest.mark.parametrize("rows_a_file, most", [(100_000, 1), (200, 4)])
+def test_language_evidence_is_written_to_few_files(spark, monkeypatch, rows_a_file, most):
+    """However many splits the input and the shuffles have; and each row is there once."""
+    files, write = [], language_id.materialize
+    monkeypatch.setattr(language_id, "materialize", lambda df: files.append(len((out := write(df)).inputFiles())) or out)
+    monkeypatch.setattr(language_id, "ROWS_A_FILE", rows_a_file)
+    data = [(i, ("the house of the people", "la maison de la ville")[i % 2], ("en", "fr")[i % 2], f"h{i % 40}") for i in range(640)] + [(7, None, "en", "h"), (7, None, "en", "h")]
+    keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = language_id.language_id(spark.createDataFrame(data, "id long, text string, declared string, host string").repartition(64)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.id, r.predicted) for r in got) == sorted((i, ("en", "fr")[i % 2] if t else "und") for i, t, *_ in data)
+    assert len(files) == 2 and max(files) <= most
+
+
 def test_pages_give_all_evidence(spark):
     pages = spark.createDataFrame([(1, "https://u@www.example.fr:80/x?y", "<html lang='FR-ca'><script>var x</script><p>la ville</p>"), (2, None, None)], "page_id long, url string, html string")
     a, b = language_id.page_rows(pages).collect()
