@@ -171,3 +171,44 @@ def test_windowed_counts_on_a_stream(spark, tmp_path):
     counts.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     got = sorted((r.window.start.minute, r.word, r["count"]) for r in spark.table("windows").collect())
     assert got == [(0, " ", 1), (0, "中国", 2), (0, "人民", 1), (10, "中国", 1)]
+
+
+def test_large_lexicons_are_packed(spark, monkeypatch):
+    """Words, tags and roles beyond the size of a dictionary: by packed tables, and beyond those by joins, all the same."""
+    from tokenloom.operators import lexicon as lex
+    from tokenloom.operators import packed, training
+
+    trained = training.train(q.annotated(spark, "/root/testdata/sf0.001"))
+    lexicon = lex.union(trained["lexicon"], q.derived(spark, "/root/testdata/sf0.001")).persist()
+    roles, bigrams = trained["person_role"].persist(), trained["person_transition"].persist()
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").limit(12).select("text")
+    docs = turns.unionByName(spark.createDataFrame([(None,), ("",), ("é 二十 3.14 Éa",)], "text string")).selectExpr("monotonically_increasing_id() AS id", "text").persist()
+
+    def found():
+        digests = sorted(segment.digests(docs, "text", lexicon, "tagging", trained["transition"]).collect())
+        names = tagging.recognize(docs, "text", q.toy(spark), roles, bigrams).select("id", "tokens", "names")
+        return digests, sorted(names.collect(), key=lambda r: r.id)
+
+    want = found()
+    assert any(r.names for r in want[1])
+    small = lex.gathered
+    monkeypatch.setattr(lex, "gathered", lambda table, word="word", limit=0: small(table, word, 2000))
+    assert found() == want
+    monkeypatch.setattr(packed, "WORDS", 100)
+    assert found() == want
+
+
+def test_packed_words_are_those_of_the_dictionary(spark):
+    from tokenloom.operators import packed
+
+    rows = [("中国", "n", 50), ("中国", "zz", 7), ("人民", "v", 20), ("人民", "a", 3), ("é la", None, None), ("la", "n", 0)]
+    lexicon = spark.createDataFrame([*rows, *((f"w{i}", "n", i) for i in range(500))], "word string, tag string, freq long")
+    plain, held = segment.load(lexicon), packed.load(lexicon, tags.TAG_IDS)
+    assert (plain.reach, plain.total, plain.single) == (held.reach, held.total, held.single)
+    for w in [*plain.words, "w500", "", "民"]:
+        assert (w in plain.words, plain.words.get(w), plain.costs.get(w)) == (w in held.words, held.words.get(w), held.costs.get(w))
+    assert held.table.pairs("人民") == [(103, 20), (110, 3)] and held.table.pairs("中国") == [(100, 50)] and held.table.pairs("x") == []
+    text = "中国人民é la w7 人民中国la é"
+    for method in kernels.METHODS:
+        assert kernels.segment(text, method, held) == kernels.segment(text, method, plain)
+    assert packed.load(lexicon.limit(0), tags.TAG_IDS).words.get("中国") is None
