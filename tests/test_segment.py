@@ -212,3 +212,14 @@ def test_packed_words_are_those_of_the_dictionary(spark):
     for method in kernels.METHODS:
         assert kernels.segment(text, method, held) == kernels.segment(text, method, plain)
     assert packed.load(lexicon.limit(0), tags.TAG_IDS).words.get("中国") is None
+
+
+def test_large_inputs_are_dealt_by_their_size(spark, tmp_path, monkeypatch):
+    """A large file of one row group is not one task, nor are tasks left as large as the files."""
+    monkeypatch.setattr(segment, "SPREAD_BYTES", 64 << 10)
+    df = spark.range(20_000).selectExpr("id", "repeat(sha2(cast(id AS string), 256), 20) AS text").coalesce(1)
+    df.write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    size = int(one._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert size > spark.sparkContext.defaultParallelism * segment.SPREAD_BYTES
+    assert segment.spread(one).rdd.getNumPartitions() >= size // segment.SPREAD_BYTES

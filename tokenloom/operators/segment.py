@@ -41,18 +41,20 @@ class Options:
 
 #: Bytes of text whose tokens are worked out before they are sent on.
 TEXT_AT_ONCE = 1 << 20
-#: Bytes of input a core from which its own splits are enough tasks, and in all up to which one task will do.
-SPREAD_BYTES, LEAST_BYTES = 32 << 20, 256 << 10
+#: Bytes of input that a task has at most, as Spark estimates them, and in all up to which one task will do.
+SPREAD_BYTES, LEAST_BYTES = 8 << 20, 256 << 10
+#: Bytes from which an estimate says nothing.
+UNKNOWN_BYTES = 1 << 44
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over twice as many tasks as there are cores, where it is too small to fill them by its own splits: a small
-    file is often one row group, and so one task."""
+    """df dealt over twice as many tasks as there are cores, or as many more as keep a task small: a file is often one row
+    group, and so one task, however large it is."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(2 * cores) if LEAST_BYTES < size < cores * SPREAD_BYTES else df
+    return df.repartition(max(2 * cores, -(-size // SPREAD_BYTES))) if LEAST_BYTES < size < UNKNOWN_BYTES else df
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
