@@ -104,3 +104,24 @@ def test_n_best_of_a_long_text_and_ties():
     got = k.n_best_text(text, lexicon)
     assert len(got) == 6 and one[1] == [2, 4, 5] and got[0][1][-1] == len(text) and got == sorted(got)
     assert k.n_best_text("", lexicon) == [(0.0, [])]
+
+
+def test_n_best_does_not_walk_atoms_without_words(monkeypatch):
+    """Atoms between words are one link of a path, and all that one chunk has to choose leaves the order of the others."""
+    text = "。".join(["x y " * 10 + "中国人"] * 30)
+    lexicon = k.Lexicon({"中国": 3, "国人": 3, "中国人": 1, "y x": 2})
+    joined = k._stops
+    links = []
+
+    def counted(chain):
+        n, c = 0, chain
+        while c:
+            n, c = n + 1, c[0]
+        links.append(n)
+        return joined(chain)
+
+    monkeypatch.setattr(k, "_stops", counted)
+    plain = k.Lexicon({"中国": 3, "国人": 3, "中国人": 1})
+    at, paths = k._n_cheapest("a b " * 50 + "中国人", plain, 6)
+    assert max(links) <= 5 and len(paths[0][1]) > 100
+    assert len(k.n_best_text(text, lexicon, 6)) == 6

@@ -60,7 +60,7 @@ hits AS (SELECT conv_id, turn, i, i + n AS j, freq FROM chars, (VALUES (2), (3),
 @query(f"WITH {_HITS_SQL} SELECT conv_id, turn, i::INTEGER AS i, j::INTEGER AS j, freq FROM hits")
 def full_split_hits(spark, sf_dir):
     """Candidate spans joined with the lexicon, over whole texts."""
-    c = _table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
+    c = segment.spread(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select(F.struct("conv_id", "turn").alias("key"), "text")
     return native.char_hits(c, derived(spark, sf_dir)).select("key.*", "i", "j", "freq")
 
 
@@ -355,7 +355,7 @@ def nshort_documents(spark, sf_dir):
                     rows.append((i, k, len(ends), round(c, 6), hashlib.sha256(at.encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["key", "rank", "n_tokens", "cost", "digest"])
 
-    docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("key"), "text")
+    docs = segment.spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("key"), "text")
     return docs.mapInPandas(run, "key string, rank long, n_tokens long, cost double, digest string").select(F.col("key").cast("long").alias("doc_id"), "rank", "n_tokens", "cost", "digest")
 
 
