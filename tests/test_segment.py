@@ -223,3 +223,16 @@ def test_large_inputs_are_dealt_by_their_size(spark, tmp_path, monkeypatch):
     size = int(one._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     assert size > spark.sparkContext.defaultParallelism * segment.SPREAD_BYTES
     assert segment.spread(one).rdd.getNumPartitions() >= size // segment.SPREAD_BYTES
+
+
+def test_hits_are_sought_at_first_characters_only(spark):
+    texts = ["中国人民", "a中国", "中", "", "é中国人a", "国人国"]
+    pieces = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    words = {"中国": 5, "国人": 2, "中国人民": 1, "a中": 4, "é中国": 3, "人": 9}
+    lexicon = spark.createDataFrame([(w, "n", f) for w, f in words.items()], "word string, tag string, freq long")
+    want = [(k, i, j, words[t[i:j]]) for k, t in enumerate(texts) for i in range(len(t)) for j in range(i + 2, len(t) + 1) if t[i:j] in words and t[i] != "a"]
+    hits = native.char_hits(pieces, lexicon)
+    assert sorted(map(tuple, hits.collect())) == want
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "rlike" not in plan.lower()  # once a character and a pattern, which took most of the time
+    assert native.char_hits(pieces, lexicon.where("word = '人'")).collect() == []

@@ -6,6 +6,8 @@ positions with the hits as a map. Positions are characters from 0 within the chu
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,15 +65,23 @@ def _lexicon(lexicon: DataFrame) -> tuple[DataFrame, int]:
     return (F.broadcast(words) if small else words), longest or 0
 
 
+#: Alnum characters, and most characters by which starts of words are sorted out.
+_ALNUM, FIRSTS = [c for c in map(chr, range(128)) if re.match(ALNUM, c)], 2_000
+
+
 def char_hits(pieces: DataFrame, lexicon: DataFrame, key: str = "key") -> DataFrame:
     """(key, i, j, freq): words of two characters or more at characters i to j that do not begin in an alnum run."""
     words, longest = _lexicon(lexicon)
-    n = F.char_length("text")
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: ~F.substring("text", i + 1, F.lit(1)).rlike(ALNUM) & (i < n - 1))
-    spots = pieces.select(key, "text", F.explode(starts).alias("i"))
-    spans = spots.select(key, "i", F.explode(F.sequence(F.lit(2), F.least(F.lit(max(2, longest)), F.char_length("text") - F.col("i")))).alias("len"), "text")
-    cand = spans.select(key, "i", (F.col("i") + F.col("len")).alias("j"), F.substring("text", F.col("i") + 1, F.col("len")).alias("word"))
-    return cand.join(words, "word").select(key, "i", "j", "freq")
+    if longest < 2:
+        return pieces.select(key, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).cast("long").alias("freq")).where("false")
+    firsts = words.where(F.char_length("word") > 1).select(F.substring("word", 1, 1).alias("c")).distinct().limit(FIRSTS + 1).collect()
+    chars = pieces.select(key, F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)).alias("c")).where(F.size("c") > 1)
+    begins = lambda c: c.isin([r.c for r in firsts]) if len(firsts) <= FIRSTS else F.lit(True)
+    starts = F.filter(F.sequence(F.lit(0), F.size("c") - 2), lambda i: begins(F.get("c", i)) & ~F.get("c", i).isin(*_ALNUM))
+    # only what a word may take goes on from the text, as a row for each start would repeat it
+    spots = chars.select(key, F.explode(F.transform(starts, lambda i: F.struct(i.alias("i"), F.slice("c", i + 1, F.lit(longest)).alias("c")))).alias("s")).select(key, "s.*")
+    spans = spots.where(F.size("c") > 1).select(key, "i", F.explode(F.transform(F.sequence(F.lit(2), F.size("c")), lambda k: F.struct(k.alias("len"), F.array_join(F.slice("c", F.lit(1), k), "").alias("word")))).alias("s"))
+    return spans.select(key, "i", (F.col("i") + F.col("s.len")).alias("j"), F.col("s.word").alias("word")).join(words, "word").select(key, "i", "j", "freq")
 
 
 def _with_map(pieces: DataFrame, hits: DataFrame, key: str, value: Column) -> DataFrame:
