@@ -236,3 +236,18 @@ def test_hits_are_sought_at_first_characters_only(spark):
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert "rlike" not in plan.lower()  # once a character and a pattern, which took most of the time
     assert native.char_hits(pieces, lexicon.where("word = '人'")).collect() == []
+
+
+def test_workers_hold_parts_of_a_batch():
+    """What Python makes of a batch is sent on in parts, so that it does not grow with the batch."""
+    import pyarrow as pa
+
+    from tokenloom.operators import training
+
+    texts = ["中国 " * 40, None, "", "x" * 3_000_000, *["中国/n 人民/n 说/v " * 100] * 3000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    held = type("Sent", (), {"value": (kernels.Lexicon({"中国": 5, "人民": 2}), None)})()
+    for run in (segment._run("forward", held, segment.Options(), "text"), training._parse("text")):
+        out = list(run(iter([batch])))
+        assert [x for b in out for x in b.column("id").to_pylist()] == list(range(len(texts)))
+        assert max(b.num_rows for b in out) < 1000
